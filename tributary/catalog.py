@@ -1,10 +1,8 @@
-"""Queries and oracle SQL of the library's own operators, gathered from the modules that register them."""
+"""Importing this module registers the queries of the library's own operators."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .plans import preprocess_queries, signature_queries  # noqa: F401
+from .registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
