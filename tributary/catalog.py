@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import preprocess_queries, signature_queries  # noqa: F401
+from .plans import model_queries, preprocess_queries, score_queries, signature_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -62,27 +63,35 @@ def softplus(c: Column) -> Column:
     return F.greatest(c, F.lit(0.0)) + F.log1p(F.exp(-F.abs(c)))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once and named, so that formulas that use it often stay small trees."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _stirling(y: Column) -> Column:
+    """Logarithm of the gamma function for y >= 8."""
+    tail = lambda z: 1 / 12 - z * (1 / 360 - z * (1 / 1260 - z * (1 / 1680 - z * (1 / 1188 - z * (691 / 360360)))))
+    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + let(1 / (y * y), tail) / y
+
+
 def lgamma(x: Column) -> Column:
     """Logarithm of the gamma function for x > 0: shifted by 8 below 8, then Stirling's series."""
 
-    def series(y: Column) -> Column:
-        z = 1 / (y * y)
-        tail = (1 / y) * (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z * (1 / 1680 - z * (1 / 1188 - z * (691 / 360360))))))
-        return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + tail
+    def of(v: Column) -> Column:
+        low = v
+        for k in range(1, 8):
+            low = low * (v + k)
+        return let(F.when(v < 8, v + 8).otherwise(v), _stirling) - F.when(v < 8, F.log(low)).otherwise(0.0)
 
-    x = x.cast("double")
-    low = x
-    for k in range(1, 8):
-        low = low * (x + k)
-    return F.when(x < 8, series(x + 8) - F.log(low)).otherwise(series(x))
+    return let(x.cast("double"), of)
 
 
 def betaln(a: Column, b: Column) -> Column:
-    return lgamma(a) + lgamma(b) - lgamma(a + b)
+    return let(F.struct(a.cast("double").alias("a"), b.cast("double").alias("b")), lambda v: lgamma(v["a"]) + lgamma(v["b"]) - lgamma(v["a"] + v["b"]))
 
 
 def log_choose(n: Column, k: Column) -> Column:
-    return lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)
+    return let(F.struct(n.cast("double").alias("n"), k.cast("double").alias("k")), lambda v: lgamma(v["n"] + 1) - lgamma(v["k"] + 1) - lgamma(v["n"] - v["k"] + 1))
 
 
 def betabinom_logpmf(y: Column, n: Column, a: Column, b: Column) -> Column:
@@ -92,18 +101,16 @@ def betabinom_logpmf(y: Column, n: Column, a: Column, b: Column) -> Column:
 
 
 def normal_cdf(z: Column) -> Column:
-    """Within 1e-15 or so for |z| < 6: a series near 0, a continued fraction in the tails."""
-    x = F.abs(z)
-    term = total = x
-    for k in range(1, 60):
-        term = term * x * x / (2 * k + 1)
-        total = total + term
-    density = F.exp(-x * x / 2) / math.sqrt(2 * math.pi)
-    frac = x
-    for k in range(40, 0, -1):
-        frac = x + k / frac
-    upper = F.when(x < 3.5, 0.5 - density * total).otherwise(density / frac)
-    return F.when(z > 0, 1 - upper).otherwise(upper)
+    """Within 1e-14 or so: a series near 0, a continued fraction in the tails."""
+
+    def upper(x: Column) -> Column:
+        density = F.exp(-x * x / 2) / math.sqrt(2 * math.pi)
+        step = lambda acc, k: F.struct((acc["term"] * x * x / (2 * k + 1)).alias("term"), (acc["total"] + acc["term"] * x * x / (2 * k + 1)).alias("total"))
+        series = F.aggregate(F.sequence(F.lit(1), F.lit(70)), F.struct(x.alias("term"), x.alias("total")), step)["total"]
+        fraction = F.aggregate(F.sequence(F.lit(60), F.lit(1), F.lit(-1)), x, lambda acc, k: x + k / acc)
+        return F.when(x < 3.5, 0.5 - density * series).otherwise(density / fraction)
+
+    return let(z.cast("double"), lambda v: let(let(F.abs(v), upper), lambda u: F.when(v > 0, 1 - u).otherwise(u)))
 
 
 _A = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
@@ -120,9 +127,12 @@ def _poly(x: Column, coefficients: tuple[float, ...]) -> Column:
 
 
 def normal_ppf(p: Column) -> Column:
-    """Inverse of the standard normal distribution by Acklam's rational approximation (relative error 1.2e-9)."""
-    q = p - 0.5
-    tail = F.sqrt(-2 * F.log(F.least(p, 1 - p)))
-    outer = _poly(tail, _C) / _poly(tail, (*_D, 1.0))
-    inner = q * _poly(q * q, _A) / _poly(q * q, (*_B, 1.0))
-    return F.when((p <= 0) | (p >= 1), F.lit(None).cast("double")).when(F.abs(q) <= 0.47575, inner).otherwise(F.when(q < 0, outer).otherwise(-outer))
+    """Inverse of the standard normal distribution by Acklam's rational approximation (relative error 1.2e-9); null outside (0, 1)."""
+
+    def of(v: Column) -> Column:
+        q = v - 0.5
+        outer = let(F.sqrt(-2 * F.log(F.least(v, 1 - v))), lambda t: _poly(t, _C) / _poly(t, (*_D, 1.0)))
+        inner = let(q * q, lambda r: _poly(r, _A) / _poly(r, (*_B, 1.0)))
+        return F.when((v <= 0) | (v >= 1), F.lit(None).cast("double")).when(F.abs(q) <= 0.47575, q * inner).otherwise(F.when(q < 0, outer).otherwise(-outer))
+
+    return let(p.cast("double"), of)

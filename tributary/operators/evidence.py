@@ -55,13 +55,11 @@ def log_evidence(family: str, p1: Column, p2: Column) -> Column:
 
 def evidence(snv: DataFrame) -> DataFrame:
     """(model_id, family, prior_name, log_evidence): eleven models against one row of statistics."""
-    stats = F.broadcast(sufficient_statistics(snv))
-    models = model_table(snv.sparkSession)
-    each = [models.filter(F.col("family") == f).crossJoin(stats).withColumn("log_evidence", log_evidence(f, F.col("p1"), F.col("p2"))).select("model_id", "family", "prior_name", "log_evidence") for f in ("binomial", "poisson", "gaussian", "bernoulli")]
-    out = each[0]
-    for e in each[1:]:
-        out = out.unionByName(e)
-    return out
+    both = model_table(snv.sparkSession).crossJoin(F.broadcast(sufficient_statistics(snv)))
+    value = F.lit(None).cast("double")
+    for f in ("binomial", "poisson", "gaussian", "bernoulli"):
+        value = F.when(F.col("family") == f, log_evidence(f, F.col("p1"), F.col("p2"))).otherwise(value)
+    return both.select("model_id", "family", "prior_name", value.alias("log_evidence"))
 
 
 def posteriors(scores: DataFrame) -> DataFrame:

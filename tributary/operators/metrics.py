@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import normal_cdf, normal_ppf
+from ..functions.scalars import let, normal_cdf, normal_ppf
 
 EPS = 1e-12
 
@@ -53,8 +53,7 @@ def crps_samples(df: DataFrame, keys: Sequence[str], sample: str, y: str) -> Dat
 
 def crps_normal(y: Column, mu: Column, sigma: Column) -> Column:
     s = F.greatest(sigma, F.lit(EPS))
-    z = (y - mu) / s
-    return s * (z * (2 * normal_cdf(z) - 1) + 2 * F.exp(-z * z / 2) / 2.5066282746310002 - 1 / 1.7724538509055159)
+    return s * let((y - mu) / s, lambda z: z * (2 * normal_cdf(z) - 1) + 2 * F.exp(-z * z / 2) / 2.5066282746310002 - 1 / 1.7724538509055159)
 
 
 def calibration_bins(df: DataFrame, y: str, p: str, bins: int = 10, strategy: str = "uniform") -> DataFrame:
