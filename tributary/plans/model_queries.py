@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import adapters as A
@@ -36,7 +36,7 @@ def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # A smoothed series leaves no residual along constants and straight lines, whatever the penalty.
 query("PRI_01_04_smooth_stationary", sql(_FEW + " SELECT mutation, count(DISTINCT date) AS days, 0.0 AS level, 0.0 AS trend, 0 AS outside FROM snv WHERE mutation IN (SELECT mutation FROM ok) GROUP BY 1"), "level trend", "days outside", digits=3)(
-    lambda s, d: M.daily_smooth(M.enough_dates(A.snv(s, d))).withColumn("e", F.col("n") * F.col("mu") - F.col("y")).groupBy("mutation").agg(F.count(F.lit(1)).alias("days"), (F.sum("e") / F.sum("n")).alias("level"), (F.sum(F.col("e") * F.datediff("date", F.lit("2024-01-01"))) / F.sum("n")).alias("trend"), F.count_if(~F.col("mu").between(F.col("lo"), F.col("hi"))).alias("outside"))
+    lambda s, d: M.daily_smooth(M.enough_dates(A.snv(s, d))).withColumns({"e": F.col("n") * F.col("mu") - F.col("y"), "t": F.row_number().over(Window.partitionBy("mutation").orderBy("date"))}).groupBy("mutation").agg(F.count(F.lit(1)).alias("days"), (F.sum("e") / F.sum("n")).alias("level"), (F.sum(F.col("e") * F.col("t")) / F.sum("n")).alias("trend"), F.count_if(~F.col("mu").between(F.col("lo"), F.col("hi"))).alias("outside"))
 )
 query("PRI_14_17_intervals", sql(_FEW + " SELECT mutation, count(*) AS n, 0 AS disordered, 0 AS out_of_range FROM snv WHERE mutation IN (SELECT mutation FROM ok) GROUP BY 1"), longs="n disordered out_of_range")(
     lambda s, d: detail(s, d).filter("site_id <> 'GLOBAL'").groupBy("mutation").agg(F.count(F.lit(1)).alias("n"), F.count_if(~((F.col("y_lo_90") <= F.col("y_lo_50")) & (F.col("y_lo_50") <= F.col("y_hi_50")) & (F.col("y_hi_50") <= F.col("y_hi_90")))).alias("disordered"), F.count_if(~(F.col("mu_t").between(0, 1) & F.col("pi").between(0, 0.99) & (F.col("tau") >= 1) & F.col("kappa_t").between(3.0 / 24, 140.0) & (F.col("y_hi_90") <= F.col("coverage")))).alias("out_of_range"))
