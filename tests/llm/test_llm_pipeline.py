@@ -7,7 +7,7 @@ import corpus_pipeline as P
 from tributary.llm import quality
 from tributary.llm.queries import QUERIES
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 
 
 def test_stages_equal_brute_force(spark, tmp_path):
