@@ -165,6 +165,13 @@ def test_near_duplicates_with_null_and_repeated_ids(spark):
     assert neardup.near_duplicates(df.limit(0)).count() == 0 and neardup.without_near_duplicates(df.limit(0)).count() == 0
 
 
+def test_sketches_drop_no_candidate(spark):
+    a, b = np.arange(1, 65, dtype=">u4"), np.arange(1, 65, dtype=">u4")
+    b[30:] += 1  # 30 of 64 places agree
+    sets = spark.createDataFrame([(bytearray(b"x" * 16), 100, bytearray(a.tobytes())), (bytearray(b"y" * 16), 100, bytearray(b.tobytes()))], "node binary, n int, sig binary")
+    assert neardup.candidates(sets).count() == 1
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 160)] + [(200, 201), (201, 200), (300, 300)]
     out = dict(map(tuple, components.components(spark.createDataFrame(links, "a long, b long")).collect()))

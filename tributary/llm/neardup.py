@@ -12,8 +12,7 @@ A set whose candidates all failed may still have a link in a dense region, where
 are searched again, in new orders and with a longer reach, until a round joins nothing (DEEP_ROUNDS at most): per set and round
 the best sketches not tried before are confirmed.
 
-Candidates whose sizes rule out a link are dropped, as are those whose sketches agree on less than SKETCH_LEAST (far below the threshold); all others are confirmed on the full
-shingle sets, first the best candidate of each set, then those that would still join two components.
+Candidates whose sizes rule out a link are dropped (exact). Sketches give an order alone; all others are confirmed on the full shingle sets, first the best candidate of each set, then those that would still join two components.
 
 Chance of missing: two sets of similarity 0.75 without others nearby are neighbours unless all 12 first hashes differ,
 0.25 ** 12 = 6e-8.
@@ -41,8 +40,6 @@ REACH = 3
 DEEP_REACH = 16
 NEAREST = 24
 DEEP_ROUNDS = 3
-#: Sketch agreement below which a candidate isn't confirmed: 3.7 standard deviations under 0.75 with 64 hashes.
-SKETCH_LEAST = 0.55
 
 _A = np.random.Generator(np.random.Philox(41)).integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = np.random.Generator(np.random.Philox(43)).integers(0, 2**63, HASHES, dtype=np.uint64)
@@ -71,7 +68,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> Dat
     return rows.mapInPandas(run, "_id long, _text_key long, _set binary, _n long, _sig binary")
 
 
-def _neighbours(b: pd.DataFrame, reach: int, least: float, new: int, percent: int) -> Iterator[pd.DataFrame]:
+def _neighbours(b: pd.DataFrame, reach: int, new: int, percent: int) -> Iterator[pd.DataFrame]:
     """Pairs of rows up to `reach` places apart with a common first hash; with a column `open`, one of them is open and their roots differ;
     a < b, and `of` is 1 if a is open, 2 if b is, 3 if both are.
 
@@ -93,8 +90,6 @@ def _neighbours(b: pd.DataFrame, reach: int, least: float, new: int, percent: in
         near = np.flatnonzero(near)
         if len(near):
             agree = (sketch[near] == sketch[near + d]).mean(axis=1)
-            good = agree >= least
-            near, agree = near[good], agree[good]
             swap = sets[near] > sets[near + d]
             x, y = np.where(swap, near + d, near), np.where(swap, near, near + d)
             of = opened[x] + 2 * opened[y] if some else np.zeros(len(near), np.int64)
@@ -105,7 +100,7 @@ _FOREST = "tree int, place binary, node binary, n int, sketch binary"
 _OPEN = ", root long, open boolean"
 
 
-def _scan(least: float, reach: int, percent: int, columns: list[str], edges: bool):
+def _scan(reach: int, percent: int, columns: list[str], edges: bool):
     """Reads rows in the forest's order; yields candidate pairs, and if asked the rows at the partition's ends."""
     out = ["a", "b", "agree", "of", *columns]
 
@@ -118,7 +113,7 @@ def _scan(least: float, reach: int, percent: int, columns: list[str], edges: boo
                 head = b.iloc[:reach] if head is None else pd.concat([head, b.iloc[: reach - len(head)]])
             new = 0 if tail is None else len(tail)
             b = b if tail is None else pd.concat([tail, b], ignore_index=True)
-            found = [x for x in _neighbours(b, reach, least, new, percent) if len(x)]
+            found = [x for x in _neighbours(b, reach, new, percent) if len(x)]
             tail = b.iloc[-reach:]
             if found:
                 yield pd.concat(found).drop_duplicates(["a", "b"]).reindex(columns=out).astype({c: object for c in columns})
@@ -129,17 +124,17 @@ def _scan(least: float, reach: int, percent: int, columns: list[str], edges: boo
     return run
 
 
-def _in_order(rows: DataFrame, schema: str, least: float, reach: int, percent: int) -> DataFrame:
+def _in_order(rows: DataFrame, schema: str, reach: int, percent: int) -> DataFrame:
     """(a, b, agree, of) of neighbours in the order (tree, place, node), each pair once."""
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     columns = [x.split()[0] for x in schema.split(", ")]
     # ranges of the whole order, not of its first hash: a dense region spreads over many tasks
     ordered = rows.repartitionByRange(parts, "tree", "place", "node").sortWithinPartitions("tree", "place", "node")
     full = f"a binary, b binary, agree double, of int, {schema}"
-    found = saved(ordered.mapInPandas(_scan(least, reach, percent, columns, True), full), "forest")
+    found = saved(ordered.mapInPandas(_scan(reach, percent, columns, True), full), "forest")
     # neighbours across a boundary between two ranges: `reach` rows from each side
     ends = found.filter("node is not null").select(*columns).coalesce(1).sortWithinPartitions("tree", "place", "node")
-    across = ends.mapInPandas(_scan(least, reach, percent, columns, False), full)
+    across = ends.mapInPandas(_scan(reach, percent, columns, False), full)
     both = found.filter("a is not null").select("a", "b", "agree", "of").unionByName(across.filter("a is not null").select("a", "b", "agree", "of"))
     return both.groupBy("a", "b").agg(F.max("agree").alias("agree"), F.max("of").alias("of"))
 
@@ -161,17 +156,17 @@ def _trees(seed: int, columns: list[str]):
     return run
 
 
-def candidates(sets: DataFrame, percent: int = 75, least: float = SKETCH_LEAST) -> DataFrame:
+def candidates(sets: DataFrame, percent: int = 75) -> DataFrame:
     """(a, b, agree): neighbours in any tree of the forest, from rows (node, n, sig)."""
-    return _in_order(sets.mapInPandas(_trees(0, []), _FOREST), _FOREST, least, REACH, percent)
+    return _in_order(sets.mapInPandas(_trees(0, []), _FOREST), _FOREST, REACH, percent)
 
 
-def deeper_candidates(sets: DataFrame, tried: DataFrame, seed: int, percent: int = 75, least: float = SKETCH_LEAST) -> DataFrame:
+def deeper_candidates(sets: DataFrame, tried: DataFrame, seed: int, percent: int = 75) -> DataFrame:
     """(a, b) from rows (node, n, sig, root, open): for each open node the NEAREST best sketches of other components among its DEEP_REACH neighbours
     in new orders, without the pairs (a, b) tried. An open node has at most 2 * DEEP_REACH * TREES of them, so its window is small.
     """
     schema = _FOREST + _OPEN
-    found = _in_order(sets.mapInPandas(_trees(seed, ["root", "open"]), schema), schema, least, DEEP_REACH, percent)
+    found = _in_order(sets.mapInPandas(_trees(seed, ["root", "open"]), schema), schema, DEEP_REACH, percent)
     new = found.join(tried, ["a", "b"], "left_anti")
     of = new.select("a", "b", "agree", F.explode(F.when(F.col("of") == 1, F.array("a")).when(F.col("of") == 2, F.array("b")).otherwise(F.array("a", "b"))).alias("open"))
     ranked = of.withColumn("r", F.row_number().over(Window.partitionBy("open").orderBy(F.desc("agree"), "a", "b"))).filter(F.col("r") <= NEAREST)
