@@ -165,6 +165,17 @@ def test_near_duplicates_with_null_and_repeated_ids(spark):
     assert neardup.near_duplicates(df.limit(0)).count() == 0 and neardup.without_near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [512, 2])
+def test_links_that_the_forest_misses_are_found(spark, monkeypatch, block):
+    # no candidate at all comes from the forest; small blocks deal out the sets of each shingle
+    monkeypatch.setattr(neardup, "candidates", lambda sets, percent=75: spark.createDataFrame([], "a binary, b binary, agree double"))
+    for name, value in (("BLOCK", block), ("SAMPLE", 1 if block == 2 else neardup.SAMPLE), ("SEEN", 2)):
+        monkeypatch.setattr(neardup, name, value)
+    rows = copies(random.Random(6))
+    out = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(documents(spark, rows)).collect()}
+    assert out == brute.near_duplicates(rows)
+
+
 def test_sketches_drop_no_candidate(spark):
     a, b = np.arange(1, 65, dtype=">u4"), np.arange(1, 65, dtype=">u4")
     b[30:] += 1  # 30 of 64 places agree

@@ -5,17 +5,15 @@ its own start within the signature; there are `TREES` of them. Candidates are ne
 places apart that share at least the order's first hash. No prefix length is fixed beforehand: in a sparse region one common
 hash makes two sets neighbours, and in a dense region the places next to a set go to those with the longest common prefix,
 so the depth adapts to each region. A set has at most 2 * REACH * TREES candidates, whatever the size of its group: copies
-of one text are one set, and groups of near copies are joined through chains of neighbours. REACH, DEEP_REACH, NEAREST and
-DEEP_ROUNDS are caps without an exact way beyond them; a link at the threshold in a dense region can be missed (README).
+of one text are one set, and groups of near copies are joined through chains of neighbours.
 
-A set whose candidates all failed may still have a link in a dense region, where most neighbours are a little too far. Such sets
-are searched again, in new orders and with a longer reach, until a round joins nothing (DEEP_ROUNDS at most): per set and round
-the best sketches not tried before are confirmed.
+Candidates whose sizes rule out a link are dropped (exact); all others are confirmed on the full shingle sets, first the best sketch of each set,
+then those that would still join two components.
 
-Candidates whose sizes rule out a link are dropped (exact). Sketches give an order alone; all others are confirmed on the full shingle sets, first the best candidate of each set, then those that would still join two components.
-
-Chance of missing: two sets of similarity 0.75 without others nearby are neighbours unless all 12 first hashes differ,
-0.25 ** 12 = 6e-8.
+The forest only finds most links cheaply. What it may miss (links in dense regions) an exact join finds: in any total order of all shingles, two
+sets of similarity t share one of the first n - ceil(t * n) + 1 shingles of each. The order puts rare shingles first; how rare they are is estimated
+from a sample, which changes the cost alone. Sets of different components that share such a shingle, and whose sizes and places of it allow a link,
+are confirmed. Shingles of many sets are dealt over blocks, so no task gets all pairs of one.
 """
 
 from __future__ import annotations
@@ -36,10 +34,12 @@ HASHES = 64
 TREES = 12
 DEPTH = 5
 REACH = 3
-#: Neighbours, best sketches confirmed, and most rounds of the search for nodes whose candidates all failed.
-DEEP_REACH = 16
-NEAREST = 24
-DEEP_ROUNDS = 3
+#: One set in SAMPLE tells how common a shingle is; those of fewer than SEEN sampled sets count as rare, and at most COMMON others are remembered.
+SAMPLE = 8
+SEEN = 3
+COMMON = 500_000
+#: Sets of a shingle that are compared in one block, about.
+BLOCK = 512
 
 _A = np.random.Generator(np.random.Philox(41)).integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = np.random.Generator(np.random.Philox(43)).integers(0, 2**63, HASHES, dtype=np.uint64)
@@ -69,8 +69,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> Dat
 
 
 def _neighbours(b: pd.DataFrame, reach: int, new: int, percent: int) -> Iterator[pd.DataFrame]:
-    """Pairs of rows up to `reach` places apart with a common first hash; with a column `open`, one of them is open and their roots differ;
-    a < b, and `of` is 1 if a is open, 2 if b is, 3 if both are.
+    """Pairs of rows up to `reach` places apart with a common first hash; a < b.
 
     Sets whose sizes alone rule out a link make no pair: their similarity is at most the smaller size over the larger one.
     Pairs among the rows before `new` were seen with the batch before.
@@ -79,30 +78,23 @@ def _neighbours(b: pd.DataFrame, reach: int, new: int, percent: int) -> Iterator
     first = np.frombuffer(b"".join(x[:4] for x in b["place"]), ">u4")
     tree, sets = b["tree"].to_numpy(), b["node"].to_numpy(object)
     sketch = np.frombuffer(b"".join(b["sketch"]), np.uint8).reshape(len(b), HASHES)
-    some = "open" in b
-    opened, root = (b["open"].to_numpy(bool), b["root"].to_numpy(np.int64)) if some else (None, None)
     for d in range(1, min(reach, len(b) - 1) + 1):
         near = (tree[:-d] == tree[d:]) & (first[:-d] == first[d:])
         near[: max(0, new - d)] = False
         near &= 100 * np.minimum(n[:-d], n[d:]) >= percent * np.maximum(n[:-d], n[d:])
-        if some:
-            near &= (opened[:-d] | opened[d:]) & (root[:-d] != root[d:])
         near = np.flatnonzero(near)
         if len(near):
-            agree = (sketch[near] == sketch[near + d]).mean(axis=1)
             swap = sets[near] > sets[near + d]
             x, y = np.where(swap, near + d, near), np.where(swap, near, near + d)
-            of = opened[x] + 2 * opened[y] if some else np.zeros(len(near), np.int64)
-            yield pd.DataFrame({"a": sets[x], "b": sets[y], "agree": agree, "of": of})
+            yield pd.DataFrame({"a": sets[x], "b": sets[y], "agree": (sketch[near] == sketch[near + d]).mean(axis=1)})
 
 
 _FOREST = "tree int, place binary, node binary, n int, sketch binary"
-_OPEN = ", root long, open boolean"
 
 
 def _scan(reach: int, percent: int, columns: list[str], edges: bool):
     """Reads rows in the forest's order; yields candidate pairs, and if asked the rows at the partition's ends."""
-    out = ["a", "b", "agree", "of", *columns]
+    out = ["a", "b", "agree", *columns]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tail = head = None
@@ -124,53 +116,108 @@ def _scan(reach: int, percent: int, columns: list[str], edges: bool):
     return run
 
 
-def _in_order(rows: DataFrame, schema: str, reach: int, percent: int) -> DataFrame:
-    """(a, b, agree, of) of neighbours in the order (tree, place, node), each pair once."""
+def _in_order(rows: DataFrame, reach: int, percent: int) -> DataFrame:
+    """(a, b, agree) of neighbours in the order (tree, place, node), each pair once."""
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    columns = [x.split()[0] for x in schema.split(", ")]
+    columns = [x.split()[0] for x in _FOREST.split(", ")]
     # ranges of the whole order, not of its first hash: a dense region spreads over many tasks
     ordered = rows.repartitionByRange(parts, "tree", "place", "node").sortWithinPartitions("tree", "place", "node")
-    full = f"a binary, b binary, agree double, of int, {schema}"
+    full = f"a binary, b binary, agree double, {_FOREST}"
     found = saved(ordered.mapInPandas(_scan(reach, percent, columns, True), full), "forest")
     # neighbours across a boundary between two ranges: `reach` rows from each side
     ends = found.filter("node is not null").select(*columns).coalesce(1).sortWithinPartitions("tree", "place", "node")
     across = ends.mapInPandas(_scan(reach, percent, columns, False), full)
-    both = found.filter("a is not null").select("a", "b", "agree", "of").unionByName(across.filter("a is not null").select("a", "b", "agree", "of"))
-    return both.groupBy("a", "b").agg(F.max("agree").alias("agree"), F.max("of").alias("of"))
-
+    both = found.filter("a is not null").select("a", "b", "agree").unionByName(across.filter("a is not null").select("a", "b", "agree"))
+    return both.groupBy("a", "b").agg(F.max("agree").alias("agree"))
 
-def _trees(seed: int, columns: list[str]):
-    """Each row once for every order; orders of another seed read the signature in another sequence."""
-    sequence = np.arange(HASHES) if seed == 0 else np.random.Generator(np.random.Philox(seed)).permutation(HASHES)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b):
-                continue
-            sig = np.frombuffer(b"".join(b["sig"]), np.uint8).reshape(len(b), HASHES, 4)
-            sketch = [x.tobytes() for x in sig[:, :, 3]]
-            for t in range(TREES):
-                place = sig[:, sequence[t * DEPTH : (t + 1) * DEPTH]]
-                yield pd.DataFrame({"tree": np.int32(t), "place": [x.tobytes() for x in place], "node": b["node"], "n": b["n"], "sketch": sketch, **{c: b[c] for c in columns}})
 
-    return run
+def _trees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each row once for every order."""
+    for b in batches:
+        if not len(b):
+            continue
+        sig = np.frombuffer(b"".join(b["sig"]), np.uint8).reshape(len(b), HASHES, 4)
+        sketch = [x.tobytes() for x in sig[:, :, 3]]
+        for t in range(TREES):
+            place = sig[:, t * DEPTH : (t + 1) * DEPTH]
+            yield pd.DataFrame({"tree": np.int32(t), "place": [x.tobytes() for x in place], "node": b["node"], "n": b["n"], "sketch": sketch})
 
 
 def candidates(sets: DataFrame, percent: int = 75) -> DataFrame:
     """(a, b, agree): neighbours in any tree of the forest, from rows (node, n, sig)."""
-    return _in_order(sets.mapInPandas(_trees(0, []), _FOREST), _FOREST, REACH, percent)
+    return _in_order(sets.mapInPandas(_trees, _FOREST), REACH, percent)
+
+
+def _id(node: bytes) -> int:
+    """A set's short name, from its key."""
+    return int.from_bytes(node[:8], "big", signed=True)
+
+
+def common_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles in order, sampled sets of each) of those that many sets have, from rows (node, _text)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for text in b["_text"]:
+                yield pd.DataFrame({"shingle": shingles(hashes_of(ascii_words(text)), width).view(np.int64)})
+
+    some = texts.filter(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).select("_text")
+    seen = saved(some.mapInPandas(run, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("sets")).filter(F.col("sets") >= SEEN), "common")
+    least, kept = SEEN, 0
+    for r in sorted(seen.groupBy(F.least("sets", F.lit(1 << 20)).alias("sets")).count().collect(), key=lambda r: -r["sets"]):
+        kept += r["count"]
+        if kept > COMMON:
+            least = r["sets"] + 1
+            break
+    got = seen.filter(F.col("sets") >= least).toPandas().sort_values("shingle")
+    dropped(seen)
+    return got["shingle"].to_numpy(np.int64), got["sets"].to_numpy(np.int64)
+
 
+def first_shingles(texts: DataFrame, width: int, percent: int, values: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """(shingle, block, own, at, n, id) from rows (node, _text): the shingles that any linked set shares one of, rare ones first, with their place.
 
-def deeper_candidates(sets: DataFrame, tried: DataFrame, seed: int, percent: int = 75) -> DataFrame:
-    """(a, b) from rows (node, n, sig, root, open): for each open node the NEAREST best sketches of other components among its DEEP_REACH neighbours
-    in new orders, without the pairs (a, b) tried. An open node has at most 2 * DEEP_REACH * TREES of them, so its window is small.
+    A shingle of many sets has more than one block, for each two of its parts (own) one; block is a multiple of 65537 where both are the same.
     """
-    schema = _FOREST + _OPEN
-    found = _in_order(sets.mapInPandas(_trees(seed, ["root", "open"]), schema), schema, DEEP_REACH, percent)
-    new = found.join(tried, ["a", "b"], "left_anti")
-    of = new.select("a", "b", "agree", F.explode(F.when(F.col("of") == 1, F.array("a")).when(F.col("of") == 2, F.array("b")).otherwise(F.array("a", "b"))).alias("open"))
-    ranked = of.withColumn("r", F.row_number().over(Window.partitionBy("open").orderBy(F.desc("agree"), "a", "b"))).filter(F.col("r") <= NEAREST)
-    return ranked.select("a", "b").distinct()
+    common = texts.sparkSession.sparkContext.broadcast((values, counts))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        values, counts = common.value
+        for b in batches:
+            out = []
+            for node, text in zip(b["node"], b["_text"], strict=True):
+                s = shingles(hashes_of(ascii_words(text)), width).view(np.int64)
+                sets = np.zeros(len(s), np.int64)
+                if len(values):
+                    k = np.minimum(np.searchsorted(values, s), len(values) - 1)
+                    sets = np.where(values[k] == s, counts[k], 0)
+                first = np.lexsort((s, sets))[: len(s) - -(-percent * len(s) // 100) + 1]
+                parts = np.clip(sets[first] * SAMPLE // BLOCK, 1, 65535)
+                own, place = _id(node) % parts, np.arange(len(first))
+                r = np.repeat(place, parts)
+                other = np.arange(len(r)) - np.repeat(np.cumsum(parts) - parts, parts)
+                block = np.minimum(own[r], other) * 65536 + np.maximum(own[r], other)
+                out.append(pd.DataFrame({"shingle": s[first][r], "block": block, "own": own[r].astype(np.int32), "at": r.astype(np.int32), "n": np.int32(len(s)), "id": np.int64(_id(node))}))
+            if out:
+                yield pd.concat(out)
+
+    return texts.select("node", "_text").mapInPandas(run, "shingle long, block long, own int, at int, n int, id long")
+
+
+def exact_candidates(texts: DataFrame, of: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b), a < b: every pair of sets of different components that may be linked, from rows (node, _text) and (node, root)."""
+    each = Window.partitionBy("shingle", "block")
+    posts = first_shingles(texts, width, percent, *common_shingles(texts, width))
+    shared = saved(posts.withColumn("sets", F.count(F.lit(1)).over(each)).filter("sets > 1").drop("sets"), "shared")
+    short = of.select(F.conv(F.hex(F.substring("node", 1, 8)), 16, -10).cast("long").alias("id"), "node", "root")
+    known = saved(shared.join(short, "id").drop("id"), "known")
+    dropped(shared)
+    x, y = (known.select("shingle", "block", *(F.col(c).alias(f"{c}_{k}") for c in ("own", "at", "n", "node", "root"))) for k in "xy")
+    # the first shingle that two sets share leaves at most so many others: both sizes and places bound what they have in common
+    most = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
+    may = (F.col("node_x") < F.col("node_y")) & (F.col("root_x") != F.col("root_y")) & ((F.col("block") % 65537 == 0) | (F.col("own_x") != F.col("own_y")))
+    may &= (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) & ((100 + percent) * most >= percent * (F.col("n_x") + F.col("n_y")))
+    return x.join(y, ["shingle", "block"]).filter(may).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -204,11 +251,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = saved(rows.filter("_set is not null").groupBy(F.col("_set").alias("node")).agg(F.min("_id").alias("least"), F.min(F.struct("_id", "_text_key")).alias("who"), F.first("_n").cast("int").alias("n"), F.first("_sig").alias("sig")), "nodes")
     pairs = saved(candidates(nodes.select("node", "n", "sig"), percent), "pairs")
 
-    # texts of the nodes that have candidates, one row each
-    wanted = saved(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", F.col("who._id").alias("_id"), F.col("who._text_key").alias("_text_key")), "wanted")
     keyed = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_text_key"), F.col(text_col).alias("_text"))
-    on = small_side(wanted, wanted.count())
-    texts = saved(keyed.join(on, keyed["_id"].eqNullSafe(on["_id"]) & (keyed["_text_key"] == on["_text_key"])).select("node", "_text"), "texts")
+
+    def texts_of(some: DataFrame) -> DataFrame:
+        """(node, _text) of nodes."""
+        wanted = some.select("node", F.col("who._id").alias("_id"), F.col("who._text_key").alias("_text_key"))
+        on = small_side(wanted, wanted.count())
+        return keyed.join(on, keyed["_id"].eqNullSafe(on["_id"]) & (keyed["_text_key"] == on["_text_key"])).select("node", "_text")
+
+    def named(pairs: DataFrame) -> DataFrame:
+        return saved(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", "who"), "wanted")
+
+    texts = saved(texts_of(named(pairs)), "texts")
 
     both = pairs.select("a", "b", "agree").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "agree"))
     best = both.groupBy("a").agg(F.max(F.struct("agree", "b")).alias("m")).select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")).distinct()
@@ -218,27 +272,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = saved(confirmed(rest.join(best, ["a", "b"], "left_anti"), texts, width, percent), "links")
     if more.head(1):
         roots = extended(roots, more)
-    failed = tried = pairs.select("a", "b")
-    for k in range(DEEP_ROUNDS):
-        named = nodes.select("node", "n", "sig").join(failed.select(F.explode(F.array("a", "b")).alias("node")).unionByName(roots.select("node")).distinct(), "node", "left_semi")
-        named = saved(named.join(roots, "node", "left").select("node", "n", "sig", F.coalesce("root", "node").alias("root")), "named")
-        size = named.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-        of = named.select("node", "root").join(size, "root")
-        l, r = (of.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"), F.col("n").alias(f"n{c}")) for c in ("a", "b"))
-        # the smaller component of a pair that still lies across two is the one to be searched for
-        across = saved(failed.join(l, "a").join(r, "b").filter("ra <> rb").select(F.when(F.col("na") <= F.col("nb"), F.col("a")).otherwise(F.col("b")).alias("open"), F.array("ra", "rb").alias("roots")), "across")
-        if not across.head(1):
-            break
-        regions = across.select(F.explode("roots").alias("root")).distinct()
-        opened = across.select(F.col("open").alias("node"), F.lit(True).alias("open")).distinct()
-        rows_k = named.join(regions, "root", "left_semi").join(opened, "node", "left").select("node", "n", "sig", F.xxhash64("root").alias("root"), F.coalesce("open", F.lit(False)).alias("open"))
-        failed = saved(deeper_candidates(rows_k, tried, k + 1, percent), "deeper")
-        tried = tried.unionByName(failed)
-        more = saved(confirmed(failed, texts, width, percent), "links")
-        if not more.head(1):
-            break
-        roots = extended(roots, more)
     dropped(texts)
+    of = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    # tried pairs across two components failed
+    exact = saved(exact_candidates(texts_of(nodes), of, width, percent).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "exact")
+    if exact.head(1):
+        texts = saved(texts_of(named(exact)), "texts")
+        more = saved(confirmed(exact, texts, width, percent), "links")
+        dropped(texts)
+        if more.head(1):
+            roots = extended(roots, more)
 
     of_node = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     linked = of_node.filter("root is not null")
