@@ -255,3 +255,12 @@ def test_stream_of_counts(spark, tmp_path):
     q.stop()
     got = spark.table("daily").collect()
     assert len(got) == 1 and got[0]["count"] == 8 and got[0].coverage == 15
+
+
+def test_priors_are_read_for_any_number_of_mutations(spark):
+    names = [f"m{k:04d}" for k in range(5001)]
+    matrix = spark.createDataFrame([(m, f"L{k % 2}") for k, m in enumerate(names)], "mutation string, lineage string")
+    priors = spark.createDataFrame([(m, 0.25, 7.0) for m in names], "mutation string, mu double, kappa double")
+    snv = spark.createDataFrame([("S1", datetime.date(2024, 1, 1), m, 1, 10) for m in names[:50]], "site_id string, date date, mutation string, count long, coverage long")
+    out = models.site_shares(snv, matrix, priors).filter("kind = 'residual'").agg(F.count(F.lit(1)), F.min("kappa"), F.max("kappa")).first()
+    assert tuple(out) == (5001, 7.0, 7.0)

@@ -127,7 +127,8 @@ def site_shares(snv: DataFrame, matrix: DataFrame, priors: DataFrame, settings:
     """All outputs of the site solver as one tagged table: theta rows, residual rows and trace rows. Split it by `kind` after caching it."""
     s = settings or simplex.Settings()
     names, lineages, S = _matrix(matrix)
-    known = {r.mutation: (r.mu, r.kappa) for r in priors.filter(F.col("mutation").isin(names)).collect()} if len(names) <= 5000 else {}
+    # as many rows as the matrix, which is on the driver anyway
+    known = {r.mutation: (r.mu, r.kappa) for r in priors.join(matrix.select("mutation").distinct(), "mutation", "left_semi").select("mutation", "mu", "kappa").collect()}
     mu, kappa = (np.array([known.get(m, (0.5, 0.0))[k] for m in names]) for k in (0, 1))
     unknown = lineages.index("GLOBAL") if "GLOBAL" in lineages else None
 
