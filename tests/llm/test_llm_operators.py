@@ -294,6 +294,18 @@ def test_novel_strings_in_sensitive_context_are_reported():
     assert secretscan.all_spans("a plain q9Zk3vXw7LpT2mBn8RsY4dHf string", n)[1] == []
 
 
+def test_novel_strings_are_found_in_copies_and_to_the_end_of_their_context():
+    n, key = secretscan.Novelty(), "q9Zk3vXw7LpT2mBn8RsY4dHfJ5gC1aUe"
+    found = lambda t: [t[a:b] for _, a, b in secretscan.all_spans(t, n)[1]]
+    assert found(f"bearer {key}\nbearer {key}\n") == [key, key]
+    assert found(f"bearer {key} then the bearer use={key}") == [key, f"use={key}"]
+    for gap in (440, 480, 500, 511):  # the surroundings' edge cuts the copy
+        assert found(f"bearer {key} {'of a word ' * 60}"[: gap + 8] + f" bearer {key}") == [key, key], gap
+    for gap in (36, 37, 47):
+        assert found("bearer" + (" a" * 30)[: gap - 1] + " " + key) == [key], gap
+    assert found("bearer" + (" a" * 30)[:47] + " " + key) == []
+
+
 def test_redaction_leaves_no_base_secret(spark):
     rows = list(enumerate([*SECRET_TEXTS, None]))
     out = {r.doc_id: r.text for r in secretscan.redacted(documents(spark, rows)).collect()}

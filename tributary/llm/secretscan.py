@@ -2,7 +2,7 @@ r"""Secret scans: base patterns, and novelty against a primed zstandard dictiona
 
 Base kinds are `assign`, `access` and `hex`. Besides them, every string of 12 or more key characters that stands in a sensitive
 context (a word such as secret, token or key shortly before it) is a candidate. A candidate's novelty is what it adds to the
-compressed size: zstandard, primed with a dictionary of usual identifiers and the text around the candidate, compresses the
+compressed size: zstandard, primed with a dictionary of usual identifiers and the text around the candidate (less its own copies), compresses the
 surroundings without and with it. Words and identifiers cost few bits a character, keys cost nearly as many as random ones do; those of
 at least `BITS_LEAST` become spans of kind `novel`.
 """
@@ -69,16 +69,26 @@ class Novelty:
         return 8 * (len(self._zstd.compress(before + b" " + extra)) - len(self._zstd.compress(before + b" "))) / max(len(candidate), 1)
 
 
+def _masked(part: str, candidate: str) -> str:
+    """part without copies of the candidate, or of key strings inside it: a key that stands twice is as novel as one that stands once."""
+    part = part.replace(candidate, " " * len(candidate))
+    return _CANDIDATE.sub(lambda m: " " * len(m[0]) if m[0] in candidate else m[0], part)
+
+
 def novel_spans(text: str, base: list[tuple[str, int, int]], novelty: Novelty, least: float = BITS_LEAST) -> list[tuple[str, int, int]]:
     out, done = [], 0
     for s in _SENSITIVE.finditer(text):
-        for m in _CANDIDATE.finditer(text, max(s.end(), done), min(len(text), s.end() + CONTEXT)):
+        # candidates that start in the context: the least of them end 11 characters behind it
+        for m in _CANDIDATE.finditer(text, max(s.end(), done), min(len(text), s.end() + CONTEXT + 11)):
             # the window may end inside a candidate: it is read to its own end
             whole = _CANDIDATE.match(text, m.start())
             done = whole.end()
             if any(a < whole.end() and m.start() < b for _, a, b in base):
                 continue
-            around = text[max(0, m.start() - SURROUNDINGS) : m.start()] + " " + text[whole.end() : whole.end() + SURROUNDINGS]
+            # copies are masked in a wider window first, so that its edge cuts none that reaches into the surroundings
+            wide = SURROUNDINGS + len(whole[0])
+            before, after = _masked(text[max(0, m.start() - wide) : m.start()], whole[0]), _masked(text[whole.end() : whole.end() + wide], whole[0])
+            around = before[-SURROUNDINGS:] + " " + after[:SURROUNDINGS]
             if novelty.bits(around, whole[0]) >= least:
                 out.append(("novel", *whole.span()))
     return out
