@@ -123,6 +123,12 @@ def test_pii_patterns_discover_unseen_identifiers(spark):
     assert pii.personal_data(documents(spark, rows).limit(0)).count() == 0
 
 
+def test_unmarked_occurrences_of_a_seed_are_added(spark):
+    rows = [(i, f"please call +49 30 {1000000 + i} today") for i in range(8)] + [(50, "please call 49 30 1000003 today"), (51, "serial 49 31 1000003 is unrelated")]
+    out = {r.doc_id: r for r in pii.personal_data(documents(spark, rows)).collect()}
+    assert out[50].found == 1 and out[50].spans == "phone:12:25" and out[51].found == 0 and out[3].found == 0
+
+
 # 4 near duplicates
 
 

@@ -4,7 +4,7 @@ Base entities (email, ip, card, phone) are the seeds. A document task also colle
 is not one of them: eight or more digits with separators, or a name, "at"-sign and host in other spellings. Contexts of both (words to the left, words to the
 right, and one word on both sides) are the lexical patterns. Spark scores the graph of patterns and instances for `ROUNDS` rounds:
 a pattern's confidence is the share of the weight of its instances that are believed, an instance's is that one of its patterns at
-least is right (noisy or); seeds stay at 1. Instances that reach `INSTANCE_LEAST` through patterns seen with `SUPPORT` different
+least is right (noisy or); seeds stay at 1, and so do unmarked strings with the characters of a seed. Instances that reach `INSTANCE_LEAST` through patterns seen with `SUPPORT` different
 seeds at least become spans of their kind. Only contexts are shuffled, never texts.
 """
 
@@ -125,17 +125,19 @@ def discovered(rows: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     # numbers may turn out as any numeric kind; the graph keeps a node for each kind they could be
     kinds = F.when(F.col("kind") == "number", F.array(F.lit("card"), F.lit("ip"), F.lit("phone"))).otherwise(F.array("kind"))
     each = seen.withColumn("kind", F.explode(kinds))
-    edges = saved(each.select("kind", "instance", "seed", F.explode(F.array_distinct("contexts")).alias("pattern")).groupBy("kind", "pattern", "instance").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed")), "pii-edges")
+    edges = saved(each.select("kind", "instance", "seed", F.explode(F.array_distinct("contexts")).alias("pattern")).groupBy("kind", "pattern", "instance", "seed").agg(F.count(F.lit(1)).alias("n")), "pii-edges")
     # only patterns that some seed has and some unseen string has can say anything
     linked = edges.groupBy("kind", "pattern").agg(F.count_if("seed").alias("seeds"), F.count_if(~F.col("seed")).alias("others")).filter(f"seeds >= {SUPPORT} and others > 0")
-    graph = saved(edges.join(linked.select("kind", "pattern"), ["kind", "pattern"]), "pii-graph")
+    # unmarked strings that equal a seed: as sure as the seed, wherever one pattern at least says that they are of its kind
+    both = edges.groupBy("kind", "instance").agg(F.bool_or("seed").alias("some"), F.bool_and("seed").alias("all")).filter("some and not all").select("kind", "instance", F.lit(True).alias("known"))
+    graph = saved(edges.join(linked.select("kind", "pattern"), ["kind", "pattern"]).join(both, ["kind", "instance"], "left").withColumn("known", F.coalesce("known", F.lit(False))), "pii-graph")
     dropped(edges)
     belief = None
     for _ in range(rounds):
-        now = graph.withColumn("belief", F.when(F.col("seed"), 1.0).otherwise(0.0)) if belief is None else graph.join(belief, ["kind", "instance"], "left").withColumn("belief", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("belief", F.lit(0.0))))
+        now = graph.withColumn("belief", F.when(F.col("seed") | F.col("known"), 1.0).otherwise(0.0)) if belief is None else graph.join(belief, ["kind", "instance"], "left").withColumn("belief", F.when(F.col("seed") | F.col("known"), 1.0).otherwise(F.coalesce("belief", F.lit(0.0))))
         patterns = now.groupBy("kind", "pattern").agg((F.sum(F.col("belief") * F.log1p("n")) / F.sum(F.log1p("n"))).alias("confidence")).filter(F.col("confidence") >= PATTERN_LEAST)
         heard = graph.filter("not seed").join(patterns, ["kind", "pattern"])
-        new = heard.groupBy("kind", "instance").agg((1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999)))))).alias("belief"))
+        new = heard.groupBy("kind", "instance").agg(F.when(F.bool_or("known"), 1.0).otherwise(1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999)))))).alias("belief"))
         new = saved(new, "pii-belief")
         if belief is not None:
             dropped(belief)
