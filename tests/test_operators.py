@@ -264,3 +264,16 @@ def test_priors_are_read_for_any_number_of_mutations(spark):
     snv = spark.createDataFrame([("S1", datetime.date(2024, 1, 1), m, 1, 10) for m in names[:50]], "site_id string, date date, mutation string, count long, coverage long")
     out = models.site_shares(snv, matrix, priors).filter("kind = 'residual'").agg(F.count(F.lit(1)), F.min("kappa"), F.max("kappa")).first()
     assert tuple(out) == (5001, 7.0, 7.0)
+
+
+def test_registered_model_queries_use_the_default_settings(monkeypatch):
+    from tributary.plans import model_queries as Q
+
+    asked = {}
+    monkeypatch.setattr(Q.A, "snv", lambda *_: None)
+    monkeypatch.setattr(Q, "matrix", lambda *_: None)
+    monkeypatch.setattr(Q.M, "site_forecasts", lambda *a, **b: asked.update(forecast=(a[2:], b)))
+    monkeypatch.setattr(Q.M, "prior_detail", lambda *a, **b: asked.update(priors=(a[1:], b)))
+    Q.forecasts(None, "")
+    Q.detail(None, "")
+    assert asked == {"forecast": ((), {}), "priors": ((), {})}
