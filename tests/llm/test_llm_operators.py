@@ -173,8 +173,8 @@ def test_near_duplicates_with_null_and_repeated_ids(spark):
 
 @pytest.mark.parametrize("block", [512, 2])
 def test_links_that_the_forest_misses_are_found(spark, monkeypatch, block):
-    # no candidate at all comes from the forest; small blocks deal out the sets of each shingle
-    monkeypatch.setattr(neardup, "candidates", lambda sets, percent=75: spark.createDataFrame([], "a binary, b binary, agree double"))
+    # no candidate at all comes from the forest, so all sets are open; small blocks deal out the sets of each shingle
+    monkeypatch.setattr(neardup, "forest", lambda sets, percent=75: (spark.createDataFrame([], "a binary, b binary, agree int"), sets.select("node")))
     for name, value in (("BLOCK", block), ("SAMPLE", 1 if block == 2 else neardup.SAMPLE), ("SEEN", 2)):
         monkeypatch.setattr(neardup, name, value)
     rows = copies(random.Random(6))
@@ -182,6 +182,55 @@ def test_links_that_the_forest_misses_are_found(spark, monkeypatch, block):
     assert out == brute.near_duplicates(rows)
 
 
+def test_links_in_dense_regions_are_found(spark):
+    # all share 300 words at a similarity of 0.72; some have one partner at 0.77
+    rng = random.Random(8)
+    shared, rows = words(rng, 300), []
+    for k in range(450):
+        own = words(rng, 58)
+        rows.append((k, " ".join(shared + own)))
+        if k < 50:
+            rows.append((1000 + k, " ".join(shared + own[:29] + words(rng, 29))))
+    rng.shuffle(rows)
+    out = {r.doc_id: r.component_id for r in neardup.near_duplicates(documents(spark, rows)).collect()}
+    assert out == {i: c for i, (_, c) in brute.near_duplicates(rows).items()} and sum(i != c for i, c in out.items()) == 50
+
+
+def test_depths_are_those_of_the_whole_order(spark, monkeypatch):
+    # the order is cut into ranges, some shorter than the reach; what is open doesn't depend on the cuts
+    rng = np.random.default_rng(3)
+    sig = rng.integers(0, 2, (60, neardup.HASHES)).astype(">u4")
+    sets = spark.createDataFrame([(bytearray(bytes([k]) * 16), 100, bytearray(x.tobytes())) for k, x in enumerate(sig)], "node binary, n int, sig binary")
+    chance = np.ones(len(sig))
+    for t in range(neardup.TREES):
+        place = [tuple(x[t * neardup.DEPTH : (t + 1) * neardup.DEPTH]) for x in sig]
+        order = sorted(range(len(sig)), key=lambda k: (place[k], k))
+        for i, k in enumerate(order):
+            outside = [place[order[j]] for j in range(len(order)) if abs(i - j) > neardup.REACH]
+            depth = 1 + max(next((d for d in range(neardup.DEPTH) if p[d] != place[k][d]), neardup.DEPTH) for p in outside)
+            chance[k] *= 1 if depth > neardup.DEPTH else 1 - 0.75**depth
+    cut = sorted(chance)[30] * 1.0001
+    monkeypatch.setattr(neardup, "MISS", cut)
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in (1, 4, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            pairs, open_sets = neardup.forest(sets)
+            assert {r.node[0] for r in open_sets.collect()} == set(np.flatnonzero(chance > cut)), parts
+            assert pairs.count() == pairs.distinct().count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+
+
+def test_clashing_and_dotted_names_stay_as_they_are(spark):
+    t = " ".join(words(random.Random(1), 50))
+    df = documents(spark, [(5, t), (6, t), (8, "another text that has six words")])
+    for name in ("_kept_id", "_kept_text", "_own_key", "_bad_id", "_id", "row", "id", "key", "a.b", "text_key", "item"):
+        df = df.withColumn(name, F.concat(F.lit(f"{name} "), "doc_id"))
+    left = neardup.without_near_duplicates(df)
+    assert left.columns == df.columns and sorted(tuple(r) for r in left.collect()) == sorted(tuple(r) for r in df.filter("doc_id <> 6").collect())
+
+
 def test_sketches_drop_no_candidate(spark):
     a, b = np.arange(1, 65, dtype=">u4"), np.arange(1, 65, dtype=">u4")
     b[30:] += 1  # 30 of 64 places agree

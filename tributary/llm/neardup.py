@@ -2,44 +2,51 @@
 
 Each distinct shingle set gets a MinHash signature. A tree of the forest is one sorted order of all signatures, read from
 its own start within the signature; there are `TREES` of them. Candidates are neighbours in an order: those up to `REACH`
-places apart that share at least the order's first hash. No prefix length is fixed beforehand: in a sparse region one common
-hash makes two sets neighbours, and in a dense region the places next to a set go to those with the longest common prefix,
-so the depth adapts to each region. A set has at most 2 * REACH * TREES candidates, whatever the size of its group: copies
+places apart that share at least the order's first hash. No prefix length is fixed beforehand: the depth of a set in a tree is the least
+prefix length whose other holders all stand within REACH, so in a sparse region one common hash makes two sets candidates, and in a dense
+one the longest common prefixes do. A set has at most 2 * REACH * TREES candidates, whatever the size of its group: copies
 of one text are one set, and groups of near copies are joined through chains of neighbours.
 
-Candidates whose sizes rule out a link are dropped (exact); all others are confirmed on the full shingle sets, first the best sketch of each set,
-then those that would still join two components.
-
-The forest only finds most links cheaply. What it may miss (links in dense regions) an exact join finds: in any total order of all shingles, two
+Depths also tell what the forest may miss. Two sets of similarity t share a prefix of d hashes with probability t ** d, so the chance that no tree
+finds a link of a set is the product of 1 - t ** depth over its trees. In sparse regions (depth 1 everywhere) that is 2e-10; sets with
+more than `MISS` are open. Links between open sets are found exactly, by a join: in any total order of all shingles, two
 sets of similarity t share one of the first n - ceil(t * n) + 1 shingles of each. The order puts rare shingles first; how rare they are is estimated
-from a sample, which changes the cost alone. Sets of different components that share such a shingle, and whose sizes and places of it allow a link,
+from a sample, which changes the cost alone. Open sets of different components that share such a shingle, and whose sizes and places of it allow a link,
 are confirmed. Shingles of many sets are dealt over blocks, so no task gets all pairs of one.
+
+Candidates whose sizes rule out a link are dropped (exact); all others are confirmed on the full shingle sets, first the best sketch of each set,
+then those that would still join two components.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, extended
-from .shared import ascii_words, dropped, hashes_of, saved, shingles, small_side
+from .shared import ascii_words, column, dropped, hashes_of, saved, shingles, small_side
 
 SHINGLE = 5
 HASHES = 64
-TREES = 12
-DEPTH = 5
+TREES = 16
+DEPTH = 4
 REACH = 3
+#: The chance of a missed link above which a set is open.
+MISS = 1e-8
 #: One set in SAMPLE tells how common a shingle is; those of fewer than SEEN sampled sets count as rare, and at most COMMON others are remembered.
 SAMPLE = 8
 SEEN = 3
 COMMON = 500_000
 #: Sets of a shingle that are compared in one block, about.
 BLOCK = 512
+#: Common shingles before its own that a posting names, to tell that two sets met already.
+EARLIER = 4
 
 _A = np.random.Generator(np.random.Philox(41)).integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = np.random.Generator(np.random.Philox(43)).integers(0, 2**63, HASHES, dtype=np.uint64)
@@ -53,6 +60,11 @@ def signature(items: np.ndarray) -> np.ndarray:
     return (low >> np.uint64(32)).astype(np.uint32)
 
 
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """_id, _text_key, _text of docs."""
+    return docs.select(column(id_col).alias("_id"), F.xxhash64(column(text_col)).alias("_text_key"), column(text_col).alias("_text"))
+
+
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """Per row: _id, _text_key, _set (128-bit key of the shingle set, null if empty), _n, _sig."""
 
@@ -64,93 +76,122 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> Dat
                 out.append((xxhash.xxh3_128_digest(s.tobytes()), len(s), signature(s).astype(">u4").tobytes()) if len(s) else (None, 0, None))
             yield pd.DataFrame({"_id": b["_id"], "_text_key": b["_text_key"], "_set": [x[0] for x in out], "_n": [x[1] for x in out], "_sig": [x[2] for x in out]})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_text_key"), F.col(text_col).alias("_text"))
-    return rows.mapInPandas(run, "_id long, _text_key long, _set binary, _n long, _sig binary")
+    rows = keyed(docs, id_col, text_col)
+    return rows.mapInPandas(run, f"_id {rows.schema['_id'].dataType.simpleString()}, _text_key long, _set binary, _n long, _sig binary")
+
 
+_FOREST = "tree int, place binary, node binary, n int, s0 long, s1 long"
+_FOREST_COLUMNS = [x.split()[0] for x in _FOREST.split(", ")]
+_FOUND = f"a binary, b binary, agree int, {_FOREST}, depth int"
+_FOUND_COLUMNS = [x.split()[0] for x in _FOUND.split(", ")]
 
-def _neighbours(b: pd.DataFrame, reach: int, new: int, percent: int) -> Iterator[pd.DataFrame]:
+
+def _common_prefix(places: np.ndarray, tree: np.ndarray, apart: int) -> np.ndarray:
+    """Hashes that each row's place has in common with that of the row so many places on."""
+    if apart >= len(tree):
+        return np.zeros(0, np.int64)
+    same = (places[:-apart] == places[apart:]) & (tree[:-apart] == tree[apart:])[:, None]
+    return np.logical_and.accumulate(same, axis=1).sum(axis=1)
+
+
+def _neighbours(b: pd.DataFrame, places: np.ndarray, tree: np.ndarray, reach: int, new: int, percent: int) -> Iterator[pd.DataFrame]:
     """Pairs of rows up to `reach` places apart with a common first hash; a < b.
 
     Sets whose sizes alone rule out a link make no pair: their similarity is at most the smaller size over the larger one.
     Pairs among the rows before `new` were seen with the batch before.
     """
-    n = b["n"].to_numpy(np.int64)
-    first = np.frombuffer(b"".join(x[:4] for x in b["place"]), ">u4")
-    tree, sets = b["tree"].to_numpy(), b["node"].to_numpy(object)
-    sketch = np.frombuffer(b"".join(b["sketch"]), np.uint8).reshape(len(b), HASHES)
+    n, sets = b["n"].to_numpy(np.int64), b["node"].to_numpy(object)
+    s0, s1 = b["s0"].to_numpy(np.int64), b["s1"].to_numpy(np.int64)
     for d in range(1, min(reach, len(b) - 1) + 1):
-        near = (tree[:-d] == tree[d:]) & (first[:-d] == first[d:])
+        near = (tree[:-d] == tree[d:]) & (places[:-d, 0] == places[d:, 0])
         near[: max(0, new - d)] = False
         near &= 100 * np.minimum(n[:-d], n[d:]) >= percent * np.maximum(n[:-d], n[d:])
         near = np.flatnonzero(near)
         if len(near):
             swap = sets[near] > sets[near + d]
             x, y = np.where(swap, near + d, near), np.where(swap, near, near + d)
-            yield pd.DataFrame({"a": sets[x], "b": sets[y], "agree": (sketch[near] == sketch[near + d]).mean(axis=1)})
-
+            agree = HASHES - np.bitwise_count(((s0[x] ^ s0[y]) | (s1[x] ^ s1[y])).view(np.uint64)).astype(np.int32)
+            yield pd.DataFrame({"a": sets[x], "b": sets[y], "agree": agree})
 
-_FOREST = "tree int, place binary, node binary, n int, sketch binary"
 
+def _scan(reach: int, percent: int, edges: bool):
+    """Reads rows in the forest's order; yields candidate pairs (a, b, agree), depths above 1 (tree, node, depth), and if asked the rows at the partition's ends.
 
-def _scan(reach: int, percent: int, columns: list[str], edges: bool):
-    """Reads rows in the forest's order; yields candidate pairs, and if asked the rows at the partition's ends."""
-    out = ["a", "b", "agree", *columns]
+    A depth needs the rows reach + 1 places away on both sides; those outside the partition count as sharing nothing.
+    """
+    step = reach + 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tail = head = None
+        late = 0  # rows at the end of the tail whose depth isn't known
         for b in batches:
             if not len(b):
                 continue
-            if head is None or len(head) < reach:
-                head = b.iloc[:reach] if head is None else pd.concat([head, b.iloc[: reach - len(head)]])
+            if head is None or len(head) < step:
+                head = b.iloc[:step] if head is None else pd.concat([head, b.iloc[: step - len(head)]])
             new = 0 if tail is None else len(tail)
             b = b if tail is None else pd.concat([tail, b], ignore_index=True)
-            found = [x for x in _neighbours(b, reach, new, percent) if len(x)]
-            tail = b.iloc[-reach:]
-            if found:
-                yield pd.concat(found).drop_duplicates(["a", "b"]).reindex(columns=out).astype({c: object for c in columns})
-        if edges and head is not None:
-            ends = pd.concat([head, tail]).drop_duplicates(["tree", "node"])
-            yield ends.reindex(columns=out).astype({"a": object, "b": object})
+            yield from found(b, new, new - late, max(0, len(b) - step))
+            late = min(step, len(b) - (new - late))
+            tail = b.iloc[-2 * step :]
+        if tail is not None:
+            yield from found(tail, len(tail), len(tail) - late, len(tail))
+            if edges:
+                ends = pd.concat([head, tail.iloc[-step:]]).drop_duplicates(["tree", "node"])
+                yield ends.reindex(columns=_FOUND_COLUMNS).astype({"a": object, "b": object, "agree": "Int32", "depth": "Int32"})
+
+    def found(b: pd.DataFrame, new: int, first: int, last: int) -> Iterator[pd.DataFrame]:
+        """Pairs that have a row from `new` on; depths of the rows first to last - 1."""
+        places, tree = np.frombuffer(b"".join(b["place"]), ">u4").reshape(len(b), DEPTH), b["tree"].to_numpy()
+        out = [x for x in _neighbours(b, places, tree, reach, new, percent) if len(x)]
+        if out:
+            out = [pd.concat(out).drop_duplicates(["a", "b"])]
+        common, gap = _common_prefix(places, tree, step), np.zeros(min(step, len(b)), np.int64)
+        depth = 1 + np.maximum(np.concatenate([common, gap]), np.concatenate([gap, common]))
+        deep = np.arange(first, max(first, last))
+        deep = deep[depth[deep] > 1]
+        if len(deep):
+            out.append(pd.DataFrame({"tree": tree[deep], "node": b["node"].to_numpy(object)[deep], "depth": depth[deep]}))
+        for x in out:
+            yield x.reindex(columns=_FOUND_COLUMNS).astype({c: "Int32" if c in ("agree", "tree", "n", "depth") else "Int64" if c in ("s0", "s1") else object for c in _FOUND_COLUMNS})
 
     return run
 
 
-def _in_order(rows: DataFrame, reach: int, percent: int) -> DataFrame:
-    """(a, b, agree) of neighbours in the order (tree, place, node), each pair once."""
-    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    columns = [x.split()[0] for x in _FOREST.split(", ")]
-    # ranges of the whole order, not of its first hash: a dense region spreads over many tasks
-    ordered = rows.repartitionByRange(parts, "tree", "place", "node").sortWithinPartitions("tree", "place", "node")
-    full = f"a binary, b binary, agree double, {_FOREST}"
-    found = saved(ordered.mapInPandas(_scan(reach, percent, columns, True), full), "forest")
-    # neighbours across a boundary between two ranges: `reach` rows from each side
-    ends = found.filter("node is not null").select(*columns).coalesce(1).sortWithinPartitions("tree", "place", "node")
-    across = ends.mapInPandas(_scan(reach, percent, columns, False), full)
-    both = found.filter("a is not null").select("a", "b", "agree").unionByName(across.filter("a is not null").select("a", "b", "agree"))
-    return both.groupBy("a", "b").agg(F.max("agree").alias("agree"))
-
-
 def _trees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each row once for every order."""
+    """Each row once for every order, with a sketch of two bits for each hash."""
     for b in batches:
         if not len(b):
             continue
         sig = np.frombuffer(b"".join(b["sig"]), np.uint8).reshape(len(b), HASHES, 4)
-        sketch = [x.tobytes() for x in sig[:, :, 3]]
+        s0, s1 = (np.packbits(sig[:, :, 3] >> k & 1, axis=1).view(np.int64)[:, 0] for k in (0, 1))
         for t in range(TREES):
             place = sig[:, t * DEPTH : (t + 1) * DEPTH]
-            yield pd.DataFrame({"tree": np.int32(t), "place": [x.tobytes() for x in place], "node": b["node"], "n": b["n"], "sketch": sketch})
+            yield pd.DataFrame({"tree": np.int32(t), "place": [x.tobytes() for x in place], "node": b["node"], "n": b["n"], "s0": s0, "s1": s1})
 
 
-def candidates(sets: DataFrame, percent: int = 75) -> DataFrame:
-    """(a, b, agree): neighbours in any tree of the forest, from rows (node, n, sig)."""
-    return _in_order(sets.mapInPandas(_trees, _FOREST), REACH, percent)
+def forest(sets: DataFrame, percent: int = 75) -> tuple[DataFrame, DataFrame]:
+    """From rows (node, n, sig): (a, b, agree), each pair of neighbours in some tree once; and (node) of the open sets."""
+    parts = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    # ranges of the whole order, not of its first hash: a dense region spreads over many tasks
+    ordered = sets.mapInPandas(_trees, _FOREST).repartitionByRange(parts, "tree", "place", "node").sortWithinPartitions("tree", "place", "node")
+    found = saved(ordered.mapInPandas(_scan(REACH, percent, True), _FOUND), "forest")
+    # neighbours across a boundary between two ranges: REACH + 1 rows from each side, so their number depends on the ranges alone
+    ends = found.filter("place is not null").select(*_FOREST_COLUMNS).coalesce(1).sortWithinPartitions("tree", "place", "node")
+    found = found.unionByName(ends.mapInPandas(_scan(REACH, percent, False), _FOUND))
+    pairs = found.filter("a is not null").groupBy("a", "b").agg(F.max("agree").alias("agree"))
+    # in each direction one of the two scans has seen the row that decides, and the other one no closer row
+    depths = found.filter("depth is not null").groupBy("node", "tree").agg(F.max("depth").alias("depth"))
+    # logarithm of the chance that no tree finds a link, above that of depth 1 everywhere
+    t = percent / 100
+    lost = F.when(F.col("depth") > DEPTH, 0.0).otherwise(F.log1p(-F.pow(F.lit(t), F.col("depth"))))
+    open_sets = depths.groupBy("node").agg(F.sum(lost - math.log1p(-t)).alias("more")).filter(F.col("more") > math.log(MISS) - TREES * math.log1p(-t)).select("node")
+    return pairs, open_sets
 
 
-def _id(node: bytes) -> int:
-    """A set's short name, from its key."""
-    return int.from_bytes(node[:8], "big", signed=True)
+def candidates(sets: DataFrame, percent: int = 75) -> DataFrame:
+    """(a, b, agree): neighbours in any tree of the forest, from rows (node, n, sig)."""
+    return forest(sets, percent)[0]
 
 
 def common_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -174,18 +215,21 @@ def common_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarra
     return got["shingle"].to_numpy(np.int64), got["sets"].to_numpy(np.int64)
 
 
+_POSTS = "shingle long, block long, own int, at int, n int, node binary, root binary, earlier binary"
+
+
 def first_shingles(texts: DataFrame, width: int, percent: int, values: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """(shingle, block, own, at, n, id) from rows (node, _text): the shingles that any linked set shares one of, rare ones first, with their place.
+    """Postings from rows (node, root, _text): the shingles that any linked set shares one of, rare ones first, with their place.
 
     A shingle of many sets has more than one block, for each two of its parts (own) one; block is a multiple of 65537 where both are the same.
+    earlier: the last EARLIER common shingles that the set has before this one, as int64; 0 for none.
     """
     common = texts.sparkSession.sparkContext.broadcast((values, counts))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         values, counts = common.value
         for b in batches:
-            out = []
-            for node, text in zip(b["node"], b["_text"], strict=True):
+            for node, root, text in zip(b["node"], b["root"], b["_text"], strict=True):
                 s = shingles(hashes_of(ascii_words(text)), width).view(np.int64)
                 sets = np.zeros(len(s), np.int64)
                 if len(values):
@@ -193,31 +237,71 @@ def first_shingles(texts: DataFrame, width: int, percent: int, values: np.ndarra
                     sets = np.where(values[k] == s, counts[k], 0)
                 first = np.lexsort((s, sets))[: len(s) - -(-percent * len(s) // 100) + 1]
                 parts = np.clip(sets[first] * SAMPLE // BLOCK, 1, 65535)
-                own, place = _id(node) % parts, np.arange(len(first))
+                own, place = int.from_bytes(node[:8], "big") % parts.astype(np.uint64), np.arange(len(first))
+                own = own.astype(np.int64)
                 r = np.repeat(place, parts)
                 other = np.arange(len(r)) - np.repeat(np.cumsum(parts) - parts, parts)
                 block = np.minimum(own[r], other) * 65536 + np.maximum(own[r], other)
-                out.append(pd.DataFrame({"shingle": s[first][r], "block": block, "own": own[r].astype(np.int32), "at": r.astype(np.int32), "n": np.int32(len(s)), "id": np.int64(_id(node))}))
-            if out:
-                yield pd.concat(out)
+                # rare shingles, which are not named, come first
+                named = np.concatenate([np.zeros(EARLIER, np.int64), np.where(sets[first] > 0, s[first], 0)])
+                earlier = [named[k : k + EARLIER].tobytes() for k in place]
+                yield pd.DataFrame({"shingle": s[first][r], "block": block, "own": own[r].astype(np.int32), "at": r.astype(np.int32), "n": np.int32(len(s)), "node": node, "root": root, "earlier": [earlier[k] for k in r]})
 
-    return texts.select("node", "_text").mapInPandas(run, "shingle long, block long, own int, at int, n int, id long")
+    return texts.select("node", "root", "_text").mapInPandas(run, _POSTS)
 
 
-def exact_candidates(texts: DataFrame, of: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b), a < b: every pair of sets of different components that may be linked, from rows (node, _text) and (node, root)."""
-    each = Window.partitionBy("shingle", "block")
+def _meetings(percent: int):
+    """From postings in the order of (shingle, block): pairs of sets (a, b), a < b, of different roots that may be linked."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for b in batches:
+            b = b if held is None else pd.concat([held, b], ignore_index=True)
+            if len(b):
+                # the last block may go on in the next batch
+                last = ((b["shingle"] == b["shingle"].iat[-1]) & (b["block"] == b["block"].iat[-1])).to_numpy()
+                start = len(b) - int(last.sum())
+                held = b.iloc[start:]
+                yield from met(b.iloc[:start])
+        if held is not None:
+            yield from met(held)
+
+    def met(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        if len(b) < 2:
+            return
+        shingle, block, own, at, n = (b[c].to_numpy(np.int64) for c in ("shingle", "block", "own", "at", "n"))
+        node, root = b["node"].to_numpy(object), pd.factorize(b["root"])[0]
+        earlier = np.frombuffer(b"".join(b["earlier"]), np.int64).reshape(len(b), EARLIER)
+        run_of = np.cumsum(np.concatenate([[True], (shingle[1:] != shingle[:-1]) | (block[1:] != block[:-1])]))
+        within = block % 65537 == 0
+        x, found = np.arange(len(b)), []
+        for d in range(1, len(b)):
+            x = x[x < len(b) - d]
+            x = x[run_of[x] == run_of[x + d]]
+            if not len(x):
+                break
+            y = x + d
+            # the first shingle that two sets share leaves at most so many others: both sizes and places bound what they have in common
+            may = (root[x] != root[y]) & (within[x] | (own[x] != own[y])) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+            may &= (100 + percent) * np.minimum(n[x] - at[x], n[y] - at[y]) >= percent * (n[x] + n[y])
+            i, j = x[may], y[may]
+            # two sets that share an earlier shingle met there, where the bound is the one that holds
+            before = ((earlier[i][:, :, None] == earlier[j][:, None, :]) & (earlier[i] != 0)[:, :, None]).any(axis=(1, 2))
+            i, j = i[~before], j[~before]
+            if len(i):
+                swap = node[i] > node[j]
+                found.append(pd.DataFrame({"a": np.where(swap, node[j], node[i]), "b": np.where(swap, node[i], node[j])}))
+        if found:
+            yield pd.concat(found).drop_duplicates()
+
+    return run
+
+
+def exact_candidates(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b), a < b: every pair of sets of different components that may be linked, from rows (node, root, _text)."""
     posts = first_shingles(texts, width, percent, *common_shingles(texts, width))
-    shared = saved(posts.withColumn("sets", F.count(F.lit(1)).over(each)).filter("sets > 1").drop("sets"), "shared")
-    short = of.select(F.conv(F.hex(F.substring("node", 1, 8)), 16, -10).cast("long").alias("id"), "node", "root")
-    known = saved(shared.join(short, "id").drop("id"), "known")
-    dropped(shared)
-    x, y = (known.select("shingle", "block", *(F.col(c).alias(f"{c}_{k}") for c in ("own", "at", "n", "node", "root"))) for k in "xy")
-    # the first shingle that two sets share leaves at most so many others: both sizes and places bound what they have in common
-    most = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
-    may = (F.col("node_x") < F.col("node_y")) & (F.col("root_x") != F.col("root_y")) & ((F.col("block") % 65537 == 0) | (F.col("own_x") != F.col("own_y")))
-    may &= (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) & ((100 + percent) * most >= percent * (F.col("n_x") + F.col("n_y")))
-    return x.join(y, ["shingle", "block"]).filter(may).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
+    parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return posts.repartition(parts, "shingle", "block").sortWithinPartitions("shingle", "block").mapInPandas(_meetings(percent), "a binary, b binary").distinct()
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -249,15 +333,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = saved(shingle_sets(docs, id_col, text_col, width), "sets")
     # one node for each distinct set; copies meet here, added up before the shuffle
     nodes = saved(rows.filter("_set is not null").groupBy(F.col("_set").alias("node")).agg(F.min("_id").alias("least"), F.min(F.struct("_id", "_text_key")).alias("who"), F.first("_n").cast("int").alias("n"), F.first("_sig").alias("sig")), "nodes")
-    pairs = saved(candidates(nodes.select("node", "n", "sig"), percent), "pairs")
+    pairs, open_sets = forest(nodes.select("node", "n", "sig"), percent)
+    pairs, open_sets = saved(pairs, "pairs"), saved(open_sets, "open")
 
-    keyed = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_text_key"), F.col(text_col).alias("_text"))
+    whole = keyed(docs, id_col, text_col)
 
     def texts_of(some: DataFrame) -> DataFrame:
         """(node, _text) of nodes."""
         wanted = some.select("node", F.col("who._id").alias("_id"), F.col("who._text_key").alias("_text_key"))
         on = small_side(wanted, wanted.count())
-        return keyed.join(on, keyed["_id"].eqNullSafe(on["_id"]) & (keyed["_text_key"] == on["_text_key"])).select("node", "_text")
+        return whole.join(on, whole["_id"].eqNullSafe(on["_id"]) & (whole["_text_key"] == on["_text_key"])).select("node", "_text")
 
     def named(pairs: DataFrame) -> DataFrame:
         return saved(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", "who"), "wanted")
@@ -273,9 +358,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if more.head(1):
         roots = extended(roots, more)
     dropped(texts)
-    of = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    of = open_sets.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    texts = saved(texts_of(open_sets.join(nodes, "node").select("node", "who")).join(of, "node"), "texts")
     # tried pairs across two components failed
-    exact = saved(exact_candidates(texts_of(nodes), of, width, percent).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "exact")
+    exact = saved(exact_candidates(texts, width, percent).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "exact")
+    dropped(texts)
     if exact.head(1):
         texts = saved(texts_of(named(exact)), "texts")
         more = saved(confirmed(exact, texts, width, percent), "links")
@@ -293,11 +380,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay: one of each group of near duplicates, with the columns that docs has.
+    """The rows of docs that stay: one of each group of near duplicates, with the columns that docs has, whatever their names.
 
-    The row that stays has the smallest id; of repeated rows with that id and text, one stays.
+    The row that stays has the smallest id; of repeated rows with that id and text, one stays. Rows with null or empty text are groups of
+    their own, so one of those that share an id stays. An empty table gives an empty one.
     """
-    marks = near_duplicates(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_key").alias("_kept_text")).distinct()
-    keyed = docs.withColumn("_kept_id", F.col(id_col).cast("long")).withColumn("_kept_text", F.xxhash64(text_col))
-    on = keyed["_kept_id"].eqNullSafe(marks["_kept_id"]) & (keyed["_kept_text"] == marks["_kept_text"])
-    return keyed.join(marks, on, "left_semi").dropDuplicates(["_kept_id", "_kept_text"]).select(*docs.columns)
+    marks = near_duplicates(docs, id_col, text_col).filter("kept").select("doc_id", "text_key").distinct()
+    # the columns of docs travel in one struct, so that no name of theirs can clash
+    rows = docs.select(F.struct(*map(column, docs.columns)).alias("row"), column(id_col).alias("id"), F.xxhash64(column(text_col)).alias("key"))
+    on = rows["id"].eqNullSafe(marks["doc_id"]) & (rows["key"] == marks["text_key"])
+    return rows.join(marks, on, "left_semi").dropDuplicates(["id", "key"]).select("row.*")
