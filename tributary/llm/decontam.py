@@ -1,13 +1,14 @@
 r"""Benchmark decontamination by winnowing, native.
 
 Texts are words `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` with A-Z lower-cased. Of every 6 consecutive hashes of 5-word grams, the smallest is a
-fingerprint, in documents as in benchmark items; so any 10 words that both share hold a common fingerprint. Fingerprints are
-joined, and each hit is extended along its diagonal (document place minus item place) by comparing the words themselves, so hash
-collisions give no hit. A run of at least 10 equal words, or of a whole item that is shorter, is what was shared: its words are exactly the
-document's words inside occurrences of windows on that diagonal. Items of fewer than 10 words are their own fingerprint; documents are then also cut into grams of
-the lengths that such items have.
+fingerprint, in documents as in benchmark items; so any 10 words that both share hold a common fingerprint. Places of documents whose fingerprint
+the benchmark has are hits. Each is extended to the windows of 10 words around it, which are compared with those of the items word by word, so hash
+collisions give no hit, and each shared window is found, as it holds a hit. Items of fewer than 10 words are one window and their own fingerprint; documents
+are then also cut into grams of the lengths that such items have.
 
-All is column expressions. Fingerprints of the benchmark are broadcast after they were counted, else both sides are shuffled. Documents' texts aren't shuffled unless
+Places of a document never meet places of an item: a text of one word, repeated, costs as much as any other. Windows that many items share are one row.
+
+All is column expressions. Fingerprints and windows of the benchmark are broadcast after they were counted, else both sides are shuffled. Documents' texts aren't shuffled unless
 more than BROADCAST_ROWS documents have hits.
 """
 
@@ -17,10 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .native import ascii_lower, let
-from .shared import saved, small_side
+from .shared import column, saved, small_side
 
 WINDOW = 10
 GRAM = 5
+#: Windows of items that are broadcast at most, at about 100 bytes each.
+WINDOWS = 100_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words before A-Z are lower-cased, for counting.
 ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -68,29 +71,35 @@ def _any(conditions: list[Column]) -> Column:
 
 
 def fingerprints(words: Column, window: int = WINDOW, gram: int = GRAM, short: tuple[int, ...] = ()) -> Column:
-    """array<struct<fp bigint, at int>> of a word array: winnowed grams, and all grams of the lengths in `short`."""
+    """array<struct<fp bigint, at int, n int>> of a word array: winnowed grams (n is the window), and all grams of the lengths n in `short`."""
+
+    def all_of(hashes: Column, n: int) -> Column:
+        every = let(_grams(hashes, n), lambda g: F.arrays_zip(g.alias("fp"), _upto(F.size(g)).alias("at")))
+        return F.transform(every, lambda x: F.struct(x["fp"].alias("fp"), x["at"].alias("at"), F.lit(n).alias("n")))
 
     def of(hashes: Column) -> Column:
-        parts = [let(_grams(hashes, gram), lambda g: _picked(g, window - gram + 1))]
-        parts += [F.transform(let(_grams(hashes, n), lambda g: F.arrays_zip(g.alias("fp"), _upto(F.size(g)).alias("at"))), lambda x: F.struct(x["fp"].alias("fp"), x["at"].alias("at"))) for n in short]
+        picked = let(_grams(hashes, gram), lambda g: _picked(g, window - gram + 1))
+        parts = [F.transform(picked, lambda x: F.struct(x["fp"].alias("fp"), x["at"].alias("at"), F.lit(window).alias("n")))]
+        parts += [all_of(hashes, n) for n in short]
         return F.concat(*parts) if len(parts) > 1 else parts[0]
 
     return let(F.transform(words, lambda w: F.xxhash64(w)), of)
 
 
-def _runs(doc: Column, item: Column, diagonal: Column, window: int) -> Column:
-    """array<struct<s int, e int>>: places in the document of equal runs on the diagonal that are long enough."""
-    low = F.greatest(F.lit(0), diagonal)
-    high = F.least(F.size(doc), F.size(item) + diagonal) - 1
-    unequal = F.filter(F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>")), lambda i: F.get(doc, i) != F.get(item, i - diagonal))
-    need = F.least(F.lit(window), F.size(item))
-    ends = F.concat(F.array(low - 1), unequal, F.array(high + 1))
+def _window(words: Column, start: Column, n: Column) -> Column:
+    """The words of a window as one string; a word holds no blank."""
+    return F.array_join(F.slice(words, start + 1, n), " ")
+
 
-    def between(x: Column) -> Column:
-        runs = F.transform(_upto(F.size(x) - 1), lambda j: F.struct((F.get(x, j) + 1).alias("s"), (F.get(x, j + 1) - 1).alias("e")))
-        return F.filter(runs, lambda r: r["e"] - r["s"] + 1 >= need)
+def _covered(windows: Column) -> Column:
+    """Places inside any of array<struct<start, n>>, sorted by start."""
+    zero = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("places"))
 
-    return let(ends, between)
+    def step(acc: Column, w: Column) -> Column:
+        end = F.greatest(acc["end"], w["start"] + w["n"])
+        return F.struct(end.alias("end"), (acc["places"] + end - F.greatest(acc["end"], F.least(w["start"], end))).alias("places"))
+
+    return F.aggregate(windows, zero, step)["places"]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -101,28 +110,29 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Repeated rows get equal results; rows that share id but not text are kept apart by the text's hash. Empty tables give no rows, or no
     hits. Only the named columns are read.
     """
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), words_of(F.col(item_text_col)).alias("iw")).filter(F.size("iw") > 0).distinct()
-    items = saved(items.withColumn("ikey", F.xxhash64("item", "iw")), "items")
-    n_items, lengths = items.count(), [r[0] for r in items.filter(F.size("iw") < window).select(F.size("iw")).distinct().collect()]
-    short = tuple(sorted(lengths))
+    items = benchmark.select(F.coalesce(column(item_col).cast("string"), F.lit("")).alias("item"), words_of(column(item_text_col)).alias("iw")).filter(F.size("iw") > 0).distinct()
+    items = saved(items.withColumn("n", F.least(F.size("iw"), F.lit(window))), "items")
+    short = tuple(sorted(r[0] for r in items.filter(F.col("n") < window).select("n").distinct().collect()))
     # a short item's own length is the only one that it needs
-    own = F.when(F.size("iw") < window, F.filter(fingerprints(F.col("iw"), window, GRAM, short), lambda x: x["at"] == 0)).otherwise(fingerprints(F.col("iw"), window, GRAM)) if short else fingerprints(F.col("iw"), window, GRAM)
-    prints = saved(items.select("ikey", F.inline(own)).select("fp", "ikey", F.col("at").alias("iat")), "prints")
-    n_prints = prints.count()
+    prints = items.select("n", F.inline(fingerprints(F.col("iw"), window, GRAM, short)).alias("fp", "at", "of")).filter("of = n").select("fp", "n").distinct()
+    prints = saved(prints, "prints")
+    starts = F.transform(_upto(F.size("iw") - F.col("n") + 1), lambda i: _window(F.col("iw"), i, F.col("n")))
+    windows = saved(items.select("item", "n", F.explode(starts).alias("win")).groupBy("n", "win").agg(F.array_sort(F.collect_set("item")).alias("found")), "windows")
 
-    keyed = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text_key"), F.col(text_col).alias("_text"))
+    keyed = docs.select(column(id_col).alias("_id"), F.xxhash64(column(text_col)).alias("_text_key"), column(text_col).alias("_text"))
     cut = keyed.select("_id", "_text_key", F.inline(fingerprints(words_of(F.col("_text")), window, GRAM, short)))
-    hits = saved(cut.join(small_side(prints, n_prints), "fp").select("_id", "_text_key", "ikey", (F.col("at") - F.col("iat")).alias("diagonal")).distinct(), "hits")
-
-    where = hits.groupBy("_id", "_text_key").agg(F.collect_list(F.struct("ikey", "diagonal")).alias("found"))
-    n_hits = hits.count()
-    w = small_side(where, n_hits).withColumnsRenamed({"_id": "_wid", "_text_key": "_wkey"})
-    met = keyed.join(w, F.col("_id").eqNullSafe(F.col("_wid")) & (F.col("_text_key") == F.col("_wkey")))
-    each = met.select("_id", "_text_key", words_of(F.col("_text")).alias("dw"), F.explode("found").alias("f")).select("_id", "_text_key", "dw", "f.*")
-    each = each.join(small_side(items, n_items, 20_000), "ikey").select("_id", "_text_key", "item", _runs(F.col("dw"), F.col("iw"), F.col("diagonal"), window).alias("runs")).filter(F.size("runs") > 0)
-    shared = each.groupBy("_id", "_text_key").agg(F.collect_list("runs").alias("runs"), F.array_sort(F.collect_set("item")).alias("items"))
-    places = F.array_distinct(F.flatten(F.transform(F.flatten("runs"), lambda r: F.sequence(r["s"], r["e"]))))
-    shared = saved(shared.select(F.col("_id").alias("_sid"), F.col("_text_key").alias("_skey"), F.size(places).cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.array_join("items", ",").alias("items")), "shared")
+    hits = cut.join(small_side(prints, prints.count()), ["fp", "n"], "left_semi")
+    where = saved(hits.groupBy("_id", "_text_key").agg(F.collect_set(F.struct("at", "n")).alias("places")), "hits")
+    w = small_side(where, where.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0]).withColumnsRenamed({"_id": "_wid", "_text_key": "_wkey"})
+    met = keyed.join(w, F.col("_id").eqNullSafe(F.col("_wid")) & (F.col("_text_key") == F.col("_wkey"))).select("_id", "_text_key", words_of(F.col("_text")).alias("dw"), "places")
+    # the windows that hold a hit: a winnowed gram has room for several, a short item's gram is its window
+    around = F.flatten(F.transform("places", lambda p: F.transform(F.sequence(p["at"] - F.when(p["n"] == window, window - GRAM).otherwise(0), p["at"]), lambda i: F.struct(i.alias("start"), p["n"].alias("n")))))
+    fits = F.filter(F.array_distinct(around), lambda x: (x["start"] >= 0) & (x["start"] + x["n"] <= F.size("dw")))
+    near = met.select("_id", "_text_key", F.inline(let(F.col("dw"), lambda dw: F.transform(fits, lambda x: F.struct(x["start"].alias("start"), x["n"].alias("n"), _window(dw, x["start"], x["n"]).alias("win"))))))
+    same = near.join(small_side(windows, windows.count(), WINDOWS), ["n", "win"])
+    shared = same.groupBy("_id", "_text_key").agg(F.collect_set(F.struct("start", "n")).alias("windows"), F.collect_set("found").alias("found"))
+    found = F.array_sort(F.array_distinct(F.flatten("found")))
+    shared = saved(shared.select(F.col("_id").alias("_sid"), F.col("_text_key").alias("_skey"), _covered(F.array_sort("windows")).alias("n_hit"), F.size(found).cast("long").alias("n_items"), F.array_join(found, ",").alias("items")), "shared")
     out = keyed.select("_id", "_text_key", word_total(F.col("_text")).alias("n_words"))
     out = out.join(small_side(shared, shared.count()), F.col("_id").eqNullSafe(F.col("_sid")) & (F.col("_text_key") == F.col("_skey")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
@@ -130,8 +140,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without any shared window, with the columns that docs has."""
-    bad = saved(contamination(docs, benchmark, id_col, text_col).filter("contaminated").select(F.col(id_col).alias("_bad_id"), F.col("text_key").alias("_bad_key")).distinct(), "bad")
-    keyed = docs.withColumn("_own_key", F.xxhash64(text_col))
+    """The rows of docs without any shared window, with the columns that docs has, whatever their names.
+
+    Repeated rows stay or go together. An empty benchmark keeps all rows, empty docs give none; null and empty texts stay.
+    """
+    bad = saved(contamination(docs, benchmark, id_col, text_col).filter("contaminated").select(column(id_col).alias("id"), "text_key").distinct(), "bad")
+    # the columns of docs travel in one struct, so that no name of theirs can clash
+    rows = docs.select(F.struct(*map(column, docs.columns)).alias("row"), column(id_col).alias("_id"), F.xxhash64(column(text_col)).alias("_key"))
     b = small_side(bad, bad.count())
-    return keyed.join(b, keyed[id_col].eqNullSafe(b["_bad_id"]) & (keyed["_own_key"] == b["_bad_key"]), "left_anti").select(*docs.columns)
+    return rows.join(b, rows["_id"].eqNullSafe(b["id"]) & (rows["_key"] == b["text_key"]), "left_anti").select("row.*")
