@@ -5,12 +5,11 @@ is not one of them: eight or more digits with separators, or a name, "at"-sign a
 right, and one word on both sides) are the lexical patterns. Spark scores the graph of patterns and instances for `ROUNDS` rounds:
 a pattern's confidence is the share of the weight of its instances that are believed, an instance's is that one of its patterns at
 least is right (noisy or); seeds stay at 1, and so do unmarked strings with the characters of a seed. Instances that reach `INSTANCE_LEAST` through patterns seen with `SUPPORT` different
-seeds at least become spans of their kind. Only contexts are shuffled, never texts.
+seeds at least become spans of their kind, where a believed pattern stands around them. Only contexts are shuffled, never texts.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -18,13 +17,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import dropped, saved
+from .shared import column, dropped, saved
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
 SUPPORT = 3
 PATTERN_LEAST = 0.6
 INSTANCE_LEAST = 0.8
+#: Characters on each side of a string that its contexts come from.
+CONTEXT = 120
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -81,21 +82,29 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def _contexts(text: str, start: int, end: int) -> list[str]:
-    left = [x.lower() for x in _WORD.findall(text[max(0, start - 80) : start])][-2:]
-    right = [x.lower() for x in _WORD.findall(text[end : end + 80])][:1]
+    """Patterns around a string: its neighbours within CONTEXT characters, less a word that the limit cuts."""
+    before, after = text[max(0, start - CONTEXT - 1) : start], text[end : end + CONTEXT + 1]
+    left, right = [[m.span() for m in _WORD.finditer(x)] for x in (before, after)]
+    left = [before[a:b].lower() for a, b in left if a or start <= CONTEXT][-2:]
+    right = [after[a:b].lower() for a, b in right if b < len(after) or end + CONTEXT >= len(text)][:1]
     one = left[-1] if left else "^"
     after = right[0] if right else "$"
     return [f"<{one}", f"<<{' '.join(left)}"] * bool(left) + [f">{after}"] * bool(right) + [f"{one}_{after}"]
 
 
 def _candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Loosely identifier-like strings that overlap no span taken. Both are read from left to right, once for each pattern."""
     spans = sorted((a, b) for _, a, b in taken)
     out = []
     for kind, rx in (("number", _NUMBERS), ("email", _ADDRESS)):
         if kind == "email" and not any(x in text for x in "([{<"):
             continue
+        at = reached = 0
         for m in rx.finditer(text):
-            if not any(a < m.end() and m.start() < b for a, b in spans):
+            while at < len(spans) and spans[at][0] < m.end():
+                reached = max(reached, spans[at][1])
+                at += 1
+            if reached <= m.start():
                 out.append((kind, m.start(), m.end()))
     return out
 
@@ -114,7 +123,7 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             out = pd.DataFrame(rows, columns=["base", *(f"n_{k}" for k in KINDS), "seen"], index=b.index)
             yield pd.concat([b[["_id", "_text_key"]], out], axis=1)
 
-    inner = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text_key"), F.col(text_col).alias("_text"))
+    inner = docs.select(column(id_col).alias("_id"), F.xxhash64(column(text_col)).alias("_text_key"), column(text_col).alias("_text"))
     counts = ", ".join(f"n_{k} long" for k in KINDS)
     return inner.mapInPandas(run, f"_id {inner.schema['_id'].dataType.simpleString()}, _text_key long, base string, {counts}, seen array<struct<kind:string,start:int,end:int,seed:boolean,instance:string,contexts:array<string>>>")
 
@@ -136,6 +145,7 @@ def discovered(rows: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     for _ in range(rounds):
         now = graph.withColumn("belief", F.when(F.col("seed") | F.col("known"), 1.0).otherwise(0.0)) if belief is None else graph.join(belief, ["kind", "instance"], "left").withColumn("belief", F.when(F.col("seed") | F.col("known"), 1.0).otherwise(F.coalesce("belief", F.lit(0.0))))
         patterns = now.groupBy("kind", "pattern").agg((F.sum(F.col("belief") * F.log1p("n")) / F.sum(F.log1p("n"))).alias("confidence")).filter(F.col("confidence") >= PATTERN_LEAST)
+        patterns = saved(patterns, "pii-patterns")
         heard = graph.filter("not seed").join(patterns, ["kind", "pattern"])
         new = heard.groupBy("kind", "instance").agg(F.when(F.bool_or("known"), 1.0).otherwise(1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999)))))).alias("belief"))
         new = saved(new, "pii-belief")
@@ -143,7 +153,10 @@ def discovered(rows: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             dropped(belief)
         belief = new
     best = belief.filter(F.col("belief") >= INSTANCE_LEAST).groupBy("instance").agg(F.max_by("kind", F.struct("belief", "kind")).alias("kind"))
-    return seen.filter("not seed").drop("kind").join(best, "instance").select("_id", "_text_key", "kind", "start", "end").distinct()
+    # an occurrence is marked where one of the patterns that are believed stands around it, not wherever the same characters stand
+    sure = graph.filter("not seed").join(patterns, ["kind", "pattern"]).select("kind", "pattern", "instance").distinct()
+    there = seen.filter("not seed").drop("kind").withColumn("pattern", F.explode("contexts")).join(best, "instance").join(sure, ["kind", "pattern", "instance"], "left_semi")
+    return there.select("_id", "_text_key", "kind", "start", "end").distinct()
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -163,7 +176,3 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     new = F.transform(F.coalesce("more", F.array().cast("array<struct<kind:string,start:int,end:int>>")), lambda x: F.struct(order[x["kind"]].alias("o"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
     spans = F.array_join(F.transform(F.array_sort(F.concat(old, new)), lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     return out.select(F.col("_id").alias(id_col), *(f"n_{k}" for k in KINDS), F.sha2("base", 256).alias("base_sha256"), F.when(F.col("more").isNull(), F.col("base")).otherwise(spans).alias("spans"), F.coalesce(F.size("more"), F.lit(0)).alias("found"))
-
-
-def sha(spans: list[tuple[str, int, int]]) -> str:
-    return hashlib.sha256(_joined(spans).encode()).hexdigest()
