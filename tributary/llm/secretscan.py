@@ -17,6 +17,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import column
+
 KINDS = ("assign", "access", "hex")
 #: Bits that a character of a candidate must add at least; base64 has 6, hex 4, identifiers made of usual words about 2.
 BITS_LEAST = 3.2
@@ -76,14 +78,19 @@ def _masked(part: str, candidate: str) -> str:
 
 
 def novel_spans(text: str, base: list[tuple[str, int, int]], novelty: Novelty, least: float = BITS_LEAST) -> list[tuple[str, int, int]]:
-    out, done = [], 0
+    """Spans of kind novel, by start. Base spans and candidates are both read from left to right, once."""
+    taken = sorted((a, b) for _, a, b in base)
+    out, done, at, reached = [], 0, 0, 0
     for s in _SENSITIVE.finditer(text):
         # candidates that start in the context: the least of them end 11 characters behind it
         for m in _CANDIDATE.finditer(text, max(s.end(), done), min(len(text), s.end() + CONTEXT + 11)):
             # the window may end inside a candidate: it is read to its own end
             whole = _CANDIDATE.match(text, m.start())
             done = whole.end()
-            if any(a < whole.end() and m.start() < b for _, a, b in base):
+            while at < len(taken) and taken[at][0] < whole.end():
+                reached = max(reached, taken[at][1])
+                at += 1
+            if reached > m.start():
                 continue
             # copies are masked in a wider window first, so that its edge cuts none that reaches into the surroundings
             wide = SURROUNDINGS + len(whole[0])
@@ -109,7 +116,11 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def secrets_found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, counts of base spans, base (joined spans), spans (all, joined). Null texts are empty. Whole texts are read; each row by itself."""
+    """Per row: id, counts of base spans, base (joined spans), spans (all, joined).
+
+    Null texts are empty: no spans. Whole texts are read; each row by itself, so repeated rows get equal results, ids may be null or tied, and an
+    empty table gives no rows. Only id and text are read; other columns may have any name.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         novelty = Novelty()
@@ -121,13 +132,16 @@ def secrets_found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             out = pd.DataFrame(rows, columns=[*(f"n_{k}" for k in KINDS), "base", "spans"], index=b.index)
             yield pd.concat([b[["id"]], out], axis=1)
 
-    inner = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    inner = docs.select(column(id_col).alias("id"), column(text_col).alias("text"))
     counts = ", ".join(f"n_{k} long" for k in KINDS)
     return inner.mapInPandas(run, f"id {inner.schema['id'].dataType.simpleString()}, {counts}, base string, spans string").withColumnRenamed("id", id_col)
 
 
 def redacted(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with every span of a secret replaced by mark; overlapping spans are one. All columns and rows stay; null texts stay null."""
+    """docs with every span of a secret replaced by mark; overlapping spans are one.
+
+    All columns, of any name, and all rows stay, repeated ones too; null and empty texts stay as they are; an empty table stays empty.
+    """
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
@@ -143,4 +157,4 @@ def redacted(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") ->
             out.append("".join([*parts, text[at:]]) if spans else text)
         return pd.Series(out, dtype=object)
 
-    return docs.withColumn(text_col, clean(F.col(text_col)))
+    return docs.select(*(clean(column(c)).alias(c) if c == text_col else column(c) for c in docs.columns))
