@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import hashes_of, mixed
+from .shared import column, hashes_of, mixed
 
 BITS = 18
 MOST_LABELLED = 12_000
@@ -107,13 +107,21 @@ def train(labelled: DataFrame, epochs: int = EPOCHS, alpha: float = 0.3, beta: f
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, where: Column | None = None, most: int = MOST_LABELLED, seed: int = 17) -> DataFrame:
-    """At most `most` rows (_order, _text, _label). Ids with several labels have the smallest; null ids and labels are left out."""
-    ids = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
+    """At most `most` rows (_order, _text, _label). Ids with several labels have the smallest; null ids and labels are left out.
+
+    Repeated rows count once; rows that share an id but not the text are examples of their own, under the same bound.
+    """
+    ids = labels.select(column(id_col).alias("_id"), column(label_col).cast("int").alias("_label"))
     ids = ids.filter("_id is not null and _label is not null")
     ids = ids if where is None else ids.filter(where)
     ids = ids.groupBy("_id").agg(F.min("_label").alias("_label"))
     ids = ids.withColumn("_order", F.xxhash64(F.lit(seed), "_id")).orderBy("_order", "_id").limit(most)
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(ids), "_id").select("_order", "_text", "_label")
+    ids = F.broadcast(ids)
+    rows = docs.select(column(id_col).alias("_id"), F.xxhash64(column(text_col)).alias("_key"), column(text_col).alias("_text"))
+    # the bound holds for rows, not only for ids
+    chosen = rows.join(ids, "_id").select("_order", "_id", "_key").distinct().orderBy("_order", "_id", "_key").limit(most).drop("_order")
+    texts = rows.join(F.broadcast(chosen), ["_id", "_key"]).groupBy("_id", "_key").agg(F.first("_text").alias("_text"))
+    return texts.join(ids, "_id").select("_order", "_text", "_label")
 
 
 def score(docs: DataFrame, weights: np.ndarray, keep: list[str], text_col: str = "text") -> DataFrame:
@@ -130,7 +138,7 @@ def score(docs: DataFrame, weights: np.ndarray, keep: list[str], text_col: str =
                 out[k] = float(np.sum(w[i] * x, dtype=np.float64)) + float(w[-1])
             yield b[names].assign(score=1 / (1 + np.exp(-np.clip(out, -35, 35))))
 
-    inner = docs.select(*(F.col(c).alias(n) for c, n in zip(keep, names, strict=True)), F.col(text_col).alias("_text"))
+    inner = docs.select(*(column(c).alias(n) for c, n in zip(keep, names, strict=True)), column(text_col).alias("_text"))
     schema = ", ".join([*(f"{n} {inner.schema[n].dataType.simpleString()}" for n in names), "score double"])
     return inner.mapInPandas(run, schema).toDF(*keep, "score")
 
