@@ -120,6 +120,8 @@ def test_pii_patterns_discover_unseen_identifiers(spark):
     rows = [(i, f"please call +49 30 {1000000 + i} today") for i in range(8)] + [(50, "please call 030 9876543 today"), (51, "part 030 9876543 was lost"), (52, "serial 12 3456 7890 is unrelated")]
     out = {r.doc_id: r for r in pii.personal_data(documents(spark, rows)).collect()}
     assert out[50].found == 1 and out[50].spans.startswith("phone:12:") and out[52].found == 0 and out[0].found == 0
+    # the same characters in a context that nothing speaks for
+    assert out[51].found == 0 and out[51].spans == ""
     assert pii.personal_data(documents(spark, rows).limit(0)).count() == 0
 
 
@@ -301,10 +303,27 @@ def test_text_as_media_is_lossless(spark):
         assert (out[i].n_bytes, out[i].payload_bytes, out[i].tail_crc32) == (len(plain), len(padded), zlib.crc32(padded[-64:]))
         import hashlib
 
-        assert out[i].payload_sha256 == hashlib.sha256(padded).hexdigest() and out[i].media_bytes == len(padded) + 44
+        assert out[i].payload_sha256 == hashlib.sha256(padded).hexdigest() and out[i].media_bytes == len(media.CARRIER) + len(padded) + 44
+        stored = media.CARRIER + media.wav(padded)
+        x = [v - 128 for v in padded]
+        assert out[i].media_sha256 == hashlib.sha256(stored).hexdigest()
+        turns = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:], strict=False))
+        assert out[i].feature.startswith(f"audio/wav:{len(padded) + 44}@{len(media.CARRIER)}|corrected|samples={len(x)}|sum={sum(x)}|energy={sum(v * v for v in x)}|crossings={turns}|low={min(x)}|high={max(x)}|inside=")
     assert media.text_as_media(documents(spark, rows).limit(0)).count() == 0
 
 
+def test_many_stray_magics_cost_one_search():
+    import time
+
+    machine = media.automaton()
+    for magic in (b"%PDF-1.", b"PK\x03\x04"):
+        began = time.perf_counter()
+        assert media.sniffed(magic * 60_000, machine) == []
+        assert time.perf_counter() - began < 5
+    end = b"%PDF-1.7 startxref 0 %%EOF"
+    assert media.sniffed(b"x" + end + end, machine) == [("application/pdf", 1, len(end)), ("application/pdf", 1 + len(end), len(end))]
+
+
 # 7 URLs
 
 
@@ -368,6 +387,24 @@ def test_redaction_leaves_no_base_secret(spark):
     assert all(not brute.secrets_base(t) for t in out.values())
 
 
+def test_secrets_of_empty_tables_and_repeated_rows(spark):
+    df = documents(spark, [(1, SECRET_TEXTS[0]), (1, SECRET_TEXTS[0]), (None, None)]).withColumn("a.b", F.lit("c")).withColumn("spans", F.lit("d"))
+    assert [r.n_assign for r in secretscan.secrets_found(df).orderBy(F.col("doc_id").desc()).collect()] == [1, 1, 0]
+    assert secretscan.secrets_found(df.limit(0)).count() == 0 and secretscan.redacted(df.limit(0)).count() == 0
+    out = secretscan.redacted(df)
+    assert out.columns == df.columns and [(r["a.b"], r.spans) for r in out.collect()] == [("c", "d")] * 3
+
+
+def test_candidates_beside_base_spans_are_found_in_linear_time():
+    import time
+
+    n = secretscan.Novelty()
+    text = "password=abcdefghijkl bearer q9Zk3vXw7LpT2mBn8RsY4dHf "
+    began = time.perf_counter()
+    base, spans = secretscan.all_spans(text * 1500, n)
+    assert len(base) == 1500 and len(spans) >= 3000 - 1 and time.perf_counter() - began < 30
+
+
 # 9 decontamination
 
 
@@ -389,6 +426,17 @@ def test_contamination_equals_brute_force(spark):
     assert not any(r.contaminated for r in decontam.contamination(df, bench.limit(0)).collect())
 
 
+def test_repeated_words_cost_no_pairs(spark):
+    # runs of one word, and of a repeated line, in long documents and items
+    line = "seven small words make up this line "
+    items = [(1, "same " * 800), (2, line * 60), (3, "same same same"), (4, "head " + "same " * 12 + "tail"), (None, line * 2)]
+    docs = [(1, "same " * 8000), (2, line * 1000), (3, "x head " + "same " * 12 + "tail y"), (4, "head " + "same " * 300 + "tail"), (5, "same same other"), (6, "same " * 9 + "end " + line)]
+    items_named = [("" if i is None else i, t) for i, t in items]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontam.contamination(documents(spark, docs), bench).collect()}
+    assert got == brute.contamination(docs, items_named)
+
+
 # 10 licences
 
 

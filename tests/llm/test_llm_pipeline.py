@@ -45,3 +45,15 @@ def test_pipeline_is_registered_and_survives_odd_rows(spark):
     for _, stage in P.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.filter("doc_id = 2").count() == 1
+
+
+def test_stages_of_empty_tables_and_odd_names(spark):
+    docs = spark.createDataFrame([(1, "a few plain words in a row", "en", "s", 26), (2, "some other plain words in a row", "en", "s", 31)], "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("a.b", "_kept_id", "_bad_key", "row", "_text"):
+        docs = docs.withColumn(name, F.lit(name))
+    for table in (docs, docs.limit(0)):
+        rows = table.count()
+        for k, (_, stage) in enumerate(P.STAGES):
+            before, table = table, stage(spark, table, SF)
+            assert table.columns[: len(docs.columns)] == before.columns and table.count() == rows, k
+            assert all(r["a.b"] == "a.b" and r["_kept_id"] == "_kept_id" and r["row"] == "row" for r in table.collect())

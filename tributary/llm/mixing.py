@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import saved
+from .shared import column, saved
 
 BUCKETS = 65_536
 REPEATS = 3
@@ -111,13 +111,13 @@ def mixed(docs: DataFrame, id_cols: Sequence[str], sources_col: str, size_col: s
 
     sources_col: array of source names (repeats within it count once; null or empty: the document gives nothing). Names are strings; null is a name of its own.
     quotas: tokens wanted by source name (None for null). Sizes that are null or below 1 give nothing. Documents with equal
-    id_cols and size lie at one place of the line in any order; the sum taken doesn't depend on it. Sources without documents get nothing.
+    id_cols and size lie at one place of the line, in the order of a hash of their columns. Sources without documents get nothing.
     """
     spark = docs.sparkSession
     names = F.transform(F.array_distinct(F.coalesce(F.col(sources_col), F.array().cast("array<string>"))), lambda x: F.when(x.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), x)))
     place = F.xxhash64(F.lit(seed), *id_cols)
     # the columns of docs travel in one struct, so that no name of theirs can clash
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.array_sort(names).alias("_pattern"), F.greatest(F.coalesce(F.col(size_col), F.lit(0)), F.lit(0)).cast("long").alias("_size"), place.alias("_place"))
+    rows = docs.select(F.struct(*map(column, docs.columns)).alias("_row"), F.array_sort(names).alias("_pattern"), F.greatest(F.coalesce(F.col(size_col), F.lit(0)), F.lit(0)).cast("long").alias("_size"), place.alias("_place"))
     rows = rows.withColumn("_bucket", F.pmod(F.shiftrightunsigned("_place", 40), F.lit(BUCKETS)))
     totals = saved(rows.groupBy("_pattern", "_bucket").agg(F.sum("_size").alias("tokens")), "mix")
     key = {None: "-"}
@@ -150,7 +150,7 @@ def mixed(docs: DataFrame, id_cols: Sequence[str], sources_col: str, size_col: s
         return F.filter(F.coalesce(each, F.array().cast("array<struct<source:string,taken:bigint>>")), lambda x: x["taken"] > 0)
 
     whole = joined.filter(F.col("_cuts").isNull() | ~at_cut).select("_row", takes(F.lit(0).cast("long")).alias("takes"))
-    order = Window.partitionBy("_pattern", "_bucket").orderBy("_place", "_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = Window.partitionBy("_pattern", "_bucket").orderBy("_place", "_size", F.xxhash64("_row")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     partial = joined.filter(F.col("_cuts").isNotNull() & at_cut).withColumn("_inside", F.sum("_size").over(order) - F.col("_size"))
     partial = partial.select("_row", takes(F.col("_inside")).alias("takes"))
     return whole.unionByName(partial)
@@ -173,7 +173,7 @@ def mix_by_source(docs: DataFrame, id_col: str = "doc_id", source_col: str = "so
     spark = docs.sparkSession
     targets, sizes = source_quotas(docs, source_col, size_col, weights)
     kept = [c for c in docs.columns if c not in ("source_size", "target", "taken")]
-    inner = docs.select(F.struct(*kept).alias("row"), F.array(source_col).alias("sources"), F.col(size_col).alias("tokens"), F.col(id_col).alias("key"), F.col(source_col).alias("of"))
+    inner = docs.select(F.struct(*map(column, kept)).alias("row"), F.array(column(source_col)).alias("sources"), column(size_col).alias("tokens"), column(id_col).alias("key"), column(source_col).alias("of"))
     out = mixed(inner, ["key"], "sources", "tokens", targets, seed)
     table = spark.createDataFrame([(s, sizes[s], targets[s]) for s in sizes], "of string, source_size long, target double")
     out = out.select("_row.row", "_row.of", F.coalesce(F.aggregate("takes", F.lit(0).cast("long"), lambda acc, x: acc + x["taken"]), F.lit(0)).alias("taken"))
