@@ -33,6 +33,55 @@ def test_bb_table_and_quantiles(n, a, b, q):
     assert m.cdf(k, n, a, b, 0.0) >= q - 1e-12 and (k == 0 or m.cdf(k - 1, n, a, b, 0.0) < q)
 
 
+def test_batched_quantiles_equal_one_by_one():
+    rng = np.random.default_rng(2)
+    n, mu, kappa, pi = rng.integers(0, 60, 300), rng.random(300), rng.choice([3.0, 40.0], 300), rng.choice([0.0, 0.2], 300)
+    n[:50], mu[:50], kappa[:50], pi[:50] = 7, 0.3, 3.0, 0.2
+    m = zibb.Mixture()
+    want = [[m.ppf(q, int(k), x * c, (1 - x) * c, z) for q in (0.05, 0.5, 0.95)] for k, x, c, z in zip(n, mu, kappa, pi, strict=True)]
+    assert np.array_equal(zibb.quantiles(n, mu, kappa, pi, (0.05, 0.5, 0.95)), want)
+    some = np.arange(300) % (n + 1)
+    upto, below = zibb.distribution(some, n, mu, kappa, pi)
+    ends = [(m.cdf(int(v), int(k), x * c, (1 - x) * c, z), m.cdf(int(v) - 1, int(k), x * c, (1 - x) * c, z)) for v, k, x, c, z in zip(some, n, mu, kappa, pi, strict=True)]
+    assert np.allclose(np.stack([upto, below], axis=1), ends, atol=1e-9)
+    y = np.arange(31)
+    assert np.exp(special.zibb_logpmf(y, 30, 2.0, 5.0, 0.3)).sum() == pytest.approx(1)
+    assert np.exp(special.zibb_logpmf(0, 30, 2.0, 5.0, 0.3)) == pytest.approx(0.3 + 0.7 * np.exp(special.bb_logpmf(0, 30, 2.0, 5.0)))
+
+
+def test_adaptive_edges_merge_until_bins_are_full():
+    rng = np.random.default_rng(5)
+    for least in (1, 5, 40, 1000):
+        mu = np.round(rng.beta(0.4, 3, 400), 2)
+        edges = zibb.adaptive_edges(mu, 20, least)
+        counts = np.bincount(zibb.bin_of(mu, edges), minlength=len(edges) - 1)
+        assert len(counts) == 2 or counts.min() >= least
+        assert counts.sum() == 400 and np.all(np.diff(edges) > 0)
+    assert list(zibb.adaptive_edges(np.full(9, 0.2), 5, 1)) == [0.0, 1.0]
+
+
+def test_newton_response_is_the_top_of_its_quadratic():
+    rng = np.random.default_rng(6)
+    y, n = rng.integers(0, 30, (4, 9)).astype(float), np.full((4, 9), 40.0)
+    s = simplex.Settings(robust=0)
+    p, h = rng.uniform(0.2, 0.8, (4, 9)), 1e-4
+    loglik = lambda p: (y + 3.0 + s.jitter / 2) * np.log(p) + (n - y + 7.0 + s.jitter / 2) * np.log(1 - p)
+    first, second = (loglik(p + h) - loglik(p - h)) / (2 * h), (loglik(p + h) - 2 * loglik(p) + loglik(p - h)) / h**2
+    w, top = simplex.working_response(y, n, np.full(9, 0.3), np.full(9, 10.0), p, s)
+    assert np.allclose(w, -second, rtol=1e-3) and np.allclose(top, np.clip(p - first / second, s.clip, 1 - s.clip), atol=1e-4)
+
+
+def test_variances_given_the_sum():
+    rng = np.random.default_rng(7)
+    a, b = rng.normal(size=(6, 4)), rng.normal(size=(6, 4))
+    h, meat, theta = a.T @ a + np.eye(4), b.T @ b + np.eye(4), np.array([0.5, 0.3, 0.2, 0.0])
+    cov = np.linalg.inv(h[:3, :3]) @ meat[:3, :3] @ np.linalg.inv(h[:3, :3])
+    x = rng.multivariate_normal(np.zeros(3), cov, 200_000)
+    total = x.sum(axis=1)
+    residual = x - np.outer(total, x.T @ total / (total @ total))
+    assert np.allclose(simplex._variance_given_sum(h, meat, theta, 1e-6)[:3], residual.var(axis=0), rtol=0.03) and simplex._variance_given_sum(h, meat, theta, 1e-6)[3] == 0
+
+
 def test_bb_table_of_large_counts_does_not_underflow():
     t = special.bb_table(5000, 4e5, 2e5)
     assert t[-1] == 1 and 0.4 < t[3333] < 0.6
@@ -61,7 +110,7 @@ def test_mixture_fit_recovers_rate_and_spread():
     y = rng.binomial(n, rng.beta(0.2 * 30, 0.8 * 30, len(day))) * (rng.random(len(day)) > 0.1)
     f = zibb.fit(day, 30, y, n, zibb.Settings())
     assert abs(np.median(f.mu) - 0.2) < 0.03 and 10 < np.median(f.kappa) < 70 and 0.03 < np.median(f.pi) < 0.2
-    lo, hi = zibb.intervals(zibb.Mixture(), n, f.mu, f.kappa / zibb.widening(f, y, n, zibb.Settings())[f.bins], f.pi, 0.9)
+    lo, hi = zibb.intervals(n, f.mu, f.kappa / zibb.widening(f, y, n, zibb.Settings())[f.bins], f.pi, 0.9)
     assert np.mean((y >= lo) & (y <= hi)) > 0.86
 
 

@@ -37,28 +37,41 @@ def targets(spark, *names):
 # signatures
 
 
-def test_multi_lineage_membership_and_no_row_cap(spark):
-    s = G.normalized_signatures(signatures(spark, [("A1T", "L1", 1), ("A1T", "L2", 1), ("A1T", "L3", 1), ("C2G", "L1", 1)]))
-    wide = {r.mutation: (r.L1, r.L2, r.L3) for r in G.wide_matrix(G.signature_matrix(s, targets(spark, "A1T", "C2G")), ["L1", "L2", "L3"]).collect()}
-    assert wide == {"A1T": (1.0, 1.0, 1.0), "C2G": (1.0, 0.0, 0.0)}
+def test_memberships_become_a_binary_table(spark):
+    # every subset of three lineages is the membership of one mutation
+    names = ["P", "Q", "R"]
+    member = {f"M{k}": [x for i, x in enumerate(names) if k >> i & 1] for k in range(8)}
+    s = G.normalized_signatures(signatures(spark, [(m, l, 1) for m, ls in member.items() for l in ls]))
+    wide = {r.mutation: [x for x in names if r[x] == 1.0] for r in G.wide_matrix(G.signature_matrix(s, targets(spark, *member)), names).collect()}
+    assert wide == {m: ls for m, ls in member.items() if ls}
 
 
-def test_duplicates_collapse_and_names_are_normalised(spark):
-    s = G.normalized_signatures(signatures(spark, [("A1T", "L1", 1), (" a1t", "L1 ", 1), ("aa:s:n501y", " L2 ", 1), (None, "L1", 1), ("", "L1", 1)]))
-    assert pairs(s) == [("A1T", "L1"), ("AA:S:N501Y", "L2")]
+def test_spellings_of_a_pair_are_one_and_blanks_are_none(spark):
+    rows = [(spelt, "B.1", 1) for spelt in ("g55t", "G55T", "\tG55t ", " G55T")] + [("aa:orf8:l84s", " B.2\t", 1), ("  ", "B.1", 1), (None, "B.2", 1)]
+    assert pairs(G.normalized_signatures(signatures(spark, rows))) == [("AA:ORF8:L84S", "B.2"), ("G55T", "B.1")]
 
 
-def test_unmapped_targets_drop_or_go_global(spark):
-    s = signatures(spark, [("A1T", "L1", 1), ("X9Y", "LX", 1)])
-    t = targets(spark, "A1T", "C2G")
-    assert pairs(G.signature_matrix(s, t)) == [("A1T", "L1")] and pairs(G.signature_matrix(s, t, True)) == [("A1T", "L1"), ("C2G", "GLOBAL")]
+def test_targets_without_lineage_are_left_out_or_global(spark):
+    s, t = signatures(spark, [("G55T", "B.1", 1), ("T9C", "B.3", 1)]), targets(spark, "T77A", "G55T", "C8A")
+    assert {use: pairs(G.signature_matrix(s, t, use)) for use in (False, True)} == {False: [("G55T", "B.1")], True: [("C8A", "GLOBAL"), ("G55T", "B.1"), ("T77A", "GLOBAL")]}
 
 
-def test_bad_signatures_fail(spark):
+@pytest.mark.parametrize("weight", [0.25, 2.0, -1.0])
+def test_other_weights_are_errors(spark, weight):
     with pytest.raises(Exception, match="weight must be 1"):
-        G.normalized_signatures(signatures(spark, [("A1T", "L1", 0.5)])).collect()
+        G.normalized_signatures(signatures(spark, [("G55T", "B.1", 1), ("T9C", "B.1", weight)])).collect()
+
+
+def test_a_table_without_lineages_is_an_error(spark):
     with pytest.raises(ValueError, match="lineage"):
-        G.normalized_signatures(targets(spark, "A1T"))
+        G.normalized_signatures(targets(spark, "G55T"))
+
+
+def test_manual_selection(spark):
+    m = signatures(spark, [("G55T", "B.2", 1), ("G55T", "B.1", 1), ("T9C", "B.3", 1)])
+    assert [tuple(r) for r in G.selected_mutations(m, None, "manual", 0, [" t9c", "G55T"]).orderBy("rank").collect()] == [("B.3", "T9C", 1), ("B.1", "G55T", 2)]
+    with pytest.raises(Exception, match="not in the signature matrix"):
+        G.selected_mutations(m, None, "manual", 0, ["A1G"]).collect()
 
 
 def test_rank_overlap_and_violations(spark):
@@ -98,17 +111,19 @@ def test_defaults_and_pseudo_counts(spark):
 
 
 def genome() -> str:
-    g = list("A" * 29903)
-    g[21562:21565], g[21589:21592], g[100] = "GCT", "TGG", "C"
-    return "".join(g)
+    return "A" * 29903
 
 
 def test_amino_acid_names(spark):
-    names = ["G21591C", "T21565C", "C101T", "A101T", "del:1:3", "A99999T", "A1T", "C0A"]
-    df = spark.createDataFrame([(n, 1) for n in names], "mutation string, codon int")
-    got = {r.mutation: (r.aa_name, r.aa_status) for r in N.named_substitutions(df, genome()).collect()}
-    assert got["G21591C"] == ("aa:S:W10S", "ok") and got["T21565C"] == ("T21565C", "ok") and got["C101T"] == ("C101T", "ok") and got["A1T"] == ("A1T", "ok")
-    assert got["A101T"] == (None, "ref_mismatch") and got["del:1:3"] == (None, "malformed") and got["A99999T"] == (None, "out_of_range") and got["C0A"][1] == "out_of_range"
+    # all proline: the first place of a codon tells, the last one doesn't
+    bases = "C" * 29903
+    starts = {name: l for name, l, _ in N.ORFS}
+    place = lambda orf, codon, k: starts[orf] + 3 * (codon - 1) + k + 1
+    want = {f"C{place('N', 3, 0)}A": ("aa:N:P3T", "ok"), f"C{place('N', 3, 1)}T": ("aa:N:P3L", "ok"), f"C{place('S', 40, 0)}G": ("aa:S:P40A", "ok")}
+    want |= {f"C{place('N', 3, 2)}T": (f"C{place('N', 3, 2)}T", "ok"), "C7G": ("C7G", "ok")}
+    want |= {"T7G": (None, "ref_mismatch"), "ins:7:C": (None, "malformed"), "C29904T": (None, "out_of_range"), "C0T": (None, "out_of_range")}
+    df = spark.createDataFrame([(n, 1) for n in want], "mutation string, codon int")
+    assert {r.mutation: (r.aa_name, r.aa_status) for r in N.named_substitutions(df, bases).collect()} == want
 
 
 def test_unknown_codon_keeps_the_nucleotide_name_and_first_frame_counts(spark):
@@ -277,3 +292,51 @@ def test_registered_model_queries_use_the_default_settings(monkeypatch):
     Q.forecasts(None, "")
     Q.detail(None, "")
     assert asked == {"forecast": ((), {}), "priors": ((), {})}
+
+
+def test_normal_approximations_are_near_the_exact_ones(spark):
+    from tributary.kernels import special
+    from tributary.operators import model_reports as R
+
+    n, a, b = 4000, 300.0, 700.0
+    table = special.bb_table(n, a, b)
+    df = spark.createDataFrame([(float(y),) for y in (1000, 1150, 1200, 1300, 1450)], "y double")
+    c = [F.lit(float(n)), F.lit(a), F.lit(b)]
+    for r in df.select("y", R.bb_cdf_normal(F.col("y"), *c).alias("p"), R.bb_ppf_normal(0.9, *c).alias("q")).collect():
+        assert abs(r.p - table[int(r.y)]) < 0.01 and abs(table[r.q] - 0.9) < 0.02
+
+
+def test_forecasts_start_from_the_baseline_and_leave_out_what_is_not_wanted(spark):
+    from tributary.kernels import particles
+
+    days = [datetime.date(2024, 1, d) for d in range(1, 7)]
+    snv = spark.createDataFrame([("A", d, "s", m, c, 400) for d in days for m, c in (("M1", 320), ("M2", 80))], "site_id string, date date, sample_id string, mutation string, count long, coverage long")
+    m = signatures(spark, [("M1", "L1", 1), ("M2", "L2", 1)])
+    base = spark.createDataFrame([("A", d, l, t) for d in days for l, t in (("L1", 0.8), ("L2", 0.2))], "site_id string, date date, lineage string, theta double")
+    s = particles.Settings(particles=64, draws=50)
+    all_of = models.site_forecasts(snv, m, 200.0, s, base).collect()
+    some = models.site_forecasts(snv, m, 200.0, s, base, ("next_share", "delta_elpd")).collect()
+    assert {r.kind for r in all_of} == set(models.FORECAST_KINDS) and {r.kind for r in some} == {"next_share", "delta_elpd"}
+    assert sorted(map(str, some)) == sorted(str(r) for r in all_of if r.kind in ("next_share", "delta_elpd"))
+    first = lambda rows: next(r.mean for r in rows if r.kind == "filtered" and r.lineage == "L1" and r.date == days[0])
+    wrong = base.withColumn("theta", F.when(F.col("lineage") == "L1", 0.05).otherwise(0.95))
+    assert abs(first(all_of) - 0.8) < 0.1 and first(models.site_forecasts(snv, m, 200.0, s, wrong).collect()) < 0.3
+    value = {r.kind: r.value for r in all_of if r.kind in ("elpd", "delta_elpd")}
+    import numpy as np
+
+    from tributary.kernels import special
+
+    plain = 6 * float(special.bb_logpmf(np.array([320, 80]), 400, 200 * np.array([0.8, 0.2]), 200 * np.array([0.2, 0.8])).sum())
+    assert value["elpd"] - value["delta_elpd"] == pytest.approx(plain)
+    priors = spark.createDataFrame([("M1", 500.0), ("M2", None)], "mutation string, phi double")
+    assert models.site_forecasts(snv, m, priors, s, kinds=("elpd",)).count() == 1
+
+
+def test_priors_of_many_mutations_change_the_shares(spark):
+    from tributary.kernels import simplex
+
+    names = [f"M{k:05d}" for k in range(5001)]
+    m = spark.createDataFrame([(n, f"L{k % 2}", 1.0) for k, n in enumerate(names)], SIG)
+    snv = spark.createDataFrame([("A", datetime.date(2024, 1, 1), "s", n, 5, 10) for n in names], "site_id string, date date, sample_id string, mutation string, count long, coverage long")
+    share = lambda mu: next(r.theta for r in models.site_shares(snv, m, spark.createDataFrame([(n, mu if k % 2 else 1 - mu, 90.0) for k, n in enumerate(names)], "mutation string, mu double, kappa double"), simplex.Settings(robust=0)).filter("kind = 'theta' and lineage = 'L1'").collect())
+    assert share(0.9) > 0.7 and share(0.1) < 0.3

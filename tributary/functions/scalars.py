@@ -15,9 +15,14 @@ def canonicalize_strict(c: Column) -> Column:
     return F.regexp_replace(plain, r"[^A-Z0-9:_\-]", "")
 
 
+def stripped(c: Column) -> Column:
+    """Without white space of any kind, tabs and line ends too, at both ends."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def normalize_mutation(c: Column) -> Column:
-    """Trimmed, upper case; unlike canonicalize_strict it keeps other signs, such as the `*` of a stop."""
-    return F.upper(F.trim(c))
+    """Stripped, upper case; unlike canonicalize_strict it keeps other signs, such as the `*` of a stop."""
+    return F.upper(stripped(c))
 
 
 def allele_fraction(count: Column, coverage: Column) -> Column:

@@ -74,6 +74,23 @@ def bb_table(n: int, a: float, b: float) -> np.ndarray:
     return total / total[-1]
 
 
+def bb_tables(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """bb_table of one n for a batch of (a, b), a row for each."""
+    k = np.arange(1, n + 1)
+    a, b = (np.asarray(v, float)[:, None] for v in (a, b))
+    logs = np.concatenate([np.zeros((len(a), 1)), np.cumsum(np.log((n - k + 1) / k * (k - 1 + a) / (n - k + b)), axis=1)], axis=1)
+    total = np.cumsum(np.exp(logs - logs.max(axis=1, keepdims=True)), axis=1)
+    return total / total[:, -1:]
+
+
+def zibb_logpmf(y, n, a, b, pi) -> np.ndarray:
+    """Zero-inflated Beta-Binomial: a zero is structural with probability pi; log(pi + (1 - pi) p(0)) and log(1 - pi) + log p(y)."""
+    y, pi = np.asarray(y, float), np.clip(np.asarray(pi, float), 0.0, 1.0)
+    with np.errstate(divide="ignore"):
+        rest = np.log1p(-pi) + bb_logpmf(y, n, a, b)
+        return np.where(y == 0, np.logaddexp(np.log(pi), rest), rest)
+
+
 def nb_logpmf(x, r: float, p: float) -> np.ndarray:
     x = np.asarray(x, float)
     return gammaln(x + r) - gammaln(r) - gammaln(x + 1) + r * math.log(p) + x * math.log1p(-p)

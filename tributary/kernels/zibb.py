@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 
 from .rw2 import Smooth, smooth
-from .special import bb_table, betaln, clip01, logsumexp
+from .special import bb_logpmf, bb_table, bb_tables, clip01
 
 
 @dataclass(frozen=True)
@@ -99,20 +100,24 @@ def calibrated_day(s: Smooth, knots: tuple[np.ndarray, np.ndarray] | None, floor
 
 
 def adaptive_edges(mu: np.ndarray, bins: int, least: int) -> np.ndarray:
-    """Quantile edges; the bin with the fewest rows is merged with its smaller neighbour until all have enough, or two are left."""
-    edges = np.unique(np.quantile(mu, np.linspace(0, 1, max(2, bins) + 1)))
-    if len(edges) < 3:
-        if len(edges) < 2 or edges[0] == edges[-1]:
-            return np.array([0.0, 1.0])
-        edges = np.linspace(edges[0], edges[-1], 3)
-    while len(edges) > 3:
-        n = np.bincount(bin_of(mu, edges), minlength=len(edges) - 1)
-        b = int(np.argmin(n))
-        if n[b] >= max(1, least):
-            break
-        left = b == len(n) - 1 or (b > 0 and n[b - 1] <= n[b + 1])
-        edges = np.delete(edges, b if left else b + 1)
-    return edges
+    """Quantile edges; the bin with the fewest rows is merged with its smaller neighbour until all have enough, or two are left.
+
+    Rows are counted once; from then on a merge adds two counts.
+    """
+    cuts = np.unique(np.quantile(mu, np.linspace(0, 1, max(2, bins) + 1)))
+    if len(cuts) == 1:
+        return np.array([0.0, 1.0])
+    if len(cuts) == 2:
+        cuts = np.linspace(*cuts, 3)
+    count = np.bincount(bin_of(mu, cuts), minlength=len(cuts) - 1).tolist()
+    cuts = cuts.tolist()
+    while len(count) > 2 and (fewest := min(count)) < max(1, least):
+        k = count.index(fewest)
+        sides = [j for j in (k - 1, k + 1) if 0 <= j < len(count)]
+        i = min(k, min(sides, key=count.__getitem__))
+        count[i : i + 2] = [count[i] + count[i + 1]]
+        del cuts[i + 1]
+    return np.array(cuts)
 
 
 def bin_kappas(mu: np.ndarray, y: np.ndarray, n: np.ndarray, w: np.ndarray, edges: np.ndarray, s: Settings) -> np.ndarray:
@@ -165,10 +170,9 @@ def fit(day: np.ndarray, days: int, y: np.ndarray, n: np.ndarray, s: Settings) -
     at = bin_of(mu, edges)
     pis = bin_pis(at, 0.25 * (y == 0), bins, s.min_rows)
     for _ in range(s.rounds):
-        pi = np.clip(pis[at], 1e-12, 1 - 1e-12)
-        a, b = mu * kappa, (1 - mu) * kappa
-        zero = np.log1p(-pi) + betaln(a, b + n) - betaln(a, b)
-        r = np.where(y == 0, np.exp(np.log(pi) - logsumexp(np.stack([np.log(pi), zero]), axis=0)), 0.0)
+        # a zero is structural with the odds of pi against a sampled zero
+        odds = np.log(np.clip(pis[at], 1e-12, 1 - 1e-12)) - np.log1p(-np.clip(pis[at], 1e-12, 1 - 1e-12)) - bb_logpmf(0, n, mu * kappa, (1 - mu) * kappa)
+        r = np.where(y == 0, 1 / (1 + np.exp(-odds)), 0.0)
         mu, daily, _ = pass_over(1 - r, knots, False)
         kappa = kappa_at(mu, edges, bin_kappas(mu, y, n, 1 - r, edges, s))
         at = bin_of(mu, edges)
@@ -197,10 +201,66 @@ class Mixture:
         return 0.0 if y < 0 else pi + (1 - pi) * float(self.table(n, a, b)[min(y, n)])
 
 
-def intervals(mix: Mixture, n: np.ndarray, mu: np.ndarray, kappa: np.ndarray, pi: np.ndarray, target: float) -> tuple[np.ndarray, np.ndarray]:
-    lo, hi = (1 - target) / 2, (1 + target) / 2
-    out = np.array([(mix.ppf(lo, int(k), m * c, (1 - m) * c, p), mix.ppf(hi, int(k), m * c, (1 - m) * c, p)) for k, m, c, p in zip(n, clip01(mu), np.clip(kappa, 1e-12, 1e12), pi, strict=True)], int).reshape(-1, 2)
-    return out[:, 0], out[:, 1]
+#: Cells of distribution tables that are in memory at once, about.
+CELLS = 2_000_000
+
+
+def quantiles(n: np.ndarray, mu: np.ndarray, kappa: np.ndarray, pi: np.ndarray, levels: Sequence[float]) -> np.ndarray:
+    """Quantiles of each row's mixture, a column for each level. Rows are taken by n, equal distributions once, in batches of about CELLS."""
+    n = np.asarray(n, int)
+    out = np.zeros((len(n), len(levels)), int)
+    a, b = mu * kappa, (1 - mu) * kappa
+    order = np.lexsort((pi, b, a, n))
+    for rows in np.split(order, np.flatnonzero(np.diff(n[order])) + 1):
+        if not len(rows):
+            continue
+        k = int(n[rows[0]])
+        keys = np.stack([a[rows], b[rows], pi[rows]], axis=1)
+        new = np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)])
+        first, which = rows[new], np.cumsum(new) - 1
+        got = np.zeros((len(first), len(levels)), int)
+        step = max(1, CELLS // (k + 1))
+        for at in range(0, len(first), step):
+            some = first[at : at + step]
+            table = bb_tables(k, a[some], b[some])
+            for j, q in enumerate(levels):
+                inner = (q - pi[some]) / np.maximum(1 - pi[some], 1e-300)
+                got[at : at + step, j] = np.where(q <= pi[some], 0, np.minimum((table < inner[:, None]).sum(axis=1), k))
+        out[rows] = got[which]
+    return out
+
+
+def intervals(n: np.ndarray, mu: np.ndarray, kappa: np.ndarray, pi: np.ndarray, *targets: float) -> list[np.ndarray]:
+    """lo and hi, one after the other, of each row's central intervals that should hold the targets."""
+    levels = [x for t in targets for x in ((1 - t) / 2, (1 + t) / 2)]
+    return list(quantiles(n, clip01(mu), np.clip(kappa, 1e-12, 1e12), pi, levels).T)
+
+
+def distribution(y: np.ndarray, n: np.ndarray, mu: np.ndarray, kappa: np.ndarray, pi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(P(Y <= y), P(Y < y)) of each row's mixture. Masses are added from the nearer end, rows of like length together, in batches of about CELLS."""
+    m = clip01(mu)
+    a, b, y, n = m * kappa, (1 - m) * kappa, np.asarray(y, int), np.asarray(n, int)
+    far = 2 * y > n
+    # from the other end, P(Y <= y) is what misses more than n - y leave, and P(Y < y) what n - y or more do
+    k, a, b = np.where(far, n - y, y), np.where(far, b, a), np.where(far, a, b)
+    first = bb_logpmf(0, n, a, b)
+    upto, below = np.empty(len(y)), np.empty(len(y))
+    order = np.argsort(k, kind="stable")
+    at = 0
+    while at < len(order):
+        size = max(1, CELLS // (int(k[order[min(len(order) - 1, at + 256)]]) + 1))
+        rows = order[at : at + min(size, 256)]
+        j = np.arange(1, int(k[rows[-1]]) + 1)
+        x, z, w = (v[rows, None] for v in (a, b, n))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            step = np.log(np.maximum(w - j + 1, 1e-300) / j * (x + j - 1) / np.maximum(w - j + z, 1e-300))
+        mass = np.exp(first[rows, None] + np.concatenate([np.zeros((len(rows), 1)), np.cumsum(step, axis=1)], axis=1))
+        total = np.cumsum(mass, axis=1)
+        here, own = np.arange(len(rows)), k[rows]
+        upto[rows], below[rows] = total[here, own], total[here, own] - mass[here, own]
+        at += len(rows)
+    upto, below = np.where(far, 1 - below, upto), np.where(far, 1 - upto, below)
+    return clip01(pi + (1 - pi) * upto), np.where(y > 0, pi + (1 - pi) * below, 0.0)
 
 
 def widening(f: Fit, y: np.ndarray, n: np.ndarray, s: Settings) -> np.ndarray:
@@ -214,11 +274,9 @@ def widening(f: Fit, y: np.ndarray, n: np.ndarray, s: Settings) -> np.ndarray:
             continue
 
         def gap(tau: float, m=m) -> float:
-            mix, worst = Mixture(), 1.0
-            for t in s.targets:
-                low, high = intervals(mix, n[m], f.mu[m], f.kappa[m] / tau, f.pi[m], t)
-                worst = min(worst, float(np.mean((y[m] >= low) & (y[m] <= high))) - t)
-            return worst
+            upto, below = distribution(y[m], n[m], f.mu[m], np.clip(f.kappa[m] / tau, 1e-12, 1e12), f.pi[m])
+            # inside: not under the lower quantile, not over the upper one
+            return min(1.0, *(float(np.mean((upto >= (1 - t) / 2) & (below < (1 + t) / 2))) - t for t in s.targets))
 
         if gap(lo) >= -s.tolerance:
             out[b] = lo

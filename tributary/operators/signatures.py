@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import betaln, normalize_mutation
+from ..functions.scalars import betaln, normalize_mutation, stripped
 
 GLOBAL = "GLOBAL"
 
@@ -19,7 +19,7 @@ def normalized_signatures(raw: DataFrame) -> DataFrame:
             raise ValueError(f"missing column: {c}")
     weight = F.col("weight").cast("double") if "weight" in raw.columns else F.lit(1.0)
     checked = F.when(weight == 1, 1.0).otherwise(F.raise_error(F.lit("signature weight must be 1")).cast("double"))
-    rows = raw.select(normalize_mutation(F.col("mutation")).alias("mutation"), F.trim("lineage").alias("lineage"), checked.alias("weight"))
+    rows = raw.select(normalize_mutation(F.col("mutation")).alias("mutation"), stripped(F.col("lineage")).alias("lineage"), checked.alias("weight"))
     return rows.filter("mutation <> '' and lineage <> ''").dropDuplicates(["mutation", "lineage"])
 
 
@@ -79,8 +79,17 @@ def missing_lineages(wide: DataFrame, lineage_col: str, wanted: Sequence[str]) -
     return wide.sparkSession.createDataFrame([(x,) for x in wanted], "lineage string").join(wide.select(F.col(lineage_col).alias("lineage")), "lineage", "left_anti")
 
 
-def selected_mutations(matrix: DataFrame, scores: DataFrame, mode: str, n: int) -> DataFrame:
-    """The n first mutations of each lineage by the mode's score; ties by name. scores: mutation, leverage, coverage, mu, pred_af."""
+def selected_mutations(matrix: DataFrame, scores: DataFrame | None, mode: str, n: int, manual: Sequence[str] = ()) -> DataFrame:
+    """The n first mutations of each lineage by the mode's score; ties by name. scores: mutation, leverage, coverage, mu, pred_af.
+
+    Mode manual: the named mutations in their order, each with its first lineage by name; one that the matrix lacks is an error.
+    """
+    if mode == "manual":
+        names = [(m.strip().upper(), k) for k, m in enumerate(manual, 1)]
+        wanted = matrix.sparkSession.createDataFrame(names, "mutation string, rank int")
+        first = matrix.groupBy("mutation").agg(F.min(F.when(F.col("weight") == 1, F.col("lineage"))).alias("lineage"), F.lit(True).alias("there"))
+        missing = F.raise_error(F.concat(F.lit("not in the signature matrix: "), F.col("mutation"))).cast("string")
+        return wanted.join(first, "mutation", "left").select(F.when(F.col("there"), F.coalesce("lineage", F.lit("GLOBAL"))).otherwise(missing).alias("lineage"), "mutation", "rank")
     miss = F.abs(F.col("mu") - F.col("pred_af"))
     order = {"top_leverage": F.desc_nulls_last("leverage"), "highest_coverage": F.desc_nulls_last("coverage"), "best_predicted": miss.asc_nulls_last(), "worst_predicted": miss.desc_nulls_last()}
     if mode not in order:

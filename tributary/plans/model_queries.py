@@ -26,8 +26,10 @@ def shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.site_shares(snv, matrix(spark, sf_dir), priors)
 
 
-def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.site_forecasts(A.snv(spark, sf_dir), matrix(spark, sf_dir))
+def forecasts(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
+    """Rows of these kinds, or of all kinds."""
+    wanted = {"kinds": kinds} if kinds else {}
+    return M.site_forecasts(A.snv(spark, sf_dir), matrix(spark, sf_dir), **wanted)
 
 
 # A smoothed series leaves no residual along constants and straight lines, whatever the penalty.
@@ -48,12 +50,12 @@ query("LIK_12_13_uncertainty", sql(_DAYS + " SELECT site_id, count(*) AS days, t
 query("LIK_14_residuals", sql(_DAYS + ", mu AS (SELECT count(DISTINCT mutation) AS m FROM signatures JOIN snv USING (mutation)) SELECT site_id, date, m AS n FROM dy, mu"), longs="n")(lambda s, d: shares(s, d).filter("kind = 'residual' and pred_af between 0 and 1").groupBy("site_id", "date").agg(F.count(F.lit(1)).alias("n")))
 query("LIK_15_16_calibrated", sql(_DAYS + " SELECT site_id, date, true AS wider FROM dy"))(lambda s, d: (lambda x: M.calibrated_uncertainty(x.filter("kind = 'theta'").select("site_id", "date", "lineage", "theta_sd"), x.filter("kind = 'residual'")).join(x.filter("kind = 'theta'").select("site_id", "date", "lineage", F.col("theta_sd").alias("old")), ["site_id", "date", "lineage"]).groupBy("site_id", "date").agg(F.bool_and(F.col("theta_sd") >= F.col("old")).alias("wider")))(shares(s, d)))
 query("LIK_19_objective_trace")(lambda s, d: shares(s, d).filter("kind = 'trace'").select("site_id", F.col("iter").cast("long").alias("iter"), "objective"))
-query("FC_08_11_filtered", sql(_DAYS + " SELECT site_id, date, 1.0 AS total, 1.0 AS smooth_total, true AS ordered FROM dy"), "total smooth_total")(lambda s, d: forecasts(s, d).filter("kind = 'filtered'").groupBy("site_id", "date").agg(F.sum("mean").alias("total"), F.sum("smooth").alias("smooth_total"), F.bool_and((F.col("q05") <= F.col("median")) & (F.col("median") <= F.col("q95"))).alias("ordered")))
-query("FC_06_13_diagnostics", sql(_DAYS + " SELECT site_id, date, true AS ess_ok, true AS pit_ok FROM dy"))(lambda s, d: forecasts(s, d).filter("kind in ('ess', 'pit')").groupBy("site_id", "date").agg(F.bool_and(F.when(F.col("kind") == "ess", F.col("value").between(1, particles.Settings().particles))).alias("ess_ok"), F.coalesce(F.bool_and(F.when(F.col("kind") == "pit", F.col("value").between(0, 1))), F.lit(True)).alias("pit_ok")))
-query("FC_12_next_day", sql(_DAYS + " SELECT site_id, max(date)+1 AS date, 1.0 AS total FROM dy GROUP BY 1").replace("max(date)+1 AS date", "cast(max(date)+1 AS date) AS date"), "total")(lambda s, d: forecasts(s, d).filter("kind = 'next_share'").groupBy("site_id", "date").agg(F.sum("mean").alias("total")))
-query("FC_12_next_counts")(lambda s, d: forecasts(s, d).filter("kind = 'next_count'").select("site_id", "date", "mutation", "mean", "median", "q05", "q95"))
-query("FC_14_elpd")(lambda s, d: forecasts(s, d).filter("kind = 'elpd'").select("site_id", F.col("value").alias("elpd_waic"), (F.col("value") * -2).alias("waic")))
-query("FC_16_qq")(lambda s, d: forecasts(s, d).filter("kind = 'qq'").groupBy("site_id").agg(F.sqrt(F.avg((F.col("value") - F.col("observed")) ** 2)).alias("rmse")))
+query("FC_08_11_filtered", sql(_DAYS + " SELECT site_id, date, 1.0 AS total, 1.0 AS smooth_total, true AS ordered FROM dy"), "total smooth_total")(lambda s, d: forecasts(s, d, "filtered").groupBy("site_id", "date").agg(F.sum("mean").alias("total"), F.sum("smooth").alias("smooth_total"), F.bool_and((F.col("q05") <= F.col("median")) & (F.col("median") <= F.col("q95"))).alias("ordered")))
+query("FC_06_13_diagnostics", sql(_DAYS + " SELECT site_id, date, true AS ess_ok, true AS pit_ok FROM dy"))(lambda s, d: forecasts(s, d, "ess", "pit").groupBy("site_id", "date").agg(F.bool_and(F.when(F.col("kind") == "ess", F.col("value").between(1, particles.Settings().particles))).alias("ess_ok"), F.coalesce(F.bool_and(F.when(F.col("kind") == "pit", F.col("value").between(0, 1))), F.lit(True)).alias("pit_ok")))
+query("FC_12_next_day", sql(_DAYS + " SELECT site_id, max(date)+1 AS date, 1.0 AS total FROM dy GROUP BY 1").replace("max(date)+1 AS date", "cast(max(date)+1 AS date) AS date"), "total")(lambda s, d: forecasts(s, d, "next_share").groupBy("site_id", "date").agg(F.sum("mean").alias("total")))
+query("FC_12_next_counts")(lambda s, d: forecasts(s, d, "next_count").select("site_id", "date", "mutation", "mean", "median", "q05", "q95"))
+query("FC_14_elpd")(lambda s, d: forecasts(s, d, "elpd").select("site_id", F.col("value").alias("elpd_waic"), (F.col("value") * -2).alias("waic")))
+query("FC_16_qq")(lambda s, d: forecasts(s, d, "qq").groupBy("site_id").agg(F.sqrt(F.avg((F.col("value") - F.col("observed")) ** 2)).alias("rmse")))
 
 
 def predictive(spark: SparkSession, sf_dir: str) -> DataFrame:

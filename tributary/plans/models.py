@@ -56,9 +56,9 @@ def prior_detail(snv: DataFrame, settings: zibb.Settings | None = None, min_date
         y = np.minimum(y, n)
         tau = zibb.widening(f, y, n, s)
         kappa = np.clip(f.kappa / tau[f.bins], 1e-12, 1e12)
-        mix, bands = zibb.Mixture(), {}
-        for t, tag in ((0.5, "50"), (0.9, "90")):
-            lo, hi = zibb.intervals(mix, n, f.mu, kappa, f.pi, t)
+        bands = {}
+        lo50, hi50, lo90, hi90 = zibb.intervals(n, f.mu, kappa, f.pi, 0.5, 0.9)
+        for lo, hi, tag in ((lo50, hi50, "50"), (lo90, hi90, "90")):
             bands |= {f"y_lo_{tag}": lo, f"y_hi_{tag}": hi, f"p_lo_{tag}": lo / np.maximum(n, 1), f"p_hi_{tag}": hi / np.maximum(n, 1)}
         name = g["mutation"].iloc[0]
         rows = pd.DataFrame({"site_id": g["site_id"].to_numpy(), "date": g["date"].to_numpy(), "mutation": name, "count": y, "coverage": n, "af": y / np.maximum(n, 1), "mu_t": f.mu, "mu_lo": f.day.lo[day], "mu_hi": f.day.hi[day], "kappa_t": kappa, "pi": f.pi, "tau": tau[f.bins], **bands})
@@ -95,12 +95,18 @@ def population_prior(hyper: DataFrame) -> DataFrame:
 
 
 def resolved_priors(hyper: DataFrame, mutations: DataFrame, scale: float = 1.0, cap: float = float("inf")) -> DataFrame:
-    """(mutation, mu, kappa) for every wanted mutation: its best row (highest concentration), else rate 0.5 and no concentration."""
+    """(mutation, mu, kappa) for every wanted mutation: its best row, else rate 0.5 and no concentration.
+
+    Rows are ranked by kappa_shrunk, then kappa, then alpha + beta, as far as there are such columns; rates and concentrations are taken in the same order.
+    """
     from pyspark.sql import Window
 
-    best = hyper.withColumn("r", F.row_number().over(Window.partitionBy("mutation").orderBy(F.desc_nulls_last("kappa"), F.desc_nulls_last("alpha"), "mu"))).filter("r = 1")
-    k = F.coalesce("kappa", F.greatest(F.col("alpha") + F.col("beta") - 2, F.lit(0.0)), F.lit(0.0))
-    return mutations.select("mutation").distinct().join(best, "mutation", "left").select("mutation", F.least(F.greatest(F.coalesce("mu", F.lit(0.5)), F.lit(1e-9)), F.lit(1 - 1e-9)).alias("mu"), F.least(F.greatest(k * scale, F.lit(0.0)), F.lit(cap)).alias("kappa"))
+    none = F.lit(None).cast("double")
+    ms, m, ks, k, a, b = (F.col(c) if c in hyper.columns else none for c in ("mu_shrunk", "mu", "kappa_shrunk", "kappa", "alpha", "beta"))
+    each = hyper.select("mutation", F.coalesce(ms, m, F.when(a + b > 0, a / (a + b)), F.lit(0.5)).alias("m"), F.coalesce(ks, k, F.greatest(a + b - 2, F.lit(0.0)), F.lit(0.0)).alias("k"), ks.alias("r1"), k.alias("r2"), (a + b).alias("r3"))
+    order = [F.desc_nulls_last("r1"), F.desc_nulls_last("r2"), F.desc_nulls_last("r3"), "m"]
+    best = each.withColumn("r", F.row_number().over(Window.partitionBy("mutation").orderBy(*order))).filter("r = 1")
+    return mutations.select("mutation").distinct().join(best, "mutation", "left").select("mutation", F.least(F.greatest(F.coalesce("m", F.lit(0.5)), F.lit(1e-9)), F.lit(1 - 1e-9)).alias("mu"), F.least(F.greatest(F.coalesce("k", F.lit(0.0)) * scale, F.lit(0.0)), F.lit(cap)).alias("kappa"))
 
 
 def _matrix(matrix: DataFrame) -> tuple[list[str], list[str], np.ndarray]:
@@ -145,7 +151,7 @@ def site_shares(snv: DataFrame, matrix: DataFrame, priors: DataFrame, settings:
         both["iter"] = both["iter"].astype("Int32")
         return both[[c.split()[0] for c in SHARES.split(", ")]]
 
-    wanted = snv.join(F.broadcast(matrix.select("mutation").distinct()), "mutation", "left_semi") if len(names) <= 5000 else snv.join(matrix, "mutation", "left_semi")
+    wanted = snv.join(matrix, "mutation", "left_semi")
     cells = wanted.groupBy("site_id", "date", "mutation").agg(F.sum("count").alias("count"), F.sum("coverage").alias("coverage"))
     return cells.groupBy("site_id").applyInPandas(run, SHARES)
 
@@ -165,47 +171,95 @@ def calibrated_uncertainty(theta: DataFrame, residuals: DataFrame) -> DataFrame:
 FORECAST = "kind string, site_id string, date date, lineage string, mutation string, mean double, median double, q05 double, q95 double, smooth double, value double, observed double"
 
 
-def site_forecasts(snv: DataFrame, matrix: DataFrame, phi: float = 200.0, settings: particles.Settings | None = None) -> DataFrame:
-    """Tagged output of the particle filter of each site: filtered, next_share and next_count summaries, ess, loglik, pit, qq and elpd rows."""
-    s = settings or particles.Settings()
-    names, lineages, S = _matrix(matrix)
-    phis = np.full(len(names), max(phi, 1.0))
+FORECAST_KINDS = ("filtered", "next_share", "next_count", "ess", "loglik", "pit", "qq", "elpd", "delta_elpd")
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
+
+def site_forecasts(snv: DataFrame, matrix: DataFrame, phi: float | DataFrame = 200.0, settings: particles.Settings | None = None, baseline: DataFrame | None = None, kinds: Sequence[str] = FORECAST_KINDS) -> DataFrame:
+    """Tagged output of the particle filter of each site: rows of the wanted kinds; only what these need is computed.
+
+    phi: one dispersion, or (mutation, phi) as operators.model_reports.dispersions gives it. baseline: (site_id, date, lineage, theta); the first date's shares, if it
+    has all lineages, are where the particles start (else even shares), and delta_elpd is the gain over the log score of the baseline's shares. Each part draws from
+    a stream of its own, so what is left out changes nothing else.
+    """
+    s, kinds = settings or particles.Settings(), frozenset(kinds)
+    names, lineages, S = _matrix(matrix)
+    if isinstance(phi, DataFrame):
+        # as many rows as the matrix, which is on the driver anyway
+        given = {r.mutation: r.phi for r in phi.filter("phi is not null").join(matrix.select("mutation").distinct(), "mutation", "left_semi").collect()}
+        phis = np.maximum([given.get(m, 200.0) for m in names], 1.0)
+    else:
+        phis = np.full(len(names), max(phi, 1.0))
+    even = np.full(len(lineages), 1 / len(lineages)) if lineages else np.empty(0)
+    columns = [c.split()[0] for c in FORECAST.split(", ")]
+
+    def shares_on(base: pd.DataFrame | None, dates: np.ndarray) -> list[np.ndarray | None]:
+        """The baseline's shares of each date, scaled to 1; None where it has not all lineages."""
+        if base is None or not len(base):
+            return [None] * len(dates)
+        wide = base.pivot_table(index="date", columns="lineage", values="theta", aggfunc="sum").reindex(index=dates, columns=lineages)
+        return [None if np.isnan(x).any() or x.sum() <= 0 else x / x.sum() for x in wide.to_numpy(float)]
+
+    def run(g: pd.DataFrame, base: pd.DataFrame | None = None) -> pd.DataFrame:
+        if not len(g):
+            return pd.DataFrame(columns=columns)
         site = g["site_id"].iloc[0]
-        rng = particles.generator(s.seed, site)
+        stream = lambda part: particles.generator(s.seed, f"{site}/{part}")
         dates, y, n = _grid(g, names)
-        f = particles.run_filter(y, n, S, phis, np.full(len(lineages), 1 / len(lineages)), s, rng)
-        medians = np.array([np.median(p, axis=0) for p in f.particles])
-        path = particles.backward_path(f, s, rng) if s.smoother == "bss" else particles.most_probable_path(medians / medians.sum(axis=1, keepdims=True), y, n, S, phis, s)[0] if s.smoother == "map" else medians
-        rows = []
+        known = shares_on(base, dates)
+        start = even if known[0] is None else np.maximum(known[0], special.EPS)
+        f = particles.run_filter(y, n, S, phis, start / start.sum(), s, particles.generator(s.seed, site))
+        parts: list[dict] = []
+
+        def add(kind: str, **values) -> None:
+            parts.append({"kind": kind, "site_id": site, **values})
 
-        def summary(kind, date, draws, lineage, mutation, smooth=None):
+        def summary(kind: str, date, draws: np.ndarray, **values) -> None:
             q = np.quantile(draws, (0.05, 0.5, 0.95), axis=0)
-            for k in range(draws.shape[1]):
-                rows.append((kind, site, date, lineage[k] if lineage else None, mutation[k] if mutation else None, draws[:, k].mean(), q[1, k], q[0, k], q[2, k], None if smooth is None else smooth[k], None, None))
-
-        for t, date in enumerate(dates):
-            summary("filtered", date, f.particles[t], lineages, None, path[t])
-            w = np.exp(f.log_w[t])
-            one = lambda kind, value, observed=None, mutation=None, date=date: rows.append((kind, site, date, None, mutation, None, None, None, None, None, value, observed))
-            one("ess", f.ess[t])
-            one("loglik", f.evidence[t])
-            for u in particles.pits(w, f.particles[t], y[t], n[t], S, phis, s, rng):
-                one("pit", u)
-            for m, x in enumerate(n[t] * np.clip(f.particles[t] @ S.T, 1e-12, 1).mean(axis=0)):
-                one("qq", x, y[t, m], names[m])
-        shares, counts = particles.next_day(f, n, S, phis, s, rng)
-        after = (pd.Timestamp(dates[-1]) + pd.Timedelta(days=1)).date()
-        summary("next_share", after, shares, lineages, None)
-        summary("next_count", after, counts, None, names)
-        rows.append(("elpd", site, None, None, None, None, None, None, None, None, f.elpd_waic, None))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in FORECAST.split(", ")])
+            add(kind, date=date, mean=draws.mean(axis=0), q05=q[0], median=q[1], q95=q[2], **values)
+
+        if "filtered" in kinds:
+            medians = np.median(np.array(f.particles), axis=1)
+            medians = medians / medians.sum(axis=1, keepdims=True)
+            smoother = {"bss": lambda: particles.backward_path(f, s, stream("path")), "map": lambda: particles.most_probable_path(medians, y, n, S, phis, s)[0]}
+            path = smoother.get(s.smoother, lambda: medians)()
+            for t, date in enumerate(dates):
+                summary("filtered", date, f.particles[t], lineage=lineages, smooth=path[t])
+        for kind, values in (("ess", f.ess), ("loglik", f.evidence)):
+            if kind in kinds:
+                add(kind, date=dates, value=values)
+        if "pit" in kinds:
+            rng = stream("pit")
+            for t, date in enumerate(dates):
+                u = particles.pits(np.exp(f.log_w[t]), f.particles[t], y[t], n[t], S, phis, s, rng)
+                if len(u):
+                    add("pit", date=date, value=u)
+        if "qq" in kinds:
+            for t, date in enumerate(dates):
+                add("qq", date=date, mutation=names, value=n[t] * np.clip(f.particles[t] @ S.T, 1e-12, 1).mean(axis=0), observed=y[t])
+        if kinds & {"next_share", "next_count"}:
+            shares, counts = particles.next_day(f, n, S, phis, s, stream("next"))
+            after = (pd.Timestamp(dates[-1]) + pd.Timedelta(days=1)).date()
+            for kind, draws, what in (("next_share", shares, {"lineage": lineages}), ("next_count", counts, {"mutation": names})):
+                if kind in kinds:
+                    summary(kind, after, draws, **what)
+        if "elpd" in kinds:
+            add("elpd", value=[f.elpd_waic])
+        if "delta_elpd" in kinds and base is not None and len(base):
+            add("delta_elpd", value=[f.elpd_waic - particles.plugin_log_score(y, n, S, phis, np.array([even if x is None else x for x in known]))])
+        if not parts:
+            return pd.DataFrame(columns=columns)
+        out = pd.concat([pd.DataFrame(x) for x in parts], ignore_index=True).reindex(columns=columns)
+        for c in ("date", "lineage", "mutation"):
+            out[c] = out[c].astype(object).where(out[c].notna(), None)
+        return out
 
     wanted = snv.join(matrix, "mutation", "left_semi")
     # several samples of a day are added up, so a date has one value for each mutation
     cells = wanted.groupBy("site_id", "date", "mutation").agg(F.sum("count").alias("count"), F.sum("coverage").alias("coverage"))
-    return cells.groupBy("site_id").applyInPandas(run, FORECAST)
+    if baseline is None:
+        return cells.groupBy("site_id").applyInPandas(lambda g: run(g), FORECAST)
+    base = baseline.groupBy("site_id", "date", "lineage").agg(F.avg("theta").alias("theta"))
+    return cells.groupBy("site_id").cogroup(base.groupBy("site_id")).applyInPandas(lambda g, b: run(g, b), FORECAST)
 
 
 PREDICTIVE = "model_id string, y long, n long, rows long, p_mean double, y_hat double, logp double, pit double, lo50 double, hi50 double, lo90 double, hi90 double"

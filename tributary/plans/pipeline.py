@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..kernels import particles, simplex, zibb
-from ..operators import evidence, preprocess, signatures
+from ..operators import evidence, model_reports, preprocess, signatures
 from . import models
 
 ORDER = ("preprocessing", "priors", "likelihood", "baseline")
@@ -43,5 +43,7 @@ def run(raw: DataFrame, raw_signatures: DataFrame, stages: list[str] | None = No
         scores = evidence.evidence(snv)
         out |= {"baselines_detailed": evidence.posteriors(scores), "bayes_factors_full": evidence.bayes_factors(scores)}
     if "forecast" in chosen:
-        out["forecast"] = models.site_forecasts(snv, signatures.signature_matrix(sig, snv, use_global=True), settings=forecast_settings)
+        matrix = signatures.signature_matrix(sig, snv, use_global=True)
+        phi = model_reports.dispersions(out["priors_hyperparams"], matrix) if "priors_hyperparams" in out else 200.0
+        out["forecast"] = models.site_forecasts(snv, matrix, phi, forecast_settings, out.get("theta_estimates"))
     return out

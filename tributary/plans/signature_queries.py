@@ -33,12 +33,12 @@ query("SIG_05_rank", sql(_MATRIX + " SELECT count(DISTINCT lineage) AS rank FROM
 
 
 def _wide_barcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = [f"{r}{p}{a}" for r, p, a in (("G", 21591, "C"), ("T", 21565, "C"), ("C", 101, "T"), ("A", 500, "G"))]
-    ones = {"L1": (1, 1, 0, 0), "L2": (1, 0, 1, 0), "L3": (0, 0, 0, 1)}
+    names = ["A3037G", "C8782T", "T14408A", "G25563T", "T28144C"]
+    ones = {"L1": (0, 1, 1, 0, 1), "L2": (1, 1, 0, 0, 0), "L3": (0, 0, 0, 1, 1)}
     return spark.createDataFrame([(k, *v) for k, v in ones.items()], "lineage string, " + ", ".join(f"{n} int" for n in names))
 
 
-query("IO_08_barcodes", "SELECT * FROM (VALUES ('L1','G21591C'),('L1','T21565C'),('L2','G21591C'),('L2','C101T')) t(lineage, mutation)")(lambda s, d: G.barcodes(_wide_barcodes(s, d), "lineage", ["L1", "L2"]))
+query("IO_08_barcodes", "SELECT * FROM (VALUES ('L1','C8782T'),('L1','T14408A'),('L1','T28144C'),('L3','G25563T'),('L3','T28144C')) t(lineage, mutation)")(lambda s, d: G.barcodes(_wide_barcodes(s, d), "lineage", ["L1", "L3"]))
 query("JN_14_missing_lineages", "SELECT 'L9' AS lineage")(lambda s, d: G.missing_lineages(_wide_barcodes(s, d), "lineage", ["L1", "L9"]))
 
 # Names over a made-up genome: a repeated stretch with all codon classes in it.
@@ -55,7 +55,7 @@ query(
  q AS (SELECT *, substr(codon,1,cast(w AS integer))||a||substr(codon,cast(w+2 AS integer)) AS changed FROM c)
  SELECT mutation, CASE WHEN st<>'ok' THEN NULL WHEN orf IS NULL OR {_AA('codon')}={_AA('changed')} THEN mutation ELSE 'aa:'||orf||':'||{_AA('codon')}||cast((pos1-1-l)//3+1 AS varchar)||{_AA('changed')} END AS aa_name, st AS aa_status FROM q""".replace("o(k, orf, l, r)", "o(k, orf, l, r_)"),
 )(lambda s, d: N.named_substitutions(A.table(s, d, "part").select(((F.col("p_partkey") * 37) % 30100 + 1).alias("pos1"), F.substring(F.lit(GENOME), ((F.col("p_partkey") * 37) % 29903 + 1).cast("int"), F.lit(1)).alias("r"), F.substring(F.lit("ACGT"), (F.col("p_partkey") % 4 + 1).cast("int"), F.lit(1)).alias("a")).distinct().select(F.concat("r", "pos1", "a").alias("mutation")), GENOME))
-query("SIG_06_named_barcodes", "SELECT lineage, sum(1) AS n FROM (VALUES ('L1'),('L1'),('L2'),('L2')) t(lineage) GROUP BY 1", longs="n")(lambda s, d: N.named_substitutions(G.barcodes(_wide_barcodes(s, d), "lineage", ["L1", "L2"]), GENOME).select("lineage", F.coalesce("aa_name", "mutation").alias("mutation")).distinct().groupBy("lineage").agg(F.count(F.lit(1)).alias("n")))
+query("SIG_06_named_barcodes", "SELECT lineage, n FROM (VALUES ('L1',3),('L2',2),('L3',2)) t(lineage, n)", longs="n")(lambda s, d: N.named_substitutions(G.barcodes(_wide_barcodes(s, d), "lineage", ["L1", "L2", "L3"]), GENOME).select("lineage", F.coalesce("aa_name", "mutation").alias("mutation")).distinct().groupBy("lineage").agg(F.count(F.lit(1)).alias("n")))
 
 _SCORES = ", sc AS (SELECT mutation, sum(coverage) AS coverage, avg(af) AS pred_af, median(af) AS mu, var_samp(af) AS leverage FROM snv GROUP BY mutation)"
 
