@@ -1,6 +1,6 @@
 """The model stages as DataFrames: priors by mutation, shares and forecasts by site. Each group crosses to Python once, as Arrow batches.
 
-A group is one mutation's or one site's rows; its size is dates times sites, or dates times mutations, not the number of reads. What
+A group is one mutation's rows, a row for each site, date and sample, or one site's sums, a row for each date and mutation. What
 can be said with columns (sums, caps, medians, scores) is said before or after with columns.
 """
 
