@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import chat, licenses
-from .queries import URL_RULES
+from .queries import LISTED_HTML, URL_RULES
 
 _UP, _LOW = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
 
@@ -34,10 +34,10 @@ def _urls() -> str:
         host, _, path = rule.partition("/")
         rules.append((f"(host='{host}' OR host LIKE '%.{host}') AND starts_with(path,'/{path}')", rule, action))
     pick = lambda k: "CASE " + " ".join(f"WHEN {r[0]} THEN '{r[k]}'" for r in rules) + " END"
-    return f"""WITH p AS (SELECT page_id, url, coalesce(translate(regexp_extract(url,'://([^/?#]*)',1),{_UP},{_LOW}),'') AS host, coalesce(regexp_extract(url,'://[^/?#]*([^?#]*)',1),'') AS path, regexp_extract(url,'://[^?#]*\\?([^#]*)',1) AS q FROM pages),
+    return f"""WITH p AS (SELECT page_id, url, html, coalesce(translate(regexp_extract(url,'://([^/?#]*)',1),{_UP},{_LOW}),'') AS host, coalesce(regexp_extract(url,'://[^/?#]*([^?#]*)',1),'') AS path, regexp_extract(url,'://[^?#]*\\?([^#]*)',1) AS q FROM pages),
  c AS (SELECT *, list_sort(list_filter(string_split(q,'&'), lambda x: x<>'' AND NOT regexp_matches(x,'^(utm_[^=]*|ref|fbclid|gclid)(=.*)?$'))) AS ps FROM p),
  k AS (SELECT *, CASE WHEN contains(url,'://') THEN regexp_replace(regexp_replace(host,'^www\\.',''),':(80|443)$','')||regexp_replace(path,'/+$','')||CASE WHEN len(ps)>0 THEN '?'||array_to_string(ps,'&') ELSE '' END END AS canon FROM c),
- l AS (SELECT DISTINCT canon FROM k WHERE regexp_matches(host,'^(www\\.)?spam-') AND canon IS NOT NULL)
+ l AS (SELECT DISTINCT canon FROM k WHERE contains(html,{_text(LISTED_HTML)}) AND canon IS NOT NULL)
  SELECT page_id, host, path, {pick(1)} AS rule, coalesce({pick(2)}, CASE WHEN canon IN (SELECT canon FROM l) THEN 'block' ELSE 'allow' END) AS verdict FROM k"""
 
 

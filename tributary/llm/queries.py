@@ -11,8 +11,8 @@ from . import chat, decontam, licenses, media, mixing, neardup, pii, quality, se
 from .shared import read_table
 
 URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/"))
-#: Hosts whose pages are the listed ones of op7.
-LISTED_HOSTS = r"^(www\.)?spam-"
+#: What the html of op7's listed pages holds. Other pages are blocked only if they are one of these under another spelling of its URL.
+LISTED_HTML = "$$$"
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages")
-    listed = pages.select("url").filter(urlfilter.host_of(F.col("url")).rlike(LISTED_HOSTS))
+    listed = pages.filter(F.contains("html", F.lit(LISTED_HTML))).select("url")
     return urlfilter.judged(pages, listed, URL_RULES)
 
 
