@@ -32,9 +32,18 @@ def forecasts(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
     return M.site_forecasts(A.snv(spark, sf_dir), matrix(spark, sf_dir), **wanted)
 
 
-# A smoothed series leaves no residual along constants and straight lines, whatever the penalty.
-query("PRI_01_04_smooth_stationary", sql(_FEW + " SELECT mutation, count(DISTINCT date) AS days, 0.0 AS level, 0.0 AS trend, 0 AS outside FROM snv WHERE mutation IN (SELECT mutation FROM ok) GROUP BY 1"), "level trend", "days outside", digits=3)(
-    lambda s, d: M.daily_smooth(M.enough_dates(A.snv(s, d))).withColumns({"e": F.col("n") * F.col("mu") - F.col("y"), "t": F.row_number().over(Window.partitionBy("mutation").orderBy("date"))}).groupBy("mutation").agg(F.count(F.lit(1)).alias("days"), (F.sum("e") / F.sum("n")).alias("level"), (F.sum(F.col("e") * F.col("t")) / F.sum("n")).alias("trend"), F.count_if(~F.col("mu").between(F.col("lo"), F.col("hi"))).alias("outside"))
+def smoothing_slope(daily: DataFrame) -> DataFrame:
+    """Per mutation and date: slope of the smoother's objective at its solution, as a share of the coverage. Only the one minimum has slope 0 at every date."""
+    w = Window.partitionBy("mutation").orderBy("date")
+    bent = daily.withColumn("a", F.log(F.col("mu") / (1 - F.col("mu")))).withColumn("second", F.lead("a", 2).over(w) - 2 * F.lead("a", 1).over(w) + F.col("a"))
+    back = lambda k: F.coalesce(F.lag("second", k).over(w), F.lit(0.0))
+    pull = F.coalesce("second", F.lit(0.0)) - 2 * back(1) + back(2)
+    weight = F.lit(10.0) / (1 + F.avg("n").over(Window.partitionBy("mutation")) / 5e5)
+    return bent.withColumn("slope", (F.col("n") * F.col("mu") - F.col("y") + weight * pull) / (1 + F.col("n")))
+
+
+query("PRI_01_04_smooth_stationary", sql(_FEW + " SELECT mutation, date, cast(sum(count) AS bigint) AS y, cast(sum(coverage) AS bigint) AS n, 0.0 AS slope, true AS inside FROM snv WHERE mutation IN (SELECT mutation FROM ok) GROUP BY ALL"), "slope", "y n")(
+    lambda s, d: smoothing_slope(M.daily_smooth(M.enough_dates(A.snv(s, d)))).select("mutation", "date", "y", "n", "slope", F.col("mu").between(F.col("lo"), F.col("hi")).alias("inside"))
 )
 query("PRI_14_17_intervals", sql(_FEW + " SELECT mutation, count(*) AS n, 0 AS disordered, 0 AS out_of_range FROM snv WHERE mutation IN (SELECT mutation FROM ok) GROUP BY 1"), longs="n disordered out_of_range")(
     lambda s, d: detail(s, d).filter("site_id <> 'GLOBAL'").groupBy("mutation").agg(F.count(F.lit(1)).alias("n"), F.count_if(~((F.col("y_lo_90") <= F.col("y_lo_50")) & (F.col("y_lo_50") <= F.col("y_hi_50")) & (F.col("y_hi_50") <= F.col("y_hi_90")))).alias("disordered"), F.count_if(~(F.col("mu_t").between(0, 1) & F.col("pi").between(0, 0.99) & (F.col("tau") >= 1) & F.col("kappa_t").between(3.0 / 24, 140.0) & (F.col("y_hi_90") <= F.col("coverage")))).alias("out_of_range"))
@@ -69,10 +78,3 @@ def predictive(spark: SparkSession, sf_dir: str) -> DataFrame:
         t = M.predictive_tables({"binomial": whole, "bernoulli": seen}.get(family, counts), f"{family}:{prior}", family, stats, a, b)
         out = t if out is None else out.unionByName(t)
     return out
-
-
-_MODELS = "(VALUES " + ",".join(f"('{f}:{p}')" for f, p, _, _ in V.MODELS) + ") m(model_id)"
-query("BAS_06_12_predictive_rows", sql(f" SELECT model_id, n_rows, true AS ordered FROM {_MODELS}, (SELECT count(*) AS n_rows FROM snv)"), longs="n_rows")(lambda s, d: predictive(s, d).groupBy("model_id").agg(F.sum("rows").alias("n_rows"), F.bool_and((F.col("lo90") <= F.col("lo50")) & (F.col("lo50") <= F.col("hi50")) & (F.col("hi50") <= F.col("hi90")) & F.col("pit").between(0, 1)).alias("ordered")))
-query("BAS_11_scores")(lambda s, d: M.predictive_scores(predictive(s, d)))
-query("BAS_12_pit_histogram", sql(f" SELECT model_id, n FROM {_MODELS}, (SELECT count(*) AS n FROM snv)"), longs="n")(lambda s, d: M.pit_histogram(predictive(s, d)).groupBy("model_id").agg(F.sum("n").alias("n")))
-query("BAS_15_leaderboard")(lambda s, d: V.posteriors(V.evidence(A.snv(s, d))).join(M.predictive_scores(predictive(s, d)), "model_id", "left"))

@@ -273,31 +273,34 @@ def predictive_tables(pairs: DataFrame, model_id: str, family: str, stats: dict[
 
     def run(batches):
         for b in batches:
-            out = []
-            for n, g in b.groupby("n"):
-                y = g["y"].to_numpy()
+            all_y, all_n = b["y"].to_numpy(), b["n"].to_numpy()
+            order = np.argsort(all_n, kind="stable")
+            found = {c.split()[0]: np.full(len(b), np.nan) for c in PREDICTIVE.split(", ")[4:]}
+            # one distribution table for each n of the batch
+            for at in np.split(order, np.flatnonzero(np.diff(all_n[order])) + 1) if len(b) else ():
+                y, n = all_y[at], int(all_n[at[0]])
+                mean = np.nan
                 if family in ("binomial", "bernoulli"):
                     hits, all_ = (stats["sy"], stats["sn"]) if family == "binomial" else (stats["sx"], stats["rows"])
                     a, c = p1 + hits, p2 + all_ - hits
-                    cdf, mean = special.bb_table(int(n), a, c), a / (a + c)
-                    logp, hat, q = special.bb_logpmf(y, n, a, c), n * mean, [float(np.searchsorted(cdf, x)) for x in (0.25, 0.75, 0.05, 0.95)]
-                    pit = 0.5 * (cdf[y] + cdf[np.maximum(y - 1, 0)])
+                    cdf, mean = special.bb_table(n, a, c), a / (a + c)
+                    logp, hat = special.bb_logpmf(y, n, a, c), n * mean
                 elif family == "poisson":
                     r, rate = p1 + stats["sy"], p2 + stats["rows"]
-                    mean, hat, p = None, r / rate, rate / (rate + 1)
-                    cdf = special.nb_table(int(max(y.max(), hat + 40 * (hat + 1) ** 0.5)), r, p)
-                    logp, q = special.nb_logpmf(y, r, p), [float(np.searchsorted(cdf, x)) for x in (0.25, 0.75, 0.05, 0.95)]
-                    pit = 0.5 * (cdf[y] + cdf[np.maximum(y - 1, 0)])
-                else:
+                    hat, p = r / rate, rate / (rate + 1)
+                    cdf, logp = special.nb_table(int(max(y.max(), hat + 40 * (hat + 1) ** 0.5)), r, p), special.nb_logpmf(y, r, p)
+                if family == "gaussian":
                     kn, an = p1 + stats["rows"], p2 + stats["rows"] / 2
                     bn = max(1e-12, stats["var"] * max(1.0, p2 - 1)) + stats["sse"] / 2
-                    mean, hat, scale = None, stats["mean"], (bn * (kn + 1) / (an * kn)) ** 0.5
+                    hat, scale = stats["mean"], (bn * (kn + 1) / (an * kn)) ** 0.5
                     z = (y - hat) / scale
                     logp, pit = special.t_logpdf(z, 2 * an) - np.log(scale), special.t_cdf(z, 2 * an)
                     q = [hat + scale * special.t_ppf(x, 2 * an) for x in (0.25, 0.75, 0.05, 0.95)]
-                out.append(g.assign(model_id=model_id, p_mean=mean, y_hat=hat, logp=logp, pit=special.clip01(pit), lo50=q[0], hi50=q[1], lo90=q[2], hi90=q[3]))
-            if out:
-                yield pd.concat(out)[[c.split()[0] for c in PREDICTIVE.split(", ")]]
+                else:
+                    pit, q = 0.5 * (cdf[y] + cdf[np.maximum(y - 1, 0)]), np.searchsorted(cdf, (0.25, 0.75, 0.05, 0.95))
+                for column, value in zip(found, (mean, hat, logp, special.clip01(pit), *q), strict=True):
+                    found[column][at] = value
+            yield pd.DataFrame({"model_id": [model_id] * len(b), "y": all_y, "n": all_n, "rows": b["rows"].to_numpy(), **found})
 
     return pairs.select("y", "n", "rows").mapInPandas(run, PREDICTIVE)
 

@@ -35,8 +35,6 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 query("MET_03_divergence", f"WITH v AS ({_VECS}), n AS (SELECT vec_id, (x+1e-12)/sum(x+1e-12) OVER g AS p, (q+1e-12)/sum(q+1e-12) OVER g AS q FROM v WINDOW g AS (PARTITION BY vec_id)) SELECT vec_id, sum(p*log2(p/q)) AS kl, sum((p*log2(2*p/(p+q))+q*log2(2*q/(p+q)))/2) AS js FROM n GROUP BY 1", "kl js")(lambda s, d: M.divergence(vectors(s, d), ["vec_id"], "x", "q"))
 query("MET_04_crps_samples", f"WITH v AS (SELECT vec_id, x, 0.1 AS y, row_number() OVER (PARTITION BY vec_id ORDER BY x) AS k, count(*) OVER (PARTITION BY vec_id) AS n FROM ({_VECS})) SELECT vec_id, avg(abs(x-y))-sum((2*k-n-1)*x)/max(n*n) AS crps FROM v GROUP BY 1", "crps")(lambda s, d: M.crps_samples(vectors(s, d).withColumn("y", F.lit(0.1)), ["vec_id"], "x", "y"))
-# the closed form against the mean over so many normal quantiles of |x - y| less half the mean distance of two, which is sigma / sqrt(pi)
-query("MET_05_crps_normal")(lambda s, d: pairs(s, d).select("doc_id", M.crps_normal(F.col("y"), F.col("p"), F.lit(0.5) + F.col("w") / 10).alias("crps")))
 query("MET_08_calibration_uniform", f"WITH b AS (SELECT least(floor(p*10),9) AS bin, avg(y) AS acc, avg(p) AS conf, count(*) AS count FROM ({_PAIRS}) GROUP BY 1) SELECT bin, acc, conf, count, count/sum(count) OVER () AS mass, count/sum(count) OVER ()*abs(acc-conf) AS contribution, bin/10 AS lower, (bin+1)/10 AS upper FROM b", "acc conf mass contribution lower upper", "bin count")(lambda s, d: M.calibration_bins(pairs(s, d), "y", "p"))
 query("MET_08_calibration_quantile", f"WITH r AS (SELECT y, p, row_number() OVER (ORDER BY p, y) AS k, count(*) OVER () AS n FROM ({_PAIRS})), b AS (SELECT least(floor(k*10/(n+1)),9) AS bin, avg(y) AS acc, avg(p) AS conf, count(*) AS count FROM r GROUP BY 1) SELECT bin, acc, conf, count, count/sum(count) OVER () AS mass, count/sum(count) OVER ()*abs(acc-conf) AS contribution, bin/10 AS lower, (bin+1)/10 AS upper FROM b", "acc conf mass contribution lower upper", "bin count")(lambda s, d: M.calibration_bins(pairs(s, d), "y", "p", strategy="quantile"))
 query("MET_08_ece", f"WITH b AS (SELECT least(floor(p*10),9) AS bin, avg(y) AS acc, avg(p) AS conf, count(*) AS n FROM ({_PAIRS}) GROUP BY 1) SELECT sum(n*abs(acc-conf))/sum(n) AS ece FROM b", "ece")(lambda s, d: M.expected_calibration_error(pairs(s, d), "y", "p"))
