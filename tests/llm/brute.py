@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -87,3 +89,42 @@ def contamination(docs: list[tuple[int, str | None]], items: list[tuple[int, str
                     found |= x
         out[i] = (len(w), len(hit), len(found), sha(",".join(sorted(found))), bool(hit))
     return out
+
+
+def planted_periods(doc_id: int | None, text: str | None) -> list[str]:
+    w = WORD.findall(text or "")
+    if doc_id is None:
+        return w
+    h, n = zlib.crc32(str(doc_id).encode()), len(w)
+    if h % 10 or not n:
+        return w
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [w[i if i < a else a + (i - a) % p] for i in range(n)]
+
+
+def runs(w: list[str], least_length: int = 6, least_exponent: int = 4) -> list[tuple[int, int, int]]:
+    """(start, length, period) of the runs, by start, then period: for each period all stretches, without those of a smaller one."""
+    n, stretches = len(w), {}
+    for q in range(1, n // 2 + 1):
+        k = 0
+        while k < n - q:
+            if w[k] != w[k + q]:
+                k += 1
+                continue
+            e = k
+            while e < n - q and w[e] == w[e + q]:
+                e += 1
+            if e - k >= q:
+                stretches.setdefault((k, e + q), q)
+            k = e
+    return sorted((s, e - s, q) for (s, e), q in stretches.items() if e - s >= max(least_length, least_exponent * q))
+
+
+def runs_row(doc_id: int | None, text: str | None) -> tuple:
+    w = planted_periods(doc_id, text)
+    found = runs(w)
+    gone = {i for s, n, q in found for i in range(s + q, s + n)}
+    s, n, q = max(found, key=lambda r: (Fraction(r[1], r[2]), -r[0], -r[2]), default=(None, None, None))
+    return len(found), s, n, q, None if q is None else 1000 * n // q, sha("".join(f"{a},{b},{c}\n" for a, b, c in found)), sha(" ".join(x for i, x in enumerate(w) if i not in gone))

@@ -1,4 +1,4 @@
-"""The ten operators over their whole tables, and SQL for those that SQL can express."""
+"""The operators over their whole tables, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, licenses, media, mixing, neardup, pii, quality, secretscan, urlfilter
+from . import chat, decontam, licenses, media, mixing, neardup, pii, quality, secretscan, tandem, urlfilter
 from .shared import read_table
 
 URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/"))
@@ -67,6 +67,17 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(read_table(spark, sf_dir, "documents"))
 
 
+def runs_of(docs: DataFrame) -> DataFrame:
+    out = tandem.periodic_runs(tandem.with_planted_periods(docs))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    digests = (F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "start", "length", "period", F.floor(F.lit(1000) * F.col("length") / F.col("period")).alias("exponent_milli"), *digests)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs_of(read_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -74,5 +85,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_quality, op3_pii, op4_near_duplicates, op5_chat, op6_media, op7_url_filter, op8_secrets, op9_decontamination, op10_licenses, pipeline)
+    f.__name__: f for f in (op1_mixing, op2_quality, op3_pii, op4_near_duplicates, op5_chat, op6_media, op7_url_filter, op8_secrets, op9_decontamination, op10_licenses, op11_periodic_runs, pipeline)
 }
