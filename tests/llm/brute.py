@@ -128,3 +128,44 @@ def runs_row(doc_id: int | None, text: str | None) -> tuple:
     gone = {i for s, n, q in found for i in range(s + q, s + n)}
     s, n, q = max(found, key=lambda r: (Fraction(r[1], r[2]), -r[0], -r[2]), default=(None, None, None))
     return len(found), s, n, q, None if q is None else 1000 * n // q, sha("".join(f"{a},{b},{c}\n" for a, b, c in found)), sha(" ".join(x for i, x in enumerate(w) if i not in gone))
+
+
+def variant_words(docs: list[tuple[int | None, str | None]], least_letters: int = 6, least_count: int = 5) -> dict[str, int]:
+    out: Counter = Counter()
+    for i, t in docs:
+        for w in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            w = w.translate(LOWER)
+            if i is not None and (h := zlib.crc32(f"{i}:{w}".encode())) % 199 == 0:
+                w = w[: h % len(w)] + w[h % len(w) + 1 :]
+            out[w] += 1
+    return {w: n for w, n in out.items() if len(w) >= least_letters and n >= least_count}
+
+
+def one_apart(a: str, b: str) -> bool:
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    a, b = sorted((a, b), key=len)
+    return len(b) - len(a) == 1 and any(b[:k] + b[k + 1 :] == a for k in range(len(b)))
+
+
+def variants(words: dict[str, int], ratio: int = 5) -> dict[str, tuple]:
+    """word: (n, n_near, form, form_n, root). Words one apart share one of the strings that one deletion at most leaves."""
+    left = defaultdict(set)
+    for w in words:
+        for x in {w, *(w[:k] + w[k + 1 :] for k in range(len(w)))}:
+            left[x].add(w)
+    near = defaultdict(set)
+    for group in left.values():
+        for a in group:
+            near[a] |= {b for b in group if one_apart(a, b)}
+    form = {}
+    for w, n in words.items():
+        best = min(near[w], key=lambda v: (-words[v], v), default=None)
+        form[w] = best if best is not None and words[best] >= ratio * n else None
+    out = {}
+    for w, n in words.items():
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out[w] = (n, len(near[w]), form[w], words.get(form[w]), root)
+    return out
