@@ -169,3 +169,19 @@ def variants(words: dict[str, int], ratio: int = 5) -> dict[str, tuple]:
             root = form[root]
         out[w] = (n, len(near[w]), form[w], words.get(form[w]), root)
     return out
+
+
+def repeated_strings(docs: list[tuple[int, str | None]], length: int = 100) -> dict[int, tuple]:
+    """doc_id: (n_bytes, n_removed, n_spans, digest of what is left), for distinct ids."""
+    seen, out = set(), {}
+    for i, t in sorted(docs):
+        b = (t or "").encode()
+        gone = [False] * len(b)
+        for k in range(len(b) - length + 1):
+            s = b[k : k + length]
+            if s in seen:
+                gone[k : k + length] = [True] * length
+            seen.add(s)
+        spans = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
+        out[i] = (len(b), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(b, gone, strict=True) if not g)).hexdigest())
+    return out

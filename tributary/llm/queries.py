@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, licenses, media, mixing, neardup, pii, quality, secretscan, tandem, urlfilter, variants
+from . import chat, decontam, licenses, media, mixing, neardup, pii, quality, secretscan, substrings, tandem, urlfilter, variants
 from .shared import read_table
 
 URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/"))
@@ -78,6 +78,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs_of(read_table(spark, sf_dir, "documents"))
 
 
+def op12_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.without_repeats(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = variants.word_counts(read_table(spark, sf_dir, "documents"), least_letters=variants.LEAST_LETTERS, slip_every=199)
     out = variants.spelling_variants(counts.filter(F.col("n") >= variants.LEAST_COUNT))
@@ -91,5 +96,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_quality, op3_pii, op4_near_duplicates, op5_chat, op6_media, op7_url_filter, op8_secrets, op9_decontamination, op10_licenses, op11_periodic_runs, op13_spelling_variants, pipeline)
+    f.__name__: f for f in (op1_mixing, op2_quality, op3_pii, op4_near_duplicates, op5_chat, op6_media, op7_url_filter, op8_secrets, op9_decontamination, op10_licenses, op11_periodic_runs, op12_repeated_strings, op13_spelling_variants, pipeline)
 }
