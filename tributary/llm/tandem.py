@@ -36,10 +36,10 @@ def word_ids(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all words, each document's followed by an id of its own, and where each document starts; no two documents share an id."""
     ids, starts, base = [], [0], 0
     for words in texts:
-        seen: dict[bytes, int] = {}
-        own = np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int64, len(words))
-        ids += [own + base, np.array([base + len(seen)])]
-        base += len(seen) + 1
+        seen = dict(zip(words, range(len(words)), strict=True))
+        own = np.fromiter(map(seen.__getitem__, words), np.int64, len(words))
+        ids += [own + base, np.array([base + len(words)])]
+        base += len(words) + 1
         starts.append(starts[-1] + len(words) + 1)
     return np.concatenate(ids) if ids else np.empty(0, np.int64), np.array(starts)
 
@@ -95,16 +95,20 @@ def common_prefixes(suffixes: np.ndarray, ranks: list[np.ndarray]) -> np.ndarray
     return common
 
 
-def _nearest(values: np.ndarray, or_equal: bool) -> np.ndarray:
-    """For each place the nearest one to the left with a smaller (or equal) value; values[0] is the smallest of all, and 0 leads to itself."""
-    near = np.maximum(np.arange(len(values)) - 1, 0)
-    todo = np.arange(1, len(values))
-    while len(todo):
-        on = values[near[todo]] > values[todo] if or_equal else values[near[todo]] >= values[todo]
-        todo = todo[on & (near[todo] > 0)]
-        # all between a place's candidate and the place is larger, so the candidate's own candidate comes next
-        near[todo] = near[near[todo]]
-    return near
+def _nearest(values: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the places, which are those of values above 0, the nearest one to the left with a smaller value, and with a smaller or equal one; values[0] is -1."""
+
+    def walked(step: np.ndarray | None) -> np.ndarray:
+        near = np.arange(len(values)) - 1
+        todo = places
+        while len(todo):
+            todo = todo[values[near[todo]] >= values[todo]] if step is None else todo[values[near[todo]] > values[todo]]
+            # all between a candidate and its own nearest smaller one is no smaller than the candidate
+            near[todo] = (near if step is None else step)[near[todo]]
+        return near
+
+    smaller = walked(None)
+    return smaller, walked(smaller)
 
 
 def branching_repeats(suffixes: np.ndarray, common: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,12 +116,11 @@ def branching_repeats(suffixes: np.ndarray, common: np.ndarray, rank: np.ndarray
     n = len(common)
     # bounds[k] parts the suffixes k - 1 and k; a node's bounds are those of its depth between two of smaller depth
     bounds = np.append(common, -1)
-    left, left_child = _nearest(bounds, False), _nearest(bounds, True)
-    back = bounds[::-1]
-    right, right_child = n - _nearest(back, False)[::-1], n - _nearest(back, True)[::-1]
-    k = np.flatnonzero(bounds[:n] > 0)
+    k = np.flatnonzero(bounds > 0)
     if not len(k):
         return np.empty(0, np.int64), np.empty(0, np.int64)
+    left, left_child = _nearest(bounds, k)
+    right, right_child = (n - near[::-1] for near in _nearest(bounds[::-1], (n - k)[::-1]))
     # a child ends at each bound of its node, and one more starts at the node's last bound
     last = bounds[right_child[k]] != bounds[k]
     node = np.concatenate([left[k], left[k[last]]])
