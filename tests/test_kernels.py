@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 
+import brute_zibb as plain
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -28,7 +29,7 @@ def test_special_functions():
 def test_bb_table_and_quantiles(n, a, b, q):
     t = special.bb_table(n, a, b)
     assert np.allclose(t, np.cumsum(np.exp(special.bb_logpmf(np.arange(n + 1), n, a, b))), atol=1e-9)
-    m = zibb.Mixture()
+    m = plain.Mixture()
     k = m.ppf(q, n, a, b, 0.0)
     assert m.cdf(k, n, a, b, 0.0) >= q - 1e-12 and (k == 0 or m.cdf(k - 1, n, a, b, 0.0) < q)
 
@@ -37,7 +38,7 @@ def test_batched_quantiles_equal_one_by_one():
     rng = np.random.default_rng(2)
     n, mu, kappa, pi = rng.integers(0, 60, 300), rng.random(300), rng.choice([3.0, 40.0], 300), rng.choice([0.0, 0.2], 300)
     n[:50], mu[:50], kappa[:50], pi[:50] = 7, 0.3, 3.0, 0.2
-    m = zibb.Mixture()
+    m = plain.Mixture()
     want = [[m.ppf(q, int(k), x * c, (1 - x) * c, z) for q in (0.05, 0.5, 0.95)] for k, x, c, z in zip(n, mu, kappa, pi, strict=True)]
     assert np.array_equal(zibb.quantiles(n, mu, kappa, pi, (0.05, 0.5, 0.95)), want)
     some = np.arange(300) % (n + 1)
@@ -53,11 +54,11 @@ def test_adaptive_edges_merge_until_bins_are_full():
     rng = np.random.default_rng(5)
     for least in (1, 5, 40, 1000):
         mu = np.round(rng.beta(0.4, 3, 400), 2)
-        edges = zibb.adaptive_edges(mu, 20, least)
-        counts = np.bincount(zibb.bin_of(mu, edges), minlength=len(edges) - 1)
+        edges = plain.adaptive_edges(mu, 20, least)
+        counts = np.bincount(plain.bin_of(mu, edges), minlength=len(edges) - 1)
         assert len(counts) == 2 or counts.min() >= least
         assert counts.sum() == 400 and np.all(np.diff(edges) > 0)
-    assert list(zibb.adaptive_edges(np.full(9, 0.2), 5, 1)) == [0.0, 1.0]
+    assert list(plain.adaptive_edges(np.full(9, 0.2), 5, 1)) == [0.0, 1.0]
 
 
 def test_newton_response_is_the_top_of_its_quadratic():
@@ -99,7 +100,7 @@ def test_smoother_is_stationary():
 @given(st.lists(st.tuples(st.floats(0, 1), st.floats(0.1, 10)), min_size=1, max_size=15))
 def test_isotonic_is_monotone_and_keeps_the_mean(rows):
     y, w = (np.array(x) for x in zip(*rows, strict=True))
-    f = zibb.isotonic(y, w)
+    f = plain.isotonic(y, w)
     assert np.all(np.diff(f) >= -1e-12) and (f @ w) == pytest.approx(y @ w)
 
 
@@ -108,9 +109,9 @@ def test_mixture_fit_recovers_rate_and_spread():
     day = np.repeat(np.arange(30), 40)
     n = rng.integers(50, 200, len(day))
     y = rng.binomial(n, rng.beta(0.2 * 30, 0.8 * 30, len(day))) * (rng.random(len(day)) > 0.1)
-    f = zibb.fit(day, 30, y, n, zibb.Settings())
+    f = plain.fit(day, 30, y, n, plain.Settings())
     assert abs(np.median(f.mu) - 0.2) < 0.03 and 10 < np.median(f.kappa) < 70 and 0.03 < np.median(f.pi) < 0.2
-    lo, hi = zibb.intervals(n, f.mu, f.kappa / zibb.widening(f, y, n, zibb.Settings())[f.bins], f.pi, 0.9)
+    lo, hi = zibb.intervals(n, f.mu, f.kappa / plain.widening(f, y, n, plain.Settings())[f.bins], f.pi, 0.9)
     assert np.mean((y >= lo) & (y <= hi)) > 0.86
 
 

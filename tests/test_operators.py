@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import types
 import math
 
 import pytest
@@ -15,7 +16,7 @@ from tributary.operators import diagnostics as D
 from tributary.operators import metrics as M
 from tributary.operators import preprocess as P
 from tributary.operators import signatures as G
-from tributary.plans import models, pipeline
+from tributary.plans import models, pipeline, priors
 from tributary.sources import readers as R
 from tributary.streaming.counts import daily_fractions
 
@@ -245,10 +246,10 @@ def test_stage_selection():
 
 def test_pipeline_end_to_end(spark):
     from tributary import adapters as A
-    from tributary.kernels import particles, zibb
+    from tributary.kernels import particles
 
     sf = "/root/testdata/sf0.001"
-    out = pipeline.run(A.snv_raw(spark, sf), A.signatures(spark, sf), ["preprocessing", "priors", "likelihood", "baseline", "forecast"], zibb.Settings(rounds=2), None, particles.Settings(particles=32, draws=20, cap=16))
+    out = pipeline.run(A.snv_raw(spark, sf), A.signatures(spark, sf), ["preprocessing", "priors", "likelihood", "baseline", "forecast"], priors.Settings(rounds=2), None, particles.Settings(particles=32, draws=20, cap=16))
     assert out["coverage_summary"].count() > 0 and out["bayes_factors_full"].count() > 0
     total = out["theta_estimates"].groupBy("site_id", "date").agg(F.sum("theta").alias("t")).agg(F.max(F.abs(F.col("t") - 1))).first()[0]
     assert total < 1e-9 and out["residuals"].filter("z is null").count() == 0 and out["forecast"].filter("kind = 'next_share'").count() > 0
@@ -290,7 +291,8 @@ def test_registered_model_queries_use_the_default_settings(monkeypatch):
     monkeypatch.setattr(Q.M, "site_forecasts", lambda *a, **b: asked.update(forecast=(a[2:], b)))
     monkeypatch.setattr(Q.M, "prior_detail", lambda *a, **b: asked.update(priors=(a[1:], b)))
     Q.forecasts(None, "")
-    Q.detail(None, "")
+    Q.detail(types.SimpleNamespace(sparkContext=types.SimpleNamespace(applicationId="none")), "")
+    Q._DETAILS.pop(("none", ""))
     assert asked == {"forecast": ((), {}), "priors": ((), {})}
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scalars import let
+
 
 def quantile_edges(df: DataFrame, value: str, bins: int, by: Sequence[str] = ()) -> DataFrame:
     """(by..., edges): distinct exact quantiles 0, 1 / bins .. 1."""
@@ -27,7 +29,11 @@ def equal_bin(x: Column, low: float, high: float, bins: int) -> Column:
 
 def interpolate(x: Column, knots: Column) -> Column:
     """Piecewise-linear through knots, array<struct<x, y>> sorted by x, with flat ends."""
-    before = F.filter(knots, lambda k: k["x"] <= x)
-    after = F.filter(knots, lambda k: k["x"] > x)
-    a, b = F.get(before, F.size(before) - 1), F.get(after, 0)
-    return F.when(F.size(before) == 0, b["y"]).when(F.size(after) == 0, a["y"]).otherwise(a["y"] + (x - a["x"]) * (b["y"] - a["y"]) / (b["x"] - a["x"]))
+    # the knots up to x are counted once; the two around it follow from their number
+    at = F.size(F.filter(knots, lambda k: k["x"] <= x))
+
+    def between(s: Column) -> Column:
+        a, b = s["a"], s["b"]
+        return F.when(a.isNull(), b["y"]).when(b.isNull(), a["y"]).otherwise(a["y"] + (x - a["x"]) * (b["y"] - a["y"]) / (b["x"] - a["x"]))
+
+    return let(at, lambda k: let(F.struct(F.get(knots, k - 1).alias("a"), F.get(knots, k).alias("b")), between))

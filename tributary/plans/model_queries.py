@@ -16,8 +16,15 @@ from .signature_queries import matrix
 _FEW = ", ok AS (SELECT mutation FROM snv GROUP BY 1 HAVING count(DISTINCT date)>=3)"
 
 
+#: The priors' table of each session and folder: a stage writes it once, and the queries that follow read it.
+_DETAILS: dict[tuple[str, str], DataFrame] = {}
+
+
 def detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.prior_detail(A.snv(spark, sf_dir))
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _DETAILS:
+        _DETAILS[key] = M.prior_detail(A.snv(spark, sf_dir))
+    return _DETAILS[key]
 
 
 def shares(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +53,7 @@ query("PRI_01_04_smooth_stationary", sql(_FEW + " SELECT mutation, date, cast(su
     lambda s, d: smoothing_slope(M.daily_smooth(M.enough_dates(A.snv(s, d)))).select("mutation", "date", "y", "n", "slope", F.col("mu").between(F.col("lo"), F.col("hi")).alias("inside"))
 )
 query("PRI_14_17_intervals", sql(_FEW + " SELECT mutation, count(*) AS n, 0 AS disordered, 0 AS out_of_range FROM snv WHERE mutation IN (SELECT mutation FROM ok) GROUP BY 1"), longs="n disordered out_of_range")(
-    lambda s, d: detail(s, d).filter("site_id <> 'GLOBAL'").groupBy("mutation").agg(F.count(F.lit(1)).alias("n"), F.count_if(~((F.col("y_lo_90") <= F.col("y_lo_50")) & (F.col("y_lo_50") <= F.col("y_hi_50")) & (F.col("y_hi_50") <= F.col("y_hi_90")))).alias("disordered"), F.count_if(~(F.col("mu_t").between(0, 1) & F.col("pi").between(0, 0.99) & (F.col("tau") >= 1) & F.col("kappa_t").between(3.0 / 24, 140.0) & (F.col("y_hi_90") <= F.col("coverage")))).alias("out_of_range"))
+    lambda s, d: detail(s, d).filter("kind = 'row'").groupBy("mutation").agg(F.count(F.lit(1)).alias("n"), F.count_if(~((F.col("y_lo_90") <= F.col("y_lo_50")) & (F.col("y_lo_50") <= F.col("y_hi_50")) & (F.col("y_hi_50") <= F.col("y_hi_90")))).alias("disordered"), F.count_if(~(F.col("mu_t").between(0, 1) & F.col("pi").between(0, 0.99) & (F.col("tau") >= 1) & F.col("kappa_t").between(3.0 / 24, 140.0) & (F.col("y_hi_90") <= F.col("coverage")))).alias("out_of_range"))
 )
 query("PRI_18_hyperparameters", sql(_FEW + " SELECT mutation, 0.0 AS gap FROM ok"), "gap")(lambda s, d: M.hyperparameters(detail(s, d)).select("mutation", (F.col("alpha") + F.col("beta") - F.col("kappa")).alias("gap")))
 query("PRI_19_global_series", sql(_FEW + " SELECT mutation, date, count(DISTINCT site_id) AS n_sites, true AS good FROM snv WHERE mutation IN (SELECT mutation FROM ok) GROUP BY ALL"), longs="n_sites")(lambda s, d: M.global_series(detail(s, d), A.snv(s, d)).select("mutation", "date", "n_sites", (F.col("mu_t").between(0, 1) & (F.col("kappa_t") > 0)).alias("good")))

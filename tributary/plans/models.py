@@ -1,7 +1,7 @@
 """The model stages as DataFrames: priors by mutation, shares and forecasts by site. Each group crosses to Python once, as Arrow batches.
 
-A group is one mutation's rows, a row for each site, date and sample, or one site's sums, a row for each date and mutation. What
-can be said with columns (sums, caps, medians, scores) is said before or after with columns.
+A group is one site's sums, a row for each date and mutation. What can be said with columns (sums, caps, medians, scores) is said before or after
+with columns; the fit of the priors has a module of its own (priors).
 """
 
 from __future__ import annotations
@@ -14,11 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clip01
-from ..kernels import particles, rw2, simplex, special, zibb
-
-_BANDS = ("y_lo_50", "y_hi_50", "p_lo_50", "p_hi_50", "y_lo_90", "y_hi_90", "p_lo_90", "p_hi_90")
-DETAIL = "site_id string, date date, mutation string, count long, coverage long, af double, mu_t double, mu_lo double, mu_hi double, kappa_t double, pi double, tau double, " + ", ".join(f"{c} {'long' if c[0] == 'y' else 'double'}" for c in _BANDS)
-
+from ..kernels import particles, simplex, special
+from . import priors
 
 def enough_dates(snv: DataFrame, least: int = 3) -> DataFrame:
     """Rows of mutations seen on so many dates."""
@@ -35,55 +32,24 @@ def capped_coverage(snv: DataFrame, quantile: float = 0.98) -> DataFrame:
 def daily_smooth(snv: DataFrame, penalty: float = 10.0) -> DataFrame:
     """(mutation, date, y, n, mu, lo, hi, var_a): the smoothed daily rate, from sums made before the shuffle."""
     daily = snv.groupBy("mutation", "date").agg(F.sum("count").alias("y"), F.sum("coverage").alias("n"))
+    return daily.join(priors.smoothed(daily, penalty).drop("n"), ["mutation", "date"])
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("date")
-        s = rw2.smooth(g["y"].to_numpy(), g["n"].to_numpy(), penalty)
-        return g[["mutation", "date", "y", "n"]].assign(mu=s.mu, lo=s.lo, hi=s.hi, var_a=s.var_a)
-
-    return daily.groupBy("mutation").applyInPandas(run, "mutation string, date date, y long, n long, mu double, lo double, hi double, var_a double")
-
-
-def prior_detail(snv: DataFrame, settings: zibb.Settings | None = None, min_dates: int = 3, cap_quantile: float = 0.98) -> DataFrame:
-    """Row-level posteriors of every mutation, and its daily series as rows of site GLOBAL (counts and intervals null there)."""
-    s = settings or zibb.Settings()
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["date", "site_id", "sample_id"], kind="stable")
-        dates, day = np.unique(g["date"].to_numpy(), return_inverse=True)
-        y, n = g["count"].to_numpy(), g["coverage"].to_numpy()
-        f = zibb.fit(day, len(dates), y, n, s)
-        y = np.minimum(y, n)
-        tau = zibb.widening(f, y, n, s)
-        kappa = np.clip(f.kappa / tau[f.bins], 1e-12, 1e12)
-        bands = {}
-        lo50, hi50, lo90, hi90 = zibb.intervals(n, f.mu, kappa, f.pi, 0.5, 0.9)
-        for lo, hi, tag in ((lo50, hi50, "50"), (lo90, hi90, "90")):
-            bands |= {f"y_lo_{tag}": lo, f"y_hi_{tag}": hi, f"p_lo_{tag}": lo / np.maximum(n, 1), f"p_hi_{tag}": hi / np.maximum(n, 1)}
-        name = g["mutation"].iloc[0]
-        rows = pd.DataFrame({"site_id": g["site_id"].to_numpy(), "date": g["date"].to_numpy(), "mutation": name, "count": y, "coverage": n, "af": y / np.maximum(n, 1), "mu_t": f.mu, "mu_lo": f.day.lo[day], "mu_hi": f.day.hi[day], "kappa_t": kappa, "pi": f.pi, "tau": tau[f.bins], **bands})
-        # concentration of a day: mean of its bin's rows, between bins on the logarithm
-        means = pd.Series(f.kappa).groupby(f.bins).mean().reindex(range(len(tau))).fillna(s.kappa_hi).to_numpy()
-        day_bin = zibb.bin_of(f.day.mu, f.edges)
-        days = pd.DataFrame({"site_id": "GLOBAL", "date": dates, "mutation": name, "mu_t": f.day.mu, "mu_lo": f.day.lo, "mu_hi": f.day.hi, "kappa_t": zibb.kappa_at(f.day.mu, f.edges, means) / tau[day_bin], "tau": tau[day_bin]})
-        out = pd.concat([rows, days], ignore_index=True)
-        for c in ("count", "coverage", *(c for c in _BANDS if c[0] == "y")):
-            out[c] = out[c].astype("Int64")
-        return out[[c.split()[0] for c in DETAIL.split(", ")]]
 
+def prior_detail(snv: DataFrame, settings: priors.Settings | None = None, min_dates: int = 3, cap_quantile: float = 0.98) -> DataFrame:
+    """Row-level posteriors of every mutation (kind row), and its daily series (kind day, site GLOBAL; counts and intervals null there). Fits when called."""
     ready = capped_coverage(enough_dates(snv.select("site_id", "date", "sample_id", "mutation", "count", "coverage"), min_dates), cap_quantile)
-    return ready.groupBy("mutation").applyInPandas(run, DETAIL)
+    return priors.detail(ready, settings or priors.Settings())
 
 
 def hyperparameters(detail: DataFrame) -> DataFrame:
     """Medians over a mutation's rows, as Beta parameters."""
-    g = detail.filter("site_id <> 'GLOBAL'").groupBy("mutation").agg(F.median("mu_t").alias("mu"), F.median("kappa_t").alias("kappa"))
+    g = detail.filter("kind = 'row'").groupBy("mutation").agg(F.median("mu_t").alias("mu"), F.median("kappa_t").alias("kappa"))
     return g.withColumns({"alpha": F.col("mu") * F.col("kappa"), "beta": (1 - F.col("mu")) * F.col("kappa")})
 
 
 def global_series(detail: DataFrame, snv: DataFrame) -> DataFrame:
     sites = snv.groupBy("mutation", "date").agg(F.count_distinct("site_id").alias("n_sites"))
-    g = detail.filter("site_id = 'GLOBAL'").select("site_id", "date", "mutation", "mu_t", "mu_lo", "mu_hi", "kappa_t")
+    g = detail.filter("kind = 'day'").select("site_id", "date", "mutation", "mu_t", "mu_lo", "mu_hi", "kappa_t")
     return g.join(sites, ["mutation", "date"], "left").withColumns({"a_t": F.log(clip01(F.col("mu_t")) / (1 - clip01(F.col("mu_t")))), "b_t": F.log("kappa_t")})
 
 
@@ -129,12 +95,12 @@ def _grid(g: pd.DataFrame, names: Sequence[str]) -> tuple[np.ndarray, np.ndarray
 SHARES = "kind string, site_id string, date date, lineage string, mutation string, iter int, theta double, theta_sd double, obs_af double, pred_af double, coverage double, kappa double, leverage double, objective double"
 
 
-def site_shares(snv: DataFrame, matrix: DataFrame, priors: DataFrame, settings: simplex.Settings | None = None) -> DataFrame:
+def site_shares(snv: DataFrame, matrix: DataFrame, known_priors: DataFrame, settings: simplex.Settings | None = None) -> DataFrame:
     """All outputs of the site solver as one tagged table: theta rows, residual rows and trace rows. Split it by `kind` after caching it."""
     s = settings or simplex.Settings()
     names, lineages, S = _matrix(matrix)
     # as many rows as the matrix, which is on the driver anyway
-    known = {r.mutation: (r.mu, r.kappa) for r in priors.join(matrix.select("mutation").distinct(), "mutation", "left_semi").select("mutation", "mu", "kappa").collect()}
+    known = {r.mutation: (r.mu, r.kappa) for r in known_priors.join(matrix.select("mutation").distinct(), "mutation", "left_semi").select("mutation", "mu", "kappa").collect()}
     mu, kappa = (np.array([known.get(m, (0.5, 0.0))[k] for m in names]) for k in (0, 1))
     unknown = lineages.index("GLOBAL") if "GLOBAL" in lineages else None
 

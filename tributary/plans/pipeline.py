@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..kernels import particles, simplex, zibb
+from ..kernels import particles, simplex
 from ..operators import evidence, model_reports, preprocess, signatures
-from . import models
+from . import models, priors
 
 ORDER = ("preprocessing", "priors", "likelihood", "baseline")
 ALIASES = {"prep": "preprocessing", "preprocess": "preprocessing", "prior": "priors", "deconvolution": "likelihood", "evidence": "baseline"}
@@ -21,7 +21,7 @@ def selected_stages(names: list[str] | None) -> list[str]:
     return [s for s in (*ORDER, "forecast") if s in wanted]
 
 
-def run(raw: DataFrame, raw_signatures: DataFrame, stages: list[str] | None = None, prior_settings: zibb.Settings | None = None, share_settings: simplex.Settings | None = None, forecast_settings: particles.Settings | None = None) -> dict[str, DataFrame]:
+def run(raw: DataFrame, raw_signatures: DataFrame, stages: list[str] | None = None, prior_settings: priors.Settings | None = None, share_settings: simplex.Settings | None = None, forecast_settings: particles.Settings | None = None) -> dict[str, DataFrame]:
     """Tables by name. The cleaned counts feed every stage: callers that write several tables should cache `snv` first."""
     out: dict[str, DataFrame] = {}
     chosen = selected_stages(stages)
@@ -33,7 +33,7 @@ def run(raw: DataFrame, raw_signatures: DataFrame, stages: list[str] | None = No
         detail = models.prior_detail(snv, prior_settings)
         hyper = models.hyperparameters(detail)
         if "priors" in chosen:
-            out |= {"priors_full_detail": detail.filter("site_id <> 'GLOBAL'"), "priors_hyperparams": hyper, "detail_global_timeseries": models.global_series(detail, snv), "eb_population_prior": models.population_prior(hyper)}
+            out |= {"priors_full_detail": detail.filter("kind = 'row'").drop("kind"), "priors_hyperparams": hyper, "detail_global_timeseries": models.global_series(detail, snv), "eb_population_prior": models.population_prior(hyper)}
         if "likelihood" in chosen:
             matrix = signatures.signature_matrix(sig, hyper)
             tagged = models.site_shares(snv, matrix, models.resolved_priors(hyper, matrix), share_settings)

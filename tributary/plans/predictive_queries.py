@@ -103,7 +103,7 @@ query("MET_05_crps_normal", f"SELECT doc_id, sigma*(sqrt(2/pi())+2*{_GAP}-1/sqrt
 
 def observed_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observed rows in place of fitted ones, for summaries that SQL can follow."""
-    return A.snv(spark, sf_dir).select("site_id", "mutation", F.col("af").alias("mu_t"), (F.col("coverage") + 5.0).alias("kappa_t"))
+    return A.snv(spark, sf_dir).select(F.lit("row").alias("kind"), "mutation", F.col("af").alias("mu_t"), (F.col("coverage") + 5.0).alias("kappa_t"))
 
 
 _HYPER = ", hp AS (SELECT mutation, median(af) AS mu, median(coverage+5.0) AS kappa FROM snv GROUP BY 1)"
