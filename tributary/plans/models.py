@@ -95,31 +95,54 @@ def _grid(g: pd.DataFrame, names: Sequence[str]) -> tuple[np.ndarray, np.ndarray
 SHARES = "kind string, site_id string, date date, lineage string, mutation string, iter int, theta double, theta_sd double, obs_af double, pred_af double, coverage double, kappa double, leverage double, objective double"
 
 
-def site_shares(snv: DataFrame, matrix: DataFrame, known_priors: DataFrame, settings: simplex.Settings | None = None) -> DataFrame:
-    """All outputs of the site solver as one tagged table: theta rows, residual rows and trace rows. Split it by `kind` after caching it."""
+def site_shares(snv: DataFrame, matrix: DataFrame, known_priors: DataFrame, settings: simplex.Settings | None = None, by_date: DataFrame | None = None, prior_only_days: DataFrame | None = None) -> DataFrame:
+    """All outputs of the site solver as one tagged table: theta rows, residual rows and trace rows. Split it by `kind` after caching it.
+
+    by_date: (site_id, date, mutation, mu, kappa) as operators.dated_priors.resolved_by_date gives it; where it has a row, that one holds instead of known_priors. With prior_only_days
+    (site_id, date) the counts are left out: each day's counts are its priors', kappa * mu out of kappa.
+    """
     s = settings or simplex.Settings()
     names, lineages, S = _matrix(matrix)
     # as many rows as the matrix, which is on the driver anyway
     known = {r.mutation: (r.mu, r.kappa) for r in known_priors.join(matrix.select("mutation").distinct(), "mutation", "left_semi").select("mutation", "mu", "kappa").collect()}
-    mu, kappa = (np.array([known.get(m, (0.5, 0.0))[k] for m in names]) for k in (0, 1))
+    base = [np.array([known.get(m, (0.5, 0.0))[k] for m in names]) for k in (0, 1)]
     unknown = lineages.index("GLOBAL") if "GLOBAL" in lineages else None
+    alone = prior_only_days is not None
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
+    def run(g: pd.DataFrame, own: pd.DataFrame | None = None) -> pd.DataFrame:
+        columns = [c.split()[0] for c in SHARES.split(", ")]
+        if not len(g):
+            return pd.DataFrame(columns=columns)
         site = g["site_id"].iloc[0]
         dates, y, n = _grid(g, names)
-        n = np.minimum(n, np.quantile(n, s.cap_quantile, axis=1)[:, None])
+        mu, kappa = (np.repeat(v[None], len(dates), axis=0) for v in base)
+        if own is not None and len(own):
+            for values, c in ((mu, "mu"), (kappa, "kappa")):
+                wide = own.pivot_table(index="date", columns="mutation", values=c, aggfunc="first").reindex(index=dates, columns=names).to_numpy(float)
+                values[:] = np.where(np.isnan(wide), values, wide)
+        if alone:
+            y, n, af = kappa * mu, kappa.copy(), mu
+        else:
+            n = np.minimum(n, np.quantile(n, s.cap_quantile, axis=1)[:, None])
+            af = np.where(n > 0, y / np.maximum(n, 1), 0.0)
         out = simplex.solve(S, y, n, mu, kappa, s, unknown)
         theta = pd.DataFrame({"kind": "theta", "site_id": site, "date": np.repeat(dates, len(lineages)), "lineage": np.tile(lineages, len(dates)), "theta": out.theta.ravel(), "theta_sd": out.sd.ravel()})
-        af = np.where(n > 0, y / np.maximum(n, 1), 0.0)
-        resid = pd.DataFrame({"kind": "residual", "site_id": site, "date": np.repeat(dates, len(names)), "mutation": np.tile(names, len(dates)), "obs_af": af.ravel(), "pred_af": np.clip(out.theta @ S.T, 1e-12, 1 - 1e-12).ravel(), "coverage": n.ravel(), "kappa": np.tile(kappa, len(dates)), "leverage": out.leverage.ravel()})
+        resid = pd.DataFrame({"kind": "residual", "site_id": site, "date": np.repeat(dates, len(names)), "mutation": np.tile(names, len(dates)), "obs_af": af.ravel(), "pred_af": np.clip(out.theta @ S.T, 1e-12, 1 - 1e-12).ravel(), "coverage": n.ravel(), "kappa": kappa.ravel(), "leverage": out.leverage.ravel()})
         trace = pd.DataFrame({"kind": "trace", "site_id": site, "iter": range(len(out.objective)), "objective": out.objective})
         both = pd.concat([theta, resid, trace], ignore_index=True)
         both["iter"] = both["iter"].astype("Int32")
-        return both[[c.split()[0] for c in SHARES.split(", ")]]
+        return both[columns]
 
-    wanted = snv.join(matrix, "mutation", "left_semi")
-    cells = wanted.groupBy("site_id", "date", "mutation").agg(F.sum("count").alias("count"), F.sum("coverage").alias("coverage"))
-    return cells.groupBy("site_id").applyInPandas(run, SHARES)
+    if alone:
+        cells = prior_only_days.select("site_id", "date", F.lit(names[0] if names else "").alias("mutation"), F.lit(0).cast("long").alias("count"), F.lit(0).cast("long").alias("coverage")).distinct()
+    else:
+        wanted = snv.join(matrix, "mutation", "left_semi")
+        cells = wanted.groupBy("site_id", "date", "mutation").agg(F.sum("count").alias("count"), F.sum("coverage").alias("coverage"))
+    if by_date is None:
+        return cells.groupBy("site_id").applyInPandas(lambda g: run(g), SHARES)
+    # names of their own: by_date may come from the same rows as the cells
+    own = by_date.select(*(F.col(c).alias(c) for c in ("site_id", "date", "mutation", "mu", "kappa")))
+    return cells.groupBy("site_id").cogroup(own.groupBy("site_id")).applyInPandas(lambda g, p: run(g, p), SHARES)
 
 
 def z_scores(residuals: DataFrame) -> DataFrame:

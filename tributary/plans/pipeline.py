@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..kernels import particles, simplex
-from ..operators import evidence, model_reports, preprocess, signatures
+from ..operators import dated_priors, evidence, model_reports, preprocess, signatures
 from . import models, priors
 
 ORDER = ("preprocessing", "priors", "likelihood", "baseline")
@@ -21,8 +21,8 @@ def selected_stages(names: list[str] | None) -> list[str]:
     return [s for s in (*ORDER, "forecast") if s in wanted]
 
 
-def run(raw: DataFrame, raw_signatures: DataFrame, stages: list[str] | None = None, prior_settings: priors.Settings | None = None, share_settings: simplex.Settings | None = None, forecast_settings: particles.Settings | None = None) -> dict[str, DataFrame]:
-    """Tables by name. The cleaned counts feed every stage: callers that write several tables should cache `snv` first."""
+def run(raw: DataFrame, raw_signatures: DataFrame, stages: list[str] | None = None, prior_settings: priors.Settings | None = None, share_settings: simplex.Settings | None = None, forecast_settings: particles.Settings | None = None, dated: DataFrame | None = None, carry: bool = False, prior_only: bool = False) -> dict[str, DataFrame]:
+    """Tables by name. dated: priors by date (operators.dated_priors) for the shares, carry: they hold until the next one, prior_only: shares of the priors alone. The cleaned counts feed every stage: callers that write several tables should cache `snv` first."""
     out: dict[str, DataFrame] = {}
     chosen = selected_stages(stages)
     snv = out["snv"] = preprocess.with_fractions(preprocess.coerced_counts(raw))
@@ -36,7 +36,10 @@ def run(raw: DataFrame, raw_signatures: DataFrame, stages: list[str] | None = No
             out |= {"priors_full_detail": detail.filter("kind = 'row'").drop("kind"), "priors_hyperparams": hyper, "detail_global_timeseries": models.global_series(detail, snv), "eb_population_prior": models.population_prior(hyper)}
         if "likelihood" in chosen:
             matrix = signatures.signature_matrix(sig, hyper)
-            tagged = models.site_shares(snv, matrix, models.resolved_priors(hyper, matrix), share_settings)
+            base = models.resolved_priors(hyper, matrix)
+            days = dated_priors.prior_only_days(snv.join(matrix, "mutation", "left_semi"), dated) if prior_only else None
+            by_date = None if dated is None else dated_priors.resolved_by_date(snv if days is None else days, base, dated, carry)
+            tagged = models.site_shares(snv, matrix, base, share_settings, by_date, days)
             theta, resid = tagged.filter("kind = 'theta'").select("site_id", "date", "lineage", "theta", "theta_sd"), tagged.filter("kind = 'residual'")
             out |= {"theta_estimates": theta.drop("theta_sd"), "theta_uncertainty": models.calibrated_uncertainty(theta.drop("theta"), resid), "residuals": models.z_scores(resid)}
     if "baseline" in chosen:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import adapters as A
 from ..adapters import sql
 from ..functions.binning import digitize
+from ..operators import dated_priors as D
 from ..operators import mixture as X
 from ..registry import query
 from . import models as M
@@ -120,3 +121,29 @@ query("PRI_11_13_responsibilities", _recursive(_RATED + _MERGED + _GIVEN + _RESP
 query("PRI_10_12_bin_parameters", _recursive(_RATED + _MERGED + _GIVEN + _RESP + _NEXT), "kappa pi", "bin", digits=5)(
     lambda s, d: X.bin_parameters(expected(s, d), given(s, d), S).select("mutation", F.posexplode(F.arrays_zip("kappas", "pis")).alias("bin", "b")).select("mutation", "bin", F.col("b.kappas").alias("kappa"), F.col("b.pis").alias("pi"))
 )
+
+# Dated priors: pooled rates of some days of each site, without a rate where nothing was counted, without a concentration on every third day.
+
+
+def dated(spark: SparkSession, sf_dir: str, by_site: bool = True) -> DataFrame:
+    keys = (["site_id"] if by_site else []) + ["date", "mutation"]
+    day = A.snv(spark, sf_dir).groupBy(*keys).agg(F.sum("count").alias("y"), F.sum("coverage").alias("n"))
+    some = day.filter((F.dayofmonth("date") + F.length("mutation")) % 2 == 0)
+    return D.dated_priors(some.select(*keys, F.when(F.col("y") > 0, F.col("y") / F.col("n")).alias("mu"), F.when(F.dayofmonth("date") % 3 != 0, 1.0 + F.col("n")).alias("kappa_t")))
+
+
+def base_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.resolved_priors(A.snv(spark, sf_dir).groupBy("mutation").agg((F.sum("count") / F.sum("coverage")).alias("mu"), F.lit(20.0).alias("kappa")), A.signatures(spark, sf_dir))
+
+
+_BASE = ", base AS (SELECT DISTINCT mutation, least(greatest(coalesce(mu,0.5),1e-9),1-1e-9) AS mu0, CASE WHEN mu IS NULL THEN 0.0 ELSE 20.0 END AS k0 FROM signatures LEFT JOIN (SELECT mutation, sum(count)/sum(coverage) AS mu FROM snv GROUP BY 1) USING (mutation)), days AS (SELECT DISTINCT site_id, date FROM snv), grid AS (SELECT * FROM days CROSS JOIN base)"
+_DATED = ", dated AS (SELECT {keys}, CASE WHEN sum(count)>0 THEN sum(count)/sum(coverage) END AS mu_t, CASE WHEN day(date)%3<>0 THEN 1.0+sum(coverage) END AS kappa_t FROM snv WHERE (day(date)+length(mutation))%2=0 GROUP BY {keys})"
+_PICK = " SELECT site_id, date, mutation, CASE WHEN mu_t IS NULL THEN mu0 ELSE least(greatest(mu_t,1e-9),1-1e-9) END AS mu, coalesce(kappa_t,k0) AS kappa, mu_t IS NOT NULL OR kappa_t IS NOT NULL AS own FROM "
+query("IO_07_priors_of_the_day", sql(_BASE + _DATED.format(keys="site_id, date, mutation") + _PICK + "grid LEFT JOIN dated USING (site_id, date, mutation)"), "mu kappa")(lambda s, d: D.resolved_by_date(A.snv(s, d), base_priors(s, d), dated(s, d)))
+query("IO_07_priors_by_date_alone", sql(_BASE + _DATED.format(keys="date, mutation") + _PICK + "grid LEFT JOIN dated USING (date, mutation)"), "mu kappa")(lambda s, d: D.resolved_by_date(A.snv(s, d), base_priors(s, d), dated(s, d, False)))
+for _name, _keys, _site, _by in (("LIK_02_carried_priors", "site_id, date, mutation", " AND d.site_id=grid.site_id", True), ("LIK_02_priors_carried_by_date", "date, mutation", "", False)):
+    _found = "(SELECT grid.*, " + ", ".join(f"(SELECT arg_max(d.{v},d.date) FROM dated d WHERE d.mutation=grid.mutation AND d.date<=grid.date AND d.{v} IS NOT NULL{_site}) AS {v}" for v in ("mu_t", "kappa_t")) + " FROM grid)"
+    query(_name, sql(_BASE + _DATED.format(keys=_keys) + _PICK + _found), "mu kappa")(lambda s, d, by=_by: D.resolved_by_date(A.snv(s, d), base_priors(s, d), dated(s, d, by), carry=True))
+query("LIK_18_prior_only_days", sql(", p AS (SELECT DISTINCT site_id, date FROM snv WHERE date<'2024-01-06' AND site_id IN ('S1','S2')), c AS (SELECT DISTINCT site_id, date FROM snv WHERE site_id<>'S1' AND mutation LIKE 'VIEW%') SELECT * FROM p UNION ALL SELECT * FROM c WHERE site_id NOT IN (SELECT site_id FROM p)"))(
+    lambda s, d: (lambda snv: D.prior_only_days(snv.filter("site_id <> 'S1' and mutation like 'VIEW%'"), D.dated_priors(snv.filter("date < '2024-01-06' and site_id in ('S1', 'S2')").select("site_id", "date", "mutation", F.col("af").alias("mu")))))(A.snv(s, d))
+)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import normalize_mutation
+from ..operators.dated_priors import dated_priors
 from ..operators.preprocess import coerced_counts, with_fractions
 
 COUNT_NAMES = ("count", "alt_count", "y", "k", "success", "altcount")
@@ -62,11 +63,13 @@ def read_hyperparameters(spark: SparkSession, path: str) -> DataFrame:
     return counted.select(once.alias("mutation"), *(c for c in rows.columns if c != "mutation"))
 
 
-def time_local_priors(snv: DataFrame, priors: DataFrame) -> DataFrame:
-    """Priors of the same date, and site where the table has sites; null where it has none."""
-    keys = [c for c in ("site_id", "date", "mutation") if c in priors.columns]
-    p = priors.select(*keys, F.col("mu_t").alias("mu"), F.col("kappa_t").alias("kappa"))
-    return snv.join(p, keys, "left")
+def read_dated_priors(spark: SparkSession, path: str) -> DataFrame:
+    """A stored table of dated priors (CSV or Parquet by its name), keyed by date or by site and date."""
+    df = spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else read_csv_strings(spark, path)
+    if missing := {"date", "mutation"} - set(df.columns):
+        raise ValueError(f"dated priors need columns {sorted(missing)}")
+    day = F.try_to_date(F.substring(F.col("date").cast("string"), 1, 10), "yyyy-MM-dd")
+    return dated_priors(df.withColumn("date", day))
 
 
 def latest(spark: SparkSession, candidates: Sequence[str]) -> str | None:
