@@ -12,7 +12,7 @@ finds a link of a set is the product of 1 - t ** depth over its trees. In sparse
 more than `MISS` are open. Links between open sets are found exactly, by a join: in any total order of all shingles, two
 sets of similarity t share one of the first n - ceil(t * n) + 1 shingles of each. The order puts rare shingles first; how rare they are is estimated
 from a sample, which changes the cost alone. Open sets of different components that share such a shingle, and whose sizes and places of it allow a link,
-are confirmed. Shingles of many sets are dealt over blocks, so no task gets all pairs of one.
+are confirmed. Sets of one component don't meet at all, and shingles of many sets are dealt over blocks, so no task gets all pairs of one.
 
 Candidates whose sizes rule out a link are dropped (exact); all others are confirmed on the full shingle sets, first the best sketch of each set,
 then those that would still join two components.
@@ -215,13 +215,12 @@ def common_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarra
     return got["shingle"].to_numpy(np.int64), got["sets"].to_numpy(np.int64)
 
 
-_POSTS = "shingle long, block long, own int, at int, n int, node binary, root binary, earlier binary"
+_POSTS = "shingle long, at int, n int, node binary, root binary, earlier binary"
 
 
 def first_shingles(texts: DataFrame, width: int, percent: int, values: np.ndarray, counts: np.ndarray) -> DataFrame:
     """Postings from rows (node, root, _text): the shingles that any linked set shares one of, rare ones first, with their place.
 
-    A shingle of many sets has more than one block, for each two of its parts (own) one; block is a multiple of 65537 where both are the same.
     earlier: the last EARLIER common shingles that the set has before this one, as int64; 0 for none.
     """
     common = texts.sparkSession.sparkContext.broadcast((values, counts))
@@ -236,22 +235,39 @@ def first_shingles(texts: DataFrame, width: int, percent: int, values: np.ndarra
                     k = np.minimum(np.searchsorted(values, s), len(values) - 1)
                     sets = np.where(values[k] == s, counts[k], 0)
                 first = np.lexsort((s, sets))[: len(s) - -(-percent * len(s) // 100) + 1]
-                parts = np.clip(sets[first] * SAMPLE // BLOCK, 1, 65535)
-                own, place = int.from_bytes(node[:8], "big") % parts.astype(np.uint64), np.arange(len(first))
-                own = own.astype(np.int64)
-                r = np.repeat(place, parts)
-                other = np.arange(len(r)) - np.repeat(np.cumsum(parts) - parts, parts)
-                block = np.minimum(own[r], other) * 65536 + np.maximum(own[r], other)
                 # rare shingles, which are not named, come first
                 named = np.concatenate([np.zeros(EARLIER, np.int64), np.where(sets[first] > 0, s[first], 0)])
-                earlier = [named[k : k + EARLIER].tobytes() for k in place]
-                yield pd.DataFrame({"shingle": s[first][r], "block": block, "own": own[r].astype(np.int32), "at": r.astype(np.int32), "n": np.int32(len(s)), "node": node, "root": root, "earlier": [earlier[k] for k in r]})
+                earlier = [named[k : k + EARLIER].tobytes() for k in range(len(first))]
+                yield pd.DataFrame({"shingle": s[first], "at": np.arange(len(first), dtype=np.int32), "n": np.int32(len(s)), "node": node, "root": root, "earlier": earlier})
 
     return texts.select("node", "root", "_text").mapInPandas(run, _POSTS)
 
 
+def dealt(posts: DataFrame) -> DataFrame:
+    """Postings of shingles that two components hold, in blocks (shingle, x, y): a pair of different components meets in one block, on different sides of it unless x = y.
+
+    A shingle's holders are cut into parts of about BLOCK: each component of more holders has parts of its own, which don't meet each other, and the rest share
+    parts by component. So a holder goes to as many blocks as there are parts of other components, and sets of one large component never meet.
+    """
+    by_root = posts.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("k"))
+    cut = lambda k: F.ceil(k / BLOCK).cast("int")
+    large = F.col("k") > BLOCK
+    held = by_root.groupBy("shingle").agg(F.count(F.lit(1)).alias("roots"), cut(F.sum(F.when(large, 0).otherwise(F.col("k")))).alias("shared"), F.array_sort(F.collect_list(F.when(large, F.struct("root", cut(F.col("k")).alias("parts"))))).alias("large")).filter("roots > 1")
+    # numbers of the parts: the shared ones first
+    add = lambda acc, r: F.concat(acc, F.array(F.struct(r["root"].alias("root"), (F.element_at(acc, -1)["first"] + F.element_at(acc, -1)["parts"]).alias("first"), r["parts"].alias("parts"))))
+    none = F.array(F.struct(F.lit(None).cast("binary").alias("root"), F.lit(0).alias("first"), F.col("shared").alias("parts")))
+    numbered = held.select("shingle", F.aggregate("large", none, add).alias("p"))
+    both = posts.join(numbered, "shingle").withColumn("own", F.coalesce(F.get(F.filter("p", lambda r: r["root"] == F.col("root")), 0), F.get("p", 0)))
+    own, last = F.col("own"), F.element_at("p", -1)
+    among = F.when(own["root"].isNull(), F.xxhash64("root")).otherwise(F.xxhash64("node"))
+    both = both.withColumn("part", own["first"] + F.pmod(among, own["parts"]).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), last["first"] + last["parts"] - 1), lambda j: own["root"].isNull() | (j < own["first"]) | (j >= own["first"] + own["parts"]))
+    blocks = F.transform(others, lambda j: F.struct(F.least("part", j).alias("x"), F.greatest("part", j).alias("y"), (F.col("part") > j).cast("int").alias("side")))
+    return both.select("shingle", F.explode(blocks).alias("b"), "at", "n", "node", "root", "earlier").select("shingle", "b.*", "at", "n", "node", "root", "earlier")
+
+
 def _meetings(percent: int):
-    """From postings in the order of (shingle, block): pairs of sets (a, b), a < b, of different roots that may be linked."""
+    """From postings in the order of (shingle, x, y): pairs of sets (a, b), a < b, of different roots that may be linked."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -259,7 +275,7 @@ def _meetings(percent: int):
             b = b if held is None else pd.concat([held, b], ignore_index=True)
             if len(b):
                 # the last block may go on in the next batch
-                last = ((b["shingle"] == b["shingle"].iat[-1]) & (b["block"] == b["block"].iat[-1])).to_numpy()
+                last = np.logical_and.reduce([(b[c] == b[c].iat[-1]).to_numpy() for c in ("shingle", "x", "y")])
                 start = len(b) - int(last.sum())
                 held = b.iloc[start:]
                 yield from met(b.iloc[:start])
@@ -269,20 +285,19 @@ def _meetings(percent: int):
     def met(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
         if len(b) < 2:
             return
-        shingle, block, own, at, n = (b[c].to_numpy(np.int64) for c in ("shingle", "block", "own", "at", "n"))
+        keys = b[["shingle", "x", "y"]].to_numpy(np.int64)
+        side, at, n = (b[c].to_numpy(np.int64) for c in ("side", "at", "n"))
         node, root = b["node"].to_numpy(object), pd.factorize(b["root"])[0]
         earlier = np.frombuffer(b"".join(b["earlier"]), np.int64).reshape(len(b), EARLIER)
-        run_of = np.cumsum(np.concatenate([[True], (shingle[1:] != shingle[:-1]) | (block[1:] != block[:-1])]))
-        within = block % 65537 == 0
-        x, found = np.arange(len(b)), []
-        for d in range(1, len(b)):
-            x = x[x < len(b) - d]
-            x = x[run_of[x] == run_of[x + d]]
-            if not len(x):
-                break
-            y = x + d
+        within = keys[:, 1] == keys[:, 2]
+        heads = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
+        sizes = np.diff(np.append(heads, len(b)))
+        block = np.repeat(np.arange(len(heads)), sizes)
+        small, found = np.repeat(sizes <= 64, sizes), []
+
+        def tried(x: np.ndarray, y: np.ndarray) -> None:
             # the first shingle that two sets share leaves at most so many others: both sizes and places bound what they have in common
-            may = (root[x] != root[y]) & (within[x] | (own[x] != own[y])) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+            may = (root[x] != root[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
             may &= (100 + percent) * np.minimum(n[x] - at[x], n[y] - at[y]) >= percent * (n[x] + n[y])
             i, j = x[may], y[may]
             # two sets that share an earlier shingle met there, where the bound is the one that holds
@@ -291,6 +306,27 @@ def _meetings(percent: int):
             if len(i):
                 swap = node[i] > node[j]
                 found.append(pd.DataFrame({"a": np.where(swap, node[j], node[i]), "b": np.where(swap, node[i], node[j])}))
+
+        # blocks of a few rows together, one distance after the other
+        x = np.flatnonzero(small)
+        for d in range(1, len(b)):
+            x = x[x < len(b) - d]
+            x = x[block[x] == block[x + d]]
+            if not len(x):
+                break
+            meets = x[within[x] | (side[x] != side[x + d])]
+            tried(meets, meets + d)
+        # of a large one, a row after the other: against the components behind its own, or against the larger side
+        for k in np.flatnonzero(sizes > 64):
+            rows = np.arange(heads[k], heads[k] + sizes[k])
+            if within[rows[0]]:
+                rows = rows[np.argsort(root[rows], kind="stable")]
+                for i, end in zip(rows, np.searchsorted(root[rows], root[rows], side="right"), strict=True):
+                    tried(np.full(len(rows) - end, i), rows[end:])
+            else:
+                few, many = sorted((rows[side[rows] == 0], rows[side[rows] == 1]), key=len)
+                for i in few:
+                    tried(np.full(len(many), i), many)
         if found:
             yield pd.concat(found).drop_duplicates()
 
@@ -299,9 +335,10 @@ def _meetings(percent: int):
 
 def exact_candidates(texts: DataFrame, width: int, percent: int) -> DataFrame:
     """(a, b), a < b: every pair of sets of different components that may be linked, from rows (node, root, _text)."""
-    posts = first_shingles(texts, width, percent, *common_shingles(texts, width))
+    posts = saved(first_shingles(texts, width, percent, *common_shingles(texts, width)), "posts")
     parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return posts.repartition(parts, "shingle", "block").sortWithinPartitions("shingle", "block").mapInPandas(_meetings(percent), "a binary, b binary").distinct()
+    keys = ("shingle", "x", "y")
+    return dealt(posts).repartition(parts, *keys).sortWithinPartitions(*keys).mapInPandas(_meetings(percent), "a binary, b binary").distinct()
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -333,16 +370,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = saved(shingle_sets(docs, id_col, text_col, width), "sets")
     # one node for each distinct set; copies meet here, added up before the shuffle
     nodes = saved(rows.filter("_set is not null").groupBy(F.col("_set").alias("node")).agg(F.min("_id").alias("least"), F.min(F.struct("_id", "_text_key")).alias("who"), F.first("_n").cast("int").alias("n"), F.first("_sig").alias("sig")), "nodes")
+    # a text of one document that several rows repeat is read from one of them
+    repeated = rows.groupBy("_id", "_text_key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("_id", "_text_key")
+    again = saved(nodes.join(repeated, nodes["who._id"].eqNullSafe(repeated["_id"]) & (nodes["who._text_key"] == repeated["_text_key"]), "left_semi").select("node"), "repeated")
     pairs, open_sets = forest(nodes.select("node", "n", "sig"), percent)
     pairs, open_sets = saved(pairs, "pairs"), saved(open_sets, "open")
 
-    whole = keyed(docs, id_col, text_col)
+    whole, n_again = keyed(docs, id_col, text_col), again.count()
 
     def texts_of(some: DataFrame) -> DataFrame:
         """(node, _text) of nodes."""
         wanted = some.select("node", F.col("who._id").alias("_id"), F.col("who._text_key").alias("_text_key"))
         on = small_side(wanted, wanted.count())
-        return whole.join(on, whole["_id"].eqNullSafe(on["_id"]) & (whole["_text_key"] == on["_text_key"])).select("node", "_text")
+        found = whole.join(on, whole["_id"].eqNullSafe(on["_id"]) & (whole["_text_key"] == on["_text_key"])).select("node", "_text")
+        more = small_side(again, n_again)
+        return found.join(more, "node", "left_anti").unionByName(found.join(more, "node", "left_semi").dropDuplicates(["node"])) if n_again else found
 
     def named(pairs: DataFrame) -> DataFrame:
         return saved(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", "who"), "wanted")
@@ -382,11 +424,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay: one of each group of near duplicates, with the columns that docs has, whatever their names.
 
-    The row that stays has the smallest id; of repeated rows with that id and text, one stays. Rows with null or empty text are groups of
+    The row that stays has the smallest id; of rows with that id and text, the one with the smallest hash of its other columns. Rows with null or empty text are groups of
     their own, so one of those that share an id stays. An empty table gives an empty one.
     """
     marks = near_duplicates(docs, id_col, text_col).filter("kept").select("doc_id", "text_key").distinct()
     # the columns of docs travel in one struct, so that no name of theirs can clash
-    rows = docs.select(F.struct(*map(column, docs.columns)).alias("row"), column(id_col).alias("id"), F.xxhash64(column(text_col)).alias("key"))
+    others = [column(c) for c in docs.columns if c not in (id_col, text_col)]
+    rows = docs.select(F.struct(*map(column, docs.columns)).alias("row"), column(id_col).alias("id"), F.xxhash64(column(text_col)).alias("key"), (F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0)).alias("other"))
     on = rows["id"].eqNullSafe(marks["doc_id"]) & (rows["key"] == marks["text_key"])
-    return rows.join(marks, on, "left_semi").dropDuplicates(["id", "key"]).select("row.*")
+    return rows.join(marks, on, "left_semi").groupBy("id", "key").agg(F.min_by("row", "other").alias("row")).select("row.*")
