@@ -7,11 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.global_order import exact_quantiles
 from .scalars import let
 
 
 def quantile_edges(df: DataFrame, value: str, bins: int, by: Sequence[str] = ()) -> DataFrame:
     """(by..., edges): distinct exact quantiles 0, 1 / bins .. 1."""
+    if not by:
+        return df.sparkSession.createDataFrame([(sorted(set(exact_quantiles(df, value, [k / bins for k in range(bins + 1)])) - {None}),)], "edges array<double>")
     q = F.percentile(value, F.array(*(F.lit(k / bins) for k in range(bins + 1))))
     return df.groupBy(*by).agg(F.array_distinct(q).alias("edges"))
 

@@ -7,6 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import normal_ppf
+from ..functions.tails import chi_square_tail, cramer_von_mises_tail, kolmogorov_tail, normality
+from .global_order import counted_places, discordant, exact_quantiles
+from .model_reports import zibb_logpmf
 from .preprocess import wilson
 
 
@@ -41,9 +45,8 @@ def coverage_table(df: DataFrame, y: str, bands: dict[float, tuple[str, str]], b
 
 def quantile_bin(df: DataFrame, value: str, bins: int, name: str = "bin") -> DataFrame:
     """df with the right-closed quantile bin of a column; equal edges are one, and the smallest value belongs to the first bin."""
-    edges = df.agg(F.array_distinct(F.percentile(value, F.array(*(F.lit(k / bins) for k in range(bins + 1))))).alias("_e"))
-    inner = F.slice("_e", 2, F.greatest(F.size("_e") - 2, F.lit(0)))
-    return df.crossJoin(F.broadcast(edges)).withColumn(name, F.size(F.filter(inner, lambda e: e < F.col(value))).cast("long")).drop("_e")
+    edges = sorted(set(exact_quantiles(df, value, [k / bins for k in range(bins + 1)])) - {None})
+    return df.withColumn(name, F.size(F.filter(F.array(*map(F.lit, edges[1:-1])).cast("array<double>"), lambda e: e < F.col(value))).cast("long"))
 
 
 def uniform_of(*keys: str, seed: int = 7) -> Column:
@@ -53,9 +56,12 @@ def uniform_of(*keys: str, seed: int = 7) -> Column:
 
 def ks_distance(df: DataFrame, u: str, by: Sequence[str] = (), least: int = 1) -> DataFrame:
     """Distance of a sample in [0, 1] from the uniform distribution, from counted values."""
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    g = df.filter(F.col(u).isNotNull()).groupBy(*by, u).agg(F.count(F.lit(1)).alias("k"))
-    g = g.withColumns({"cum": F.sum("k").over(w.orderBy(u)), "n": F.sum("k").over(w)})
+    if by:
+        w = Window.partitionBy(*by)
+        g = df.filter(F.col(u).isNotNull()).groupBy(*by, u).agg(F.count(F.lit(1)).alias("k"))
+        g = g.withColumns({"cum": F.sum("k").over(w.orderBy(u)), "n": F.sum("k").over(w)})
+    else:
+        g = counted_places(df, u, u).withColumnRenamed("upto", "cum").crossJoin(F.broadcast(df.agg(F.count(u).alias("n"))))
     d = F.max(F.greatest(F.col("cum") / F.col("n") - F.col(u), F.col(u) - (F.col("cum") - F.col("k")) / F.col("n")))
     return g.groupBy(*by).agg(F.max("n").alias("n"), d.alias("d")).filter(F.col("n") >= least)
 
@@ -64,8 +70,7 @@ def transform_statistics(df: DataFrame, u: str, bins: int = 20) -> DataFrame:
     """Chi-square over equal bins and the Cramer-von Mises statistic of a sample in [0, 1]. Ranks of equal values are averaged."""
     n = F.count(F.lit(1))
     h = df.groupBy(F.least(F.floor(F.col(u) * bins), F.lit(bins - 1)).alias("b")).agg(n.alias("k")).agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("sq")).select("n", (F.col("sq") * bins / F.col("n") - F.col("n")).alias("chi2"))
-    w = Window.orderBy(u)
-    g = df.groupBy(u).agg(n.alias("k")).withColumn("cum", F.sum("k").over(w)).crossJoin(F.broadcast(h.select("n")))
+    g = counted_places(df, u, u).withColumnRenamed("upto", "cum").crossJoin(F.broadcast(h.select("n")))
     mid = (F.col("cum") - (F.col("k") - 1) / 2 - 0.5) / F.col("n")
     c = g.agg((F.sum(F.col("k") * ((F.col(u) - mid) ** 2 + (F.col("k") * F.col("k") - 1) / (12 * F.col("n") * F.col("n")))) + 1 / (12 * F.first("n"))).alias("cvm"))
     return h.crossJoin(c)
@@ -85,13 +90,14 @@ def histogram(df: DataFrame, value: str, low: float, high: float, bins: int = 60
 
 
 def kendall_tau(df: DataFrame, x: str, y: str) -> DataFrame:
-    """tau-b from the contingency table of distinct pairs, whose size is that of the values, not of the rows."""
+    """tau-b from the distinct pairs and how often each occurs; discordant ones are counted by merging sorted ranges. Rows with a null are left out."""
     c = df.groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("k"))
-    a, b = c.alias("a"), c.alias("b")
-    pairs = a.join(b, F.col("a.x") < F.col("b.x")).agg(F.sum(F.signum(F.col("b.y") - F.col("a.y")).cast("long") * F.col("a.k") * F.col("b.k")).alias("s"))
-    ties = lambda by: c.groupBy(*by).agg(F.sum("k").alias("k")).agg(F.coalesce(F.sum(F.col("k") * (F.col("k") - 1) / 2), F.lit(0.0)).alias("t"))
-    n = df.agg((F.count(F.lit(1)) * (F.count(F.lit(1)) - 1) / 2).alias("n0"))
-    return pairs.crossJoin(n).crossJoin(ties(["x"]).withColumnRenamed("t", "tx")).crossJoin(ties(["y"]).withColumnRenamed("t", "ty")).select((F.col("s") / F.sqrt((F.col("n0") - F.col("tx")) * (F.col("n0") - F.col("ty")))).alias("tau_b"))
+    c = c.filter("x is not null and y is not null")
+    ties = lambda by, t: c.groupBy(*by).agg(F.sum("k").alias("k")).agg(F.coalesce(F.sum(F.col("k") * (F.col("k") - 1) / 2), F.lit(0.0)).alias(t))
+    n = c.agg((F.sum("k") * (F.sum("k") - 1) / 2).alias("n0"))
+    # of the pairs that tie in neither, those that aren't discordant are concordant
+    s = F.col("n0") - F.col("tx") - F.col("ty") + F.col("txy") - 2 * F.lit(discordant(c))
+    return n.crossJoin(ties(["x"], "tx")).crossJoin(ties(["y"], "ty")).crossJoin(ties(["x", "y"], "txy")).select((s / F.sqrt((F.col("n0") - F.col("tx")) * (F.col("n0") - F.col("ty")))).alias("tau_b"))
 
 
 def threshold_curve(df: DataFrame, y: str, p: str, points: int = 401) -> DataFrame:
@@ -123,3 +129,28 @@ def scorecard(checks: DataFrame) -> DataFrame:
     """(check, value, verdict) from (check, value, pass_at, minor_at): by the distance of the value from 0, smaller is better."""
     v = F.abs("value")
     return checks.select("check", "value", F.when(v <= F.col("pass_at"), "PASS").when(v <= F.col("minor_at"), "MINOR").otherwise("FLAG").alias("verdict"))
+
+
+def uniformity_tests(df: DataFrame, u: str, bins: int = 20) -> DataFrame:
+    """One row: chi-square over equal bins, Cramer-von Mises and Kolmogorov statistics of a sample in [0, 1], each with the chance of a larger one."""
+    both = transform_statistics(df, u, bins).crossJoin(F.broadcast(ks_distance(df, u).select("d")))
+    return both.select("n", "chi2", chi_square_tail(F.col("chi2"), F.lit(bins - 1.0)).alias("chi2_p"), "cvm", cramer_von_mises_tail(F.col("cvm")).alias("cvm_p"), F.col("d").alias("ks"), kolmogorov_tail(F.col("d"), F.col("n")).alias("ks_p"))
+
+
+def fit_tests(z: DataFrame) -> DataFrame:
+    """One row of standardised residuals (z, with mu_t, kappa_t, pi): mean logarithm of the mass of the counts, and the normality test by skewness and kurtosis."""
+    n, y, size = F.count(F.lit(1)), F.col("count").cast("double"), F.col("coverage").cast("double")
+    g = z.agg(n.alias("n"), F.avg(zibb_logpmf(y, size, F.col("mu_t"), F.col("kappa_t"), F.col("pi"))).alias("mean_log_mass"), F.skewness("z").alias("skew"), F.kurtosis("z").alias("kurtosis"))
+    k2, p = normality(F.col("skew"), F.col("kurtosis"), F.col("n"))
+    return g.select("n", "mean_log_mass", k2.alias("k2"), p.alias("k2_p"))
+
+
+#: Nominal coverages of the calibration grid.
+GRID = (0.5, 0.6, 0.7, 0.8, 0.9, 0.95)
+
+
+def normal_bands(z: DataFrame, levels: Sequence[float] = GRID) -> tuple[DataFrame, dict[float, tuple[str, str]]]:
+    """z with the bounds of the normal approximation's central intervals, and their names by level, for coverage_table."""
+    names = {t: (f"lo_{round(100 * t)}", f"hi_{round(100 * t)}") for t in levels}
+    half = {t: normal_ppf(F.lit((1 + t) / 2)) * F.sqrt("var_y") for t in levels}
+    return z.withColumns({n: F.col("mean_y") + s * half[t] for t, ns in names.items() for n, s in zip(ns, (-1, 1), strict=True)}), names

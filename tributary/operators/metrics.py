@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import let, normal_cdf, normal_ppf
+from .global_order import counted_places, running_sums
 
 EPS = 1e-12
 
@@ -59,18 +60,24 @@ def crps_normal(y: Column, mu: Column, sigma: Column) -> Column:
 def calibration_bins(df: DataFrame, y: str, p: str, bins: int = 10, strategy: str = "uniform") -> DataFrame:
     """One row for each populated bin: acc, conf, count, mass, contribution to the expected calibration error, edges.
 
-    For quantile bins, ranks come from counted distinct probabilities where no two rows differ in rank and bin; ties are dealt by (p, y).
+    For quantile bins, ranks by (p, y) come from counted distinct rows, so no task sorts all of them.
     """
     if strategy == "uniform":
         placed = df.select(F.col(y).cast("double").alias("y"), F.least(F.greatest(F.col(p), F.lit(0.0)), F.lit(1.0)).alias("p")).withColumn("bin", F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)).cast("long"))
     elif strategy == "quantile":
-        n = df.agg(F.count(F.lit(1)).alias("n"))
-        each = df.select(F.col(y).cast("double").alias("y"), F.least(F.greatest(F.col(p), F.lit(0.0)), F.lit(1.0)).alias("p"))
-        ranked = each.withColumn("rank", F.row_number().over(Window.orderBy("p", "y"))).crossJoin(F.broadcast(n))
-        placed = ranked.withColumn("bin", F.least(F.floor(F.col("rank") * bins / (F.col("n") + 1)), F.lit(bins - 1)).cast("long"))
+        each = df.select(F.col(y).cast("double").alias("y"), F.least(F.greatest(F.col(p), F.lit(0.0)), F.lit(1.0)).alias("p")).groupBy("p", "y").agg(F.count(F.lit(1)).alias("k"))
+        n = each.agg(F.sum("k").alias("n"))
+        ranked = running_sums(each, ["p", "y"], "k").crossJoin(F.broadcast(n))
+        # a bin holds the ranks from lowest on; equal rows take the ranks after upto - k, and may lie in several bins
+        lowest = lambda b: F.ceil(b * (F.col("n") + 1) / bins)
+        bin_of = lambda rank: F.least(F.floor(rank * bins / (F.col("n") + 1)), F.lit(bins - 1)).cast("long")
+        spread = ranked.withColumn("bin", F.explode(F.sequence(bin_of(F.col("upto") - F.col("k") + 1), bin_of(F.col("upto")))))
+        last = F.when(F.col("bin") == bins - 1, F.col("n")).otherwise(lowest(F.col("bin") + 1) - 1)
+        placed = spread.withColumn("k", F.least("upto", last) - F.greatest(F.col("upto") - F.col("k") + 1, lowest(F.col("bin"))) + 1).filter("k > 0")
     else:
         raise ValueError("strategy must be uniform or quantile")
-    g = placed.groupBy("bin").agg(F.avg("y").alias("acc"), F.avg("p").alias("conf"), F.count(F.lit(1)).alias("count"))
+    rows = F.col("k") if strategy == "quantile" else F.lit(1)
+    g = placed.groupBy("bin").agg((F.sum(F.col("y") * rows) / F.sum(rows)).alias("acc"), (F.sum(F.col("p") * rows) / F.sum(rows)).alias("conf"), F.sum(rows).cast("long").alias("count"))
     mass = F.col("count") / F.sum("count").over(Window.partitionBy(F.lit(1)))
     g = g.withColumn("mass", mass)
     return g.withColumns({"contribution": F.col("mass") * F.abs(F.col("acc") - F.col("conf")), "lower": F.col("bin") / bins, "upper": (F.col("bin") + 1) / bins})
@@ -126,7 +133,10 @@ def detection_delay(flags: DataFrame, references: DataFrame) -> DataFrame:
 def weighted_quantile(df: DataFrame, keys: Sequence[str], x: str, w: str, q: float) -> DataFrame:
     """The first value at which the running weight reaches q of the whole; equal values are added up before they are sorted."""
     g = df.filter(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.sum(F.greatest(F.coalesce(F.col(w).cast("double"), F.lit(0.0)), F.lit(0.0))).alias("_w"))
-    p = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
+    if not keys:
+        placed = running_sums(g, [x], "_w").crossJoin(F.broadcast(g.agg(F.sum("_w").alias("_all"))))
+        return placed.filter(F.col("upto") >= q * (F.col("_all") + EPS)).agg(F.min(x).alias("value")).filter("value is not null")
+    p = Window.partitionBy(*keys)
     g = g.withColumns({"_cum": F.sum("_w").over(p.orderBy(x)), "_all": F.sum("_w").over(p)})
     return g.filter(F.col("_cum") >= q * (F.col("_all") + EPS)).groupBy(*keys).agg(F.min(x).alias("value"))
 
@@ -152,7 +162,8 @@ def disparity(strata: DataFrame) -> DataFrame:
 
 
 def qq_points(df: DataFrame, x: str) -> DataFrame:
-    """(i, q_theory, q_emp): normal quantiles at Blom's positions against the sorted sample. The sample is a diagnostic's, so sortable in one task."""
-    n = df.filter(F.col(x).isNotNull()).agg(F.count(F.lit(1)).alias("n"))
-    r = df.filter(F.col(x).isNotNull()).select(F.col(x).alias("q_emp")).withColumn("i", F.row_number().over(Window.orderBy("q_emp"))).crossJoin(F.broadcast(n))
+    """(i, q_theory, q_emp): normal quantiles at Blom's positions against the sorted sample."""
+    placed = counted_places(df, x, "q_emp")
+    n = df.agg(F.count(x).alias("n"))
+    r = placed.withColumn("i", F.explode(F.sequence(F.col("upto") - F.col("k") + 1, F.col("upto")))).crossJoin(F.broadcast(n))
     return r.withColumn("p", (F.col("i") - 0.375) / (F.col("n") + 0.25)).select("i", normal_ppf(F.col("p")).alias("q_theory"), "q_emp")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import betabinom_logpmf, clip01, let, normal_cdf, normal_ppf
+from .global_order import counted_places
 
 
 def zibb_logpmf(y: Column, n: Column, mu: Column, kappa: Column, pi: Column) -> Column:
@@ -132,9 +133,7 @@ def median_objective(trace: DataFrame) -> DataFrame:
 
 def logistic_qq(df: DataFrame, value: str) -> DataFrame:
     """(value, from_rank, to_rank, q): distinct values with the places they hold among all rows, and the normal quantile of their middle place by the logistic approximation."""
-    each = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("k"))
-    all_rows = each.agg(F.sum("k").alias("n"))
-    placed = each.withColumn("to_rank", F.sum("k").over(Window.orderBy("value"))).crossJoin(F.broadcast(all_rows))
+    placed = counted_places(df, value).withColumnRenamed("upto", "to_rank").crossJoin(F.broadcast(df.agg(F.count(value).alias("n"))))
     p = ((F.col("to_rank") - (F.col("k") - 1) / 2) - 0.5) / F.col("n")
     return placed.select("value", (F.col("to_rank") - F.col("k") + 1).alias("from_rank"), "to_rank", (F.log(p / (1 - p)) / 1.702).alias("q"))
 

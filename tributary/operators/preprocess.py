@@ -1,4 +1,4 @@
-"""Cleaning the long count table and the quality statistics over it. Every function is DataFrame to DataFrame and lazy."""
+"""Cleaning the long count table and the quality statistics over it. Functions that need an overall quantile or the order of all rows run jobs when called; all others are lazy."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import allele_fraction, allowed_name, canonicalize_strict, detection_limit
+from ..sources.scratch import written
+from .global_order import exact_quantiles, running_sums
 
 KEY = ("site_id", "date", "sample_id", "mutation")
 REQUIRED = (*KEY, "count", "coverage")
@@ -68,13 +70,16 @@ def missingness_matrix(snv: DataFrame, signatures: DataFrame | None = None) -> D
 
 def bias_loci(snv: DataFrame, min_coverage: int = 50, left_censor_af: float = 0.01, dropout_quantile: float = 0.10, highcov_quantile: float = 0.70, pos_rate_max: float = 0.01) -> DataFrame:
     """Per mutation: median coverage, its ratio to the overall one, share of positive fractions at high coverage, and two flags."""
-    overall = snv.agg(F.median("coverage").alias("global_median_coverage"), F.greatest(F.percentile("coverage", F.lit(highcov_quantile)), F.lit(float(min_coverage))).alias("highcov_threshold"))
-    each = snv.crossJoin(F.broadcast(overall)).groupBy("mutation", "global_median_coverage", "highcov_threshold").agg(
+    middle, high = exact_quantiles(snv, "coverage", (0.5, highcov_quantile))
+    threshold = max(high or 0.0, float(min_coverage))
+    each = snv.groupBy("mutation").agg(
         F.median("coverage").alias("median_coverage"),
-        F.coalesce(F.avg(F.when(F.col("coverage") >= F.col("highcov_threshold"), (F.col("af") > left_censor_af).cast("double"))), F.lit(0.0)).alias("af_pos_rate_highcov"),
+        F.coalesce(F.avg(F.when(F.col("coverage") >= threshold, (F.col("af") > left_censor_af).cast("double"))), F.lit(0.0)).alias("af_pos_rate_highcov"),
     )
-    cut = each.agg(F.coalesce(F.percentile(F.when(F.col("median_coverage") != 0, F.col("median_coverage")), F.lit(dropout_quantile)), F.lit(0.0)).alias("dropout_threshold"))
-    return each.crossJoin(F.broadcast(cut)).select(
+    each = written(each, "loci")
+    cut = exact_quantiles(each.filter("median_coverage <> 0"), "median_coverage", (dropout_quantile,))[0] or 0.0
+    values = {"global_median_coverage": middle, "highcov_threshold": threshold, "dropout_threshold": cut}
+    return each.withColumns({c: F.lit(v).cast("double") for c, v in values.items()}).select(
         "mutation", "median_coverage", (F.col("median_coverage") / F.greatest("global_median_coverage", F.lit(1.0))).alias("coverage_ratio_to_global"), "af_pos_rate_highcov",
         (F.col("median_coverage") <= F.col("dropout_threshold")).alias("flag_dropout"), (F.col("af_pos_rate_highcov") <= pos_rate_max).alias("flag_ref_bias"), "dropout_threshold", "highcov_threshold",
         F.lit(pos_rate_max).alias("ref_bias_threshold"), "global_median_coverage",
@@ -133,9 +138,8 @@ def alt_ref_correlation(snv: DataFrame) -> DataFrame:
 
 def average_ranks(df: DataFrame, value: str, weight: str) -> DataFrame:
     """(value, rank) of distinct values that stand for `weight` rows: the average rank of ties."""
-    each = df.groupBy(value).agg(F.sum(weight).alias("w"))
-    upto = F.sum("w").over(Window.orderBy(value))
-    return each.select(value, (upto - F.col("w") + (F.col("w") + 1) / 2).alias("rank"))
+    each = running_sums(df.groupBy(value).agg(F.sum(weight).alias("w")), [value], "w")
+    return each.select(value, (F.col("upto") - F.col("w") + (F.col("w") + 1) / 2).alias("rank"))
 
 
 def weighted_corr(x: str, y: str, w: str) -> Column:
@@ -173,9 +177,8 @@ def wilson(successes: Column, trials: Column, z: float = 1.959963984540054) -> C
 
 def global_fraction(snv: DataFrame, highcov_quantile: float = 0.70, left_censor_af: float = 0.01) -> DataFrame:
     """Overall fraction with Wilson's interval, concentration by moments, and rates at high coverage: one row."""
-    cut = snv.agg(F.percentile("coverage", F.lit(highcov_quantile)).alias("cut"))
-    high = F.col("coverage") >= F.col("cut")
-    g = snv.crossJoin(F.broadcast(cut)).agg(F.sum("count").alias("y"), F.sum("coverage").alias("n"), F.avg("coverage").alias("n_bar"), F.var_samp("count").alias("var_y"), F.avg(F.when(high, (F.col("af") > left_censor_af).cast("double"))).alias("highcov_pos_rate"), F.avg(F.when(high, (F.col("count") == 0).cast("double"))).alias("highcov_zero_rate"))
+    high = F.col("coverage") >= F.lit(exact_quantiles(snv, "coverage", (highcov_quantile,))[0]).cast("double")
+    g = snv.agg(F.sum("count").alias("y"), F.sum("coverage").alias("n"), F.avg("coverage").alias("n_bar"), F.var_samp("count").alias("var_y"), F.avg(F.when(high, (F.col("af") > left_censor_af).cast("double"))).alias("highcov_pos_rate"), F.avg(F.when(high, (F.col("count") == 0).cast("double"))).alias("highcov_zero_rate"))
     g = g.withColumn("w", wilson(F.col("y"), F.col("n")))
     p = F.col("w.p")
     kappa = F.greatest((F.col("n_bar") - 1) / F.greatest(F.col("var_y") / (F.col("n_bar") * p * (1 - p)) - 1, F.lit(1e-12)) - 1, F.lit(0.0))
@@ -209,9 +212,9 @@ def coverage_inequality(snv: DataFrame) -> DataFrame:
 def coverage_histogram(snv: DataFrame, bins: int = 34) -> DataFrame:
     """Bins equal in the logarithm between the 1st and 99.5th percentile of positive coverage; the last is closed."""
     positive = snv.filter("coverage > 0").groupBy("coverage").agg(F.count(F.lit(1)).alias("n"))
-    ends = snv.filter("coverage > 0").agg(F.percentile("coverage", F.array(F.lit(0.01), F.lit(0.995))).alias("q")).select(F.log10(F.get("q", 0)).alias("lo"), F.log10(F.get("q", 1)).alias("hi"))
+    lo, hi = (F.log10(F.lit(q).cast("double")) for q in exact_quantiles(snv.filter("coverage > 0"), "coverage", (0.01, 0.995)))
     x = F.log10("coverage")
-    placed = positive.crossJoin(F.broadcast(ends)).filter((x >= F.col("lo")) & (x <= F.col("hi"))).withColumn("bin", F.least(F.floor((x - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1)).cast("long"))
+    placed = positive.filter((x >= lo) & (x <= hi)).withColumn("bin", F.least(F.floor((x - lo) / (hi - lo) * bins), F.lit(bins - 1)).cast("long"))
     return placed.groupBy("bin").agg(F.sum("n").alias("n"))
 
 

@@ -6,6 +6,7 @@ with columns; the fit of the priors has a module of its own (priors).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -14,7 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clip01
+from ..functions.tails import chi_square_tail, kolmogorov_tail
 from ..kernels import particles, simplex, special
+from ..operators.global_order import exact_quantiles
 from . import priors
 
 def enough_dates(snv: DataFrame, least: int = 3) -> DataFrame:
@@ -25,8 +28,8 @@ def enough_dates(snv: DataFrame, least: int = 3) -> DataFrame:
 
 def capped_coverage(snv: DataFrame, quantile: float = 0.98) -> DataFrame:
     """Coverage of at least 1 and at most its overall quantile; counts aren't clipped again, so a count may exceed its coverage until export."""
-    cap = snv.agg(F.floor(F.percentile("coverage", F.lit(quantile))).alias("cap"))
-    return snv.crossJoin(F.broadcast(cap)).withColumn("coverage", F.least(F.greatest("coverage", F.lit(1)), F.greatest("cap", F.lit(1)))).drop("cap")
+    cap = max(math.floor(exact_quantiles(snv, "coverage", (quantile,))[0] or 1), 1)
+    return snv.withColumn("coverage", F.least(F.greatest("coverage", F.lit(1)), F.lit(cap)))
 
 
 def daily_smooth(snv: DataFrame, penalty: float = 10.0) -> DataFrame:
@@ -308,5 +311,13 @@ def predictive_scores(table: DataFrame) -> DataFrame:
     return g.join(d, "model_id")
 
 
+def predictive_uniformity(table: DataFrame, bins: int = 20) -> DataFrame:
+    """Per model: chi-square of the integral transforms over equal bins and their Kolmogorov distance, each with the chance of a larger one."""
+    h = pit_histogram(table, bins).groupBy("model_id").agg(F.sum("n").alias("n_rows"), F.sum(F.col("n") * F.col("n")).alias("sq"))
+    chi2 = F.col("sq") * bins / F.col("n_rows") - F.col("n_rows")
+    scored = h.join(predictive_scores(table).select("model_id", "ks_distance"), "model_id").withColumn("pit_chi2", chi2)
+    return scored.select("model_id", "n_rows", "pit_chi2", chi_square_tail(F.col("pit_chi2"), F.lit(bins - 1.0)).alias("pit_chi2_p"), kolmogorov_tail(F.col("ks_distance"), F.col("n_rows")).alias("pit_ks_p"))
+
+
 def pit_histogram(table: DataFrame, bins: int = 20) -> DataFrame:
     return table.groupBy("model_id", F.least(F.floor(F.col("pit") * bins), F.lit(bins - 1)).cast("long").alias("bin")).agg(F.sum("rows").alias("n"))
