@@ -11,7 +11,7 @@ from ..functions.scalars import normal_ppf
 from ..functions.tails import chi_square_tail, cramer_von_mises_tail, kolmogorov_tail, normality
 from .global_order import counted_places, discordant, exact_quantiles
 from .model_reports import zibb_logpmf
-from .preprocess import wilson
+from .preprocess import seeded_digest, wilson
 
 
 def zibb_moments(mu: Column, kappa: Column, pi: Column, n: Column) -> tuple[Column, Column]:
@@ -118,10 +118,10 @@ def curve_areas(curve: DataFrame) -> DataFrame:
 
 
 def proportional_sample(df: DataFrame, stratum: str, key: Sequence[str], n: int, seed: int = 11) -> DataFrame:
-    """About n rows, from each stratum by its share: those with the smallest seeded hashes."""
+    """About n rows, from each stratum by its share: those with the smallest seeded digests."""
     total = df.agg(F.count(F.lit(1)).alias("_all"))
     sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_own")).crossJoin(F.broadcast(total)).withColumn("_take", F.round(F.col("_own") / F.col("_all") * n)).select(stratum, "_take")
-    w = Window.partitionBy(stratum).orderBy(F.xxhash64(F.lit(seed), *key), *key)
+    w = Window.partitionBy(stratum).orderBy(seeded_digest(key, seed), *key)
     return df.join(F.broadcast(sizes), stratum).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= F.col("_take")).drop("_r", "_take")
 
 

@@ -262,8 +262,13 @@ def most_variable(snv: DataFrame, k: int) -> DataFrame:
 
 
 def hash_sample(df: DataFrame, key: Sequence[str], n: int, seed: int = 12345) -> DataFrame:
-    """At most n rows, the same ones in every run: those with the smallest seeded hashes of their key."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(n)
+    """At most n rows, the same ones in every run: those with the smallest seeded digests of their key."""
+    return df.orderBy(seeded_digest(key, seed), *key).limit(n)
+
+
+def seeded_digest(key: Sequence[str], seed: int) -> Column:
+    """A digest of seed and key that any engine computes alike."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in key)).cast("binary"))
 
 
 def schema_validation(snv: DataFrame, signatures: DataFrame) -> DataFrame:

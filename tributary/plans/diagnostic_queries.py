@@ -46,5 +46,5 @@ query("NB_11_curve_areas", _CURVE + ", l AS (SELECT *, coalesce(lag(fpr) OVER (O
 query("NB_14_outliers", sql(_BAND_SQL + " SELECT mutation, count(*) AS n FROM z WHERE abs(z)>2.5758293035489004 GROUP BY 1"), longs="n")(lambda s, d: z(s, d).filter(F.abs("z") > 2.5758293035489004).groupBy("mutation").agg(F.count(F.lit(1)).alias("n")))
 query("NB_15_scorecard", sql(_FIT + ", k AS (SELECT avg(z) AS m, stddev_samp(z)-1 AS s FROM z), c AS (SELECT 'mean_z' AS \"check\", m AS value, 0.05 AS a, 0.1 AS b FROM k UNION ALL SELECT 'sd_z', s, 0.05, 0.1 FROM k) SELECT \"check\", value, CASE WHEN abs(value)<=a THEN 'PASS' WHEN abs(value)<=b THEN 'MINOR' ELSE 'FLAG' END AS verdict FROM c"), "value", digits=5)(lambda s, d: D.scorecard(z(s, d).agg(F.avg("z").alias("m"), (F.stddev_samp("z") - 1).alias("s")).select(F.inline(F.array(F.struct(F.lit("mean_z").alias("check"), F.col("m").alias("value"), F.lit(0.05).alias("pass_at"), F.lit(0.1).alias("minor_at")), F.struct(F.lit("sd_z").alias("check"), F.col("s").alias("value"), F.lit(0.05).alias("pass_at"), F.lit(0.1).alias("minor_at")))))))
 query("NB_16_rows_per_day", sql(_FIT + " SELECT date, mutation, count(*) AS n, avg(mu_t) AS mean_mu FROM fit GROUP BY ALL"), "mean_mu", "n")(lambda s, d: fitted(s, d).groupBy("date", "mutation").agg(F.count(F.lit(1)).alias("n"), F.avg("mu_t").alias("mean_mu")))
-query("NB_30_proportional_sample", sql(", t AS (SELECT count(*) AS n FROM snv) SELECT site_id, least(round(count(*)/max(n)*500), count(*)) AS n FROM snv, t GROUP BY 1"), longs="n")(lambda s, d: D.proportional_sample(A.snv(s, d), "site_id", ["date", "sample_id", "mutation"], 500).groupBy("site_id").agg(F.count(F.lit(1)).alias("n")))
+query("NB_30_proportional_sample", sql(", t AS (SELECT site_id, round(count(*)*500.0/sum(count(*)) OVER ()) AS take FROM snv GROUP BY 1), r AS (SELECT site_id, date, sample_id, mutation, take, row_number() OVER (PARTITION BY site_id ORDER BY md5(concat_ws('|','11',cast(date AS varchar),sample_id,mutation)), date, sample_id, mutation) AS i FROM snv JOIN t USING (site_id)) SELECT site_id, date, sample_id, mutation FROM r WHERE i<=take"))(lambda s, d: D.proportional_sample(A.snv(s, d), "site_id", ["date", "sample_id", "mutation"], 500).select("site_id", "date", "sample_id", "mutation"))
 query("NB_31_decile_profile", sql(_FIT + ", q AS (SELECT list_distinct([quantile_cont(mean_y,0.25),quantile_cont(mean_y,0.5),quantile_cont(mean_y,0.75)]) AS eg FROM z) SELECT len(list_filter(eg, lambda x: x<mean_y)) AS bin, count(*) AS n, median(coverage) AS coverage, median(mu_t) AS mu FROM z, q GROUP BY 1"), "coverage mu", "bin n")(lambda s, d: D.quantile_bin(z(s, d), "mean_y", 4).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.median("coverage").alias("coverage"), F.median("mu_t").alias("mu")))

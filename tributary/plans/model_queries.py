@@ -59,7 +59,7 @@ query("PRI_18_hyperparameters", sql(_FEW + " SELECT mutation, 0.0 AS gap FROM ok
 query("PRI_19_global_series", sql(_FEW + " SELECT mutation, date, count(DISTINCT site_id) AS n_sites, true AS good FROM snv WHERE mutation IN (SELECT mutation FROM ok) GROUP BY ALL"), longs="n_sites")(lambda s, d: M.global_series(detail(s, d), A.snv(s, d)).select("mutation", "date", "n_sites", (F.col("mu_t").between(0, 1) & (F.col("kappa_t") > 0)).alias("good")))
 query("PRI_20_population_prior")(lambda s, d: M.population_prior(M.hyperparameters(detail(s, d))))
 query("PRI_21_enough_dates", sql(_FEW + " SELECT mutation, count(*) AS n FROM snv WHERE mutation IN (SELECT mutation FROM ok) GROUP BY 1"), longs="n")(lambda s, d: M.enough_dates(A.snv(s, d)).groupBy("mutation").agg(F.count(F.lit(1)).alias("n")))
-query("LIK_01_02_resolved_priors", sql(", h AS (SELECT mutation, sum(count)/sum(coverage) AS mu, 5.0+count(*) AS kappa FROM snv WHERE site_id='S1' GROUP BY 1), t AS (SELECT DISTINCT mutation FROM signatures) SELECT mutation, least(greatest(coalesce(mu,0.5),1e-9),1-1e-9) AS mu, coalesce(kappa,0) AS kappa FROM t LEFT JOIN h USING (mutation)"), "mu kappa")(lambda s, d: M.resolved_priors(A.snv(s, d).filter("site_id = 'S1'").groupBy("mutation").agg((F.sum("count") / F.sum("coverage")).alias("mu"), (F.count(F.lit(1)) + 5.0).alias("kappa")).withColumns({"alpha": F.col("mu") * F.col("kappa"), "beta": (1 - F.col("mu")) * F.col("kappa")}), A.signatures(s, d)))
+query("LIK_01_02_resolved_priors", sql(", h AS (SELECT mutation, sum(count)/sum(coverage) AS mu, 5.0+count(*) AS kappa FROM snv GROUP BY 1 HAVING max(af)>0.4), t AS (SELECT DISTINCT mutation FROM signatures) SELECT mutation, least(greatest(coalesce(mu,0.5),1e-9),1-1e-9) AS mu, coalesce(kappa,0) AS kappa FROM t LEFT JOIN h USING (mutation)"), "mu kappa")(lambda s, d: M.resolved_priors(A.snv(s, d).groupBy("mutation").agg((F.sum("count") / F.sum("coverage")).alias("mu"), (F.count(F.lit(1)) + 5.0).alias("kappa"), F.max("af").alias("most")).filter("most > 0.4").withColumns({"alpha": F.col("mu") * F.col("kappa"), "beta": (1 - F.col("mu")) * F.col("kappa")}), A.signatures(s, d)))
 _DAYS = ", dy AS (SELECT DISTINCT site_id, date FROM snv WHERE mutation IN (SELECT mutation FROM signatures))"
 query("LIK_10_11_simplex", sql(_DAYS + " SELECT site_id, date, 1.0 AS total, true AS nonnegative, 4 AS lineages FROM dy"), "total", "lineages")(lambda s, d: shares(s, d).filter("kind = 'theta'").groupBy("site_id", "date").agg(F.sum("theta").alias("total"), (F.min("theta") >= 0).alias("nonnegative"), F.count(F.lit(1)).alias("lineages")))
 query("LIK_12_13_uncertainty", sql(_DAYS + " SELECT site_id, count(*) AS days, true AS sd_ok, true AS leverage_ok FROM dy GROUP BY 1"), longs="days")(lambda s, d: shares(s, d).groupBy("site_id").agg(F.count_distinct(F.when(F.col("kind") == "theta", F.col("date"))).alias("days"), F.bool_and(F.when(F.col("kind") == "theta", F.col("theta_sd") >= 0)).alias("sd_ok"), F.bool_and(F.when(F.col("kind") == "residual", F.col("leverage").between(0, 1))).alias("leverage_ok")))

@@ -82,9 +82,9 @@ def _matrix(matrix: DataFrame) -> tuple[list[str], list[str], np.ndarray]:
     """The signature matrix on the driver: mutations times lineages, which the model bounds (dozens by a handful)."""
     rows = matrix.select("mutation", "lineage").distinct().collect()
     m, l = sorted({r.mutation for r in rows}), sorted({r.lineage for r in rows})
-    S = np.zeros((len(m), len(l)))
+    S, row, col = np.zeros((len(m), len(l))), {x: i for i, x in enumerate(m)}, {x: i for i, x in enumerate(l)}
     for r in rows:
-        S[m.index(r.mutation), l.index(r.lineage)] = 1.0
+        S[row[r.mutation], col[r.lineage]] = 1.0
     return m, l, S
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..kernels import particles, simplex
-from ..operators import dated_priors, evidence, model_reports, preprocess, signatures
+from ..operators import constraints, dated_priors, evidence, model_reports, preprocess, signatures
 from . import models, priors
 
 ORDER = ("preprocessing", "priors", "likelihood", "baseline")
@@ -21,14 +21,15 @@ def selected_stages(names: list[str] | None) -> list[str]:
     return [s for s in (*ORDER, "forecast") if s in wanted]
 
 
-def run(raw: DataFrame, raw_signatures: DataFrame, stages: list[str] | None = None, prior_settings: priors.Settings | None = None, share_settings: simplex.Settings | None = None, forecast_settings: particles.Settings | None = None, dated: DataFrame | None = None, carry: bool = False, prior_only: bool = False) -> dict[str, DataFrame]:
+def run(raw: DataFrame, raw_signatures: DataFrame, stages: list[str] | None = None, prior_settings: priors.Settings | None = None, share_settings: simplex.Settings | None = None, forecast_settings: particles.Settings | None = None, lineages: DataFrame | None = None, dated: DataFrame | None = None, carry: bool = False, prior_only: bool = False) -> dict[str, DataFrame]:
     """Tables by name. dated: priors by date (operators.dated_priors) for the shares, carry: they hold until the next one, prior_only: shares of the priors alone. The cleaned counts feed every stage: callers that write several tables should cache `snv` first."""
     out: dict[str, DataFrame] = {}
     chosen = selected_stages(stages)
     snv = out["snv"] = preprocess.with_fractions(preprocess.coerced_counts(raw))
     sig = out["signatures"] = signatures.normalized_signatures(raw_signatures)
     if "preprocessing" in chosen:
-        out |= {"coverage_summary": preprocess.coverage_summary(snv), "lod_summary": preprocess.lod_summary(snv), "bias_loci": preprocess.bias_loci(snv), "mutation_prevalence": preprocess.mutation_prevalence(snv), "mutation_entropy": preprocess.mutation_entropy(snv), "mutation_variance": preprocess.mutation_variance(snv), "mutation_missingness": preprocess.mutation_missingness(snv), "overdispersion": preprocess.overdispersion_moments(snv), "schema_validation": preprocess.schema_validation(snv, sig)}
+        out |= {"coverage_summary": preprocess.coverage_summary(snv), "lod_summary": preprocess.lod_summary(snv), "bias_loci": preprocess.bias_loci(snv), "mutation_prevalence": preprocess.mutation_prevalence(snv), "mutation_entropy": preprocess.mutation_entropy(snv), "mutation_variance": preprocess.mutation_variance(snv), "mutation_missingness": preprocess.mutation_missingness(snv), "overdispersion": preprocess.overdispersion_moments(snv), "schema_validation": constraints.validated({"snv": snv, "signatures": sig} | ({} if lineages is None else {"lineages": lineages}))}
+        out |= {"feature_store_snv": snv, "feature_store_signatures": sig.select("mutation", "lineage", "weight")} | ({} if lineages is None else {"feature_store_lineages": constraints.lineage_store(lineages)})
     if "priors" in chosen or "likelihood" in chosen:
         detail = models.prior_detail(snv, prior_settings)
         hyper = models.hyperparameters(detail)

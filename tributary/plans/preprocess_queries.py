@@ -119,7 +119,7 @@ query(
 )(lambda s, d: P.signature_presence(A.snv(s, d), A.signatures(s, d)))
 query("PRE_25_lineage_index", sql(_DAY + ', e AS (SELECT site_id, date, lineage, sum(weight*waf)/greatest(sum(weight),1) AS "index" FROM w JOIN signatures USING (mutation) GROUP BY ALL) SELECT * EXCLUDE (top) FROM (SELECT *, max("index") OVER (PARTITION BY site_id, lineage) AS top FROM e) WHERE top>0'), '"index"')(lambda s, d: P.lineage_index(A.snv(s, d), A.signatures(s, d)))
 query("PRE_26_most_variable", sql("SELECT mutation, coalesce(var_samp(af),0) AS var_af, avg(af) AS mean_af FROM snv GROUP BY mutation ORDER BY 2 DESC, 3 DESC, 1 LIMIT 12"), "var_af mean_af")(lambda s, d: P.most_variable(A.snv(s, d), 12))
-query("PRE_27_hash_sample", sql("SELECT least(count(*), 500) AS n FROM snv"), longs="n")(lambda s, d: P.hash_sample(A.snv(s, d), P.KEY, 500).agg(F.count(F.lit(1)).alias("n")))
+query("PRE_27_hash_sample", sql("SELECT site_id, date, sample_id, mutation FROM snv ORDER BY md5(concat_ws('|','12345',site_id,cast(date AS varchar),sample_id,mutation)), site_id, date, sample_id, mutation LIMIT 500"))(lambda s, d: P.hash_sample(A.snv(s, d), P.KEY, 500).select(*P.KEY))
 
 _NAMES = "SELECT p_name AS raw, ' '||lower(p_name)||'->'||p_brand||'* ' AS odd FROM part"
 query(
@@ -134,6 +134,6 @@ query(
     "logit expit softplus",
 )(lambda s, d: A.snv(s, d).select("mutation", "date", "sample_id", "site_id", S.logit(F.col("af")).alias("logit"), S.expit((F.col("af") - 0.5) * 8).alias("expit"), S.softplus((F.col("af") - 0.5) * 8).alias("softplus")))
 query("SC_13_lineage_subset", sql("SELECT site_id, date, sample_id, mutation, count, coverage FROM snv WHERE mutation IN (SELECT mutation FROM signatures WHERE lineage IN ('L1','L3')) AND site_id IN ('S1','S2')"), longs="count coverage")(lambda s, d: A.snv(s, d).select(*P.REQUIRED).filter(F.col("site_id").isin("S1", "S2")).join(A.signatures(s, d).filter(F.col("lineage").isin("L1", "L3")), "mutation", "left_semi"))
-query("SC_14_numeric_sanitise", "SELECT count(*) FILTER (WHERE try_cast(left(o_orderpriority,1) AS double) IS NULL) AS bad, sum(coalesce(try_cast(left(o_orderpriority,1) AS double),0)) AS total FROM orders", "total", "bad")(lambda s, d: A.table(s, d, "orders").select(F.substring("o_orderpriority", 1, 1).try_cast("double").alias("x")).agg(F.count_if(F.col("x").isNull()).alias("bad"), F.sum(F.coalesce("x", F.lit(0.0))).alias("total")))
+query("SC_14_numeric_sanitise", "SELECT count(*) FILTER (WHERE x IS NULL) AS bad, sum(coalesce(x,0)) AS total FROM (SELECT try_cast(CASE WHEN o_orderstatus='F' THEN o_orderpriority ELSE cast(o_totalprice AS varchar) END AS double) AS x FROM orders)", "total", "bad", digits=2)(lambda s, d: A.table(s, d, "orders").select(F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority")).otherwise(F.col("o_totalprice").cast("string")).try_cast("double").alias("x")).agg(F.count_if(F.col("x").isNull()).alias("bad"), F.sum(F.coalesce("x", F.lit(0.0))).alias("total")))
 query("SC_15_binomial_arrays", sql("SELECT site_id, date, sample_id, mutation, greatest(coverage,0) AS n, least(greatest(count,0),greatest(coverage,0)) AS y, least(greatest(count,0),greatest(coverage,0))/greatest(coverage,1) AS p_obs FROM snv"), "p_obs", "n y")(lambda s, d: A.snv(s, d).select("site_id", "date", "sample_id", "mutation", F.greatest("coverage", F.lit(0)).alias("n"), F.least(F.greatest("count", F.lit(0)), F.greatest("coverage", F.lit(0))).alias("y")).withColumn("p_obs", F.col("y") / F.greatest("n", F.lit(1))))
 query("SC_16_coverage_cap", sql("SELECT site_id, date, sample_id, mutation, least(coverage, cap) AS capped FROM snv, (SELECT cast(floor(quantile_cont(coverage,0.98)) AS bigint) AS cap FROM snv)"), longs="capped")(lambda s, d: A.snv(s, d).crossJoin(F.broadcast(A.snv(s, d).agg(F.floor(F.percentile("coverage", F.lit(0.98))).alias("cap")))).select("site_id", "date", "sample_id", "mutation", F.least("coverage", "cap").alias("capped")))

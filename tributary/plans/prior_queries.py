@@ -122,14 +122,13 @@ query("PRI_10_12_bin_parameters", _recursive(_RATED + _MERGED + _GIVEN + _RESP +
     lambda s, d: X.bin_parameters(expected(s, d), given(s, d), S).select("mutation", F.posexplode(F.arrays_zip("kappas", "pis")).alias("bin", "b")).select("mutation", "bin", F.col("b.kappas").alias("kappa"), F.col("b.pis").alias("pi"))
 )
 
-# Dated priors: pooled rates of some days of each site, without a rate where nothing was counted, without a concentration on every third day.
+# Dated priors: pooled rates of the days, without a rate where little was counted, without a concentration where coverage is small.
 
 
 def dated(spark: SparkSession, sf_dir: str, by_site: bool = True) -> DataFrame:
     keys = (["site_id"] if by_site else []) + ["date", "mutation"]
     day = A.snv(spark, sf_dir).groupBy(*keys).agg(F.sum("count").alias("y"), F.sum("coverage").alias("n"))
-    some = day.filter((F.dayofmonth("date") + F.length("mutation")) % 2 == 0)
-    return D.dated_priors(some.select(*keys, F.when(F.col("y") > 0, F.col("y") / F.col("n")).alias("mu"), F.when(F.dayofmonth("date") % 3 != 0, 1.0 + F.col("n")).alias("kappa_t")))
+    return D.dated_priors(day.select(*keys, F.when(F.col("y") > 2, F.col("y") / F.col("n")).alias("mu"), F.when(F.col("n") > 200, 1.0 + F.col("n")).alias("kappa_t")))
 
 
 def base_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,13 +136,30 @@ def base_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BASE = ", base AS (SELECT DISTINCT mutation, least(greatest(coalesce(mu,0.5),1e-9),1-1e-9) AS mu0, CASE WHEN mu IS NULL THEN 0.0 ELSE 20.0 END AS k0 FROM signatures LEFT JOIN (SELECT mutation, sum(count)/sum(coverage) AS mu FROM snv GROUP BY 1) USING (mutation)), days AS (SELECT DISTINCT site_id, date FROM snv), grid AS (SELECT * FROM days CROSS JOIN base)"
-_DATED = ", dated AS (SELECT {keys}, CASE WHEN sum(count)>0 THEN sum(count)/sum(coverage) END AS mu_t, CASE WHEN day(date)%3<>0 THEN 1.0+sum(coverage) END AS kappa_t FROM snv WHERE (day(date)+length(mutation))%2=0 GROUP BY {keys})"
+_DATED = ", dated AS (SELECT {keys}, CASE WHEN sum(count)>2 THEN sum(count)/sum(coverage) END AS mu_t, CASE WHEN sum(coverage)>200 THEN 1.0+sum(coverage) END AS kappa_t FROM snv GROUP BY {keys})"
 _PICK = " SELECT site_id, date, mutation, CASE WHEN mu_t IS NULL THEN mu0 ELSE least(greatest(mu_t,1e-9),1-1e-9) END AS mu, coalesce(kappa_t,k0) AS kappa, mu_t IS NOT NULL OR kappa_t IS NOT NULL AS own FROM "
 query("IO_07_priors_of_the_day", sql(_BASE + _DATED.format(keys="site_id, date, mutation") + _PICK + "grid LEFT JOIN dated USING (site_id, date, mutation)"), "mu kappa")(lambda s, d: D.resolved_by_date(A.snv(s, d), base_priors(s, d), dated(s, d)))
 query("IO_07_priors_by_date_alone", sql(_BASE + _DATED.format(keys="date, mutation") + _PICK + "grid LEFT JOIN dated USING (date, mutation)"), "mu kappa")(lambda s, d: D.resolved_by_date(A.snv(s, d), base_priors(s, d), dated(s, d, False)))
 for _name, _keys, _site, _by in (("LIK_02_carried_priors", "site_id, date, mutation", " AND d.site_id=grid.site_id", True), ("LIK_02_priors_carried_by_date", "date, mutation", "", False)):
     _found = "(SELECT grid.*, " + ", ".join(f"(SELECT arg_max(d.{v},d.date) FROM dated d WHERE d.mutation=grid.mutation AND d.date<=grid.date AND d.{v} IS NOT NULL{_site}) AS {v}" for v in ("mu_t", "kappa_t")) + " FROM grid)"
     query(_name, sql(_BASE + _DATED.format(keys=_keys) + _PICK + _found), "mu kappa")(lambda s, d, by=_by: D.resolved_by_date(A.snv(s, d), base_priors(s, d), dated(s, d, by), carry=True))
-query("LIK_18_prior_only_days", sql(", p AS (SELECT DISTINCT site_id, date FROM snv WHERE date<'2024-01-06' AND site_id IN ('S1','S2')), c AS (SELECT DISTINCT site_id, date FROM snv WHERE site_id<>'S1' AND mutation LIKE 'VIEW%') SELECT * FROM p UNION ALL SELECT * FROM c WHERE site_id NOT IN (SELECT site_id FROM p)"))(
-    lambda s, d: (lambda snv: D.prior_only_days(snv.filter("site_id <> 'S1' and mutation like 'VIEW%'"), D.dated_priors(snv.filter("date < '2024-01-06' and site_id in ('S1', 'S2')").select("site_id", "date", "mutation", F.col("af").alias("mu")))))(A.snv(s, d))
-)
+# dated priors of the customers' segments; counts by nation are sites without any
+_SITES = "WITH p AS (SELECT DISTINCT c_mktsegment AS site_id, o_orderdate::DATE AS date FROM orders JOIN customer ON o_custkey=c_custkey), c AS (SELECT DISTINCT n_name AS site_id, o_orderdate::DATE AS date FROM orders JOIN customer ON o_custkey=c_custkey JOIN nation ON c_nationkey=n_nationkey UNION SELECT c_mktsegment, DATE '1990-01-01' FROM customer)"
+query("LIK_18_prior_only_days", _SITES + " SELECT * FROM p UNION ALL SELECT * FROM c WHERE site_id NOT IN (SELECT site_id FROM p)")(lambda s, d: D.prior_only_days(*sites(s, d)))
+
+
+def sites(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    orders = A.table(spark, sf_dir, "orders").join(A.table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(A.table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    day = F.to_date("o_orderdate").alias("date")
+    counts = orders.select(F.col("n_name").alias("site_id"), day).unionByName(A.table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("site_id"), F.lit("1990-01-01").cast("date").alias("date")))
+    return counts, D.dated_priors(orders.select(F.col("c_mktsegment").alias("site_id"), day, F.col("o_orderstatus").alias("mutation"), F.lit(0.5).alias("mu")))
+
+# The daily series of observed rates
+_SERIES = ", d AS (SELECT mutation, date, (sum(count)+0.5)/(sum(greatest(coverage,1))+1) AS mu, sum(coverage)+5.0 AS kappa, count(DISTINCT site_id) AS n_sites FROM snv GROUP BY ALL)"
+query("PRI_19_observed_series", sql(_SERIES + " SELECT 'GLOBAL' AS site_id, date, mutation, mu AS mu_t, 0.9*mu AS mu_lo, 1.1*mu AS mu_hi, kappa AS kappa_t, n_sites, ln(mu/(1-mu)) AS a_t, ln(kappa) AS b_t FROM d"), "mu_t mu_lo mu_hi kappa_t a_t b_t", "n_sites")(lambda s, d: M.global_series(observed_days(s, d), A.snv(s, d)))
+
+
+def observed_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mu = (F.sum("count") + 0.5) / (F.sum(F.greatest("coverage", F.lit(1))) + 1)
+    g = A.snv(spark, sf_dir).groupBy("mutation", "date").agg(mu.alias("mu_t"), (F.sum("coverage") + 5.0).alias("kappa_t"))
+    return g.select(F.lit("day").alias("kind"), F.lit("GLOBAL").alias("site_id"), "date", "mutation", "mu_t", (0.9 * F.col("mu_t")).alias("mu_lo"), (1.1 * F.col("mu_t")).alias("mu_hi"), "kappa_t")

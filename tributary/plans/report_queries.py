@@ -41,15 +41,16 @@ _U = "(((doc_id*7919)%1000+0.5)/1000)"
 query(
     "NB_15_qa_scorecard",
     sql(_BAND_SQL + f", c AS (SELECT nominal, avg(cast(count BETWEEN lo AND hi AS integer))-max(nominal) AS bias, abs(avg(cast(count>hi AS integer))-avg(cast(count<lo AS integer))) AS asym, CASE WHEN max(nominal)>=0.9 THEN 0.02 ELSE 0.03 END AS tol FROM b GROUP BY nominal), f AS (SELECT cast(abs(avg(z))<=0.05 AS integer)+cast(stddev_samp(z) BETWEEN 0.95 AND 1.05 AS integer)+cast(sqrt(avg(z*z)) BETWEEN 0.95 AND 1.05 AS integer)+cast(avg((count-mean_y)*(count-mean_y))/avg(var_y) BETWEEN 0.9 AND 1.1 AS integer) AS k FROM z),"
-        f" rk AS (SELECT {_U} AS u, row_number() OVER (ORDER BY {_U}) AS i, count(*) OVER () AS n FROM documents), ks AS (SELECT max(greatest(i/n-u, u-(i-1)/n)) AS d FROM rk)"
-        " SELECT 'Coverage' AS module, printf('%.2f', nominal::DOUBLE) AS metric, bias AS value, CASE WHEN abs(bias)>tol+0.02 OR asym>tol+0.02 THEN 'FLAG' WHEN abs(bias)<=tol AND asym<=tol THEN 'PASS' ELSE 'MINOR' END AS status FROM c UNION ALL SELECT 'PIT', 'KS', d, CASE WHEN d<=0.03 THEN 'PASS' WHEN d<=0.05 THEN 'MINOR' ELSE 'FLAG' END FROM ks UNION ALL SELECT 'Fit', 'z/VR', k, CASE WHEN k=4 THEN 'PASS' WHEN k=3 THEN 'MINOR' ELSE 'FLAG' END FROM f UNION ALL SELECT 'Detection', 'ROC-AUC', 0.8, 'MINOR'"),
+        f" rk AS (SELECT {_U} AS u, row_number() OVER (ORDER BY {_U}) AS i, count(*) OVER () AS n FROM documents), ks AS (SELECT max(greatest(i/n-u, u-(i-1)/n)) AS d FROM rk), sc AS (SELECT cast(count>=2 AS integer) AS x, floor(400*mean_y/(1.0+mean_y)) AS i FROM z), cut AS (SELECT i, sum(x) AS p, sum(1-x) AS q FROM sc GROUP BY 1), cu AS (SELECT i, sum(p) OVER o/sum(p) OVER () AS tpr, sum(q) OVER o/sum(q) OVER () AS fpr FROM cut WINDOW o AS (ORDER BY i DESC)), roc AS (SELECT sum((fpr-pf)*(tpr+pt)/2) AS auc FROM (SELECT *, coalesce(lag(fpr) OVER (ORDER BY i DESC),0) AS pf, coalesce(lag(tpr) OVER (ORDER BY i DESC),0) AS pt FROM cu))"
+        " SELECT 'Coverage' AS module, printf('%.2f', nominal::DOUBLE) AS metric, bias AS value, CASE WHEN abs(bias)>tol+0.02 OR asym>tol+0.02 THEN 'FLAG' WHEN abs(bias)<=tol AND asym<=tol THEN 'PASS' ELSE 'MINOR' END AS status FROM c UNION ALL SELECT 'PIT', 'KS', d, CASE WHEN d<=0.03 THEN 'PASS' WHEN d<=0.05 THEN 'MINOR' ELSE 'FLAG' END FROM ks UNION ALL SELECT 'Fit', 'z/VR', k, CASE WHEN k=4 THEN 'PASS' WHEN k=3 THEN 'MINOR' ELSE 'FLAG' END FROM f UNION ALL SELECT 'Detection', 'ROC-AUC', auc, CASE WHEN auc>=0.85 THEN 'PASS' WHEN auc>=0.75 THEN 'MINOR' ELSE 'FLAG' END FROM roc"),
     "value", digits=5,
 )(
     lambda s, d: R.qa_scorecard(
         D.coverage_table(_banded(s, d), "count", _BANDS),
         D.ks_distance(A.table(s, d, "documents").select((((F.col("doc_id") * 7919) % 1000 + 0.5) / 1000).alias("u")), "u"),
         D.fit_summary(z(s, d)),
-        s.createDataFrame([(0.8,)], "roc_auc double"),
+        # detection of two counts or more by the expected count
+        D.curve_areas(D.threshold_curve(z(s, d).select((F.col("count") >= 2).cast("double").alias("y"), (F.col("mean_y") / (1 + F.col("mean_y"))).alias("p")), "y", "p")).select("roc_auc"),
     )
 )
 query("NB_29_logistic_qq", sql(", v AS (SELECT coverage AS value, row_number() OVER (ORDER BY coverage) AS i, count(*) OVER () AS n FROM snv), g AS (SELECT value, min(i) AS from_rank, max(i) AS to_rank, max(n) AS n FROM v GROUP BY 1), p AS (SELECT *, ((from_rank+to_rank)/2.0-0.5)/n AS p FROM g) SELECT value, from_rank, to_rank, ln(p/(1-p))/1.702 AS q FROM p"), "q", "value from_rank to_rank")(lambda s, d: R.logistic_qq(A.snv(s, d), "coverage"))
@@ -114,13 +115,31 @@ def correlation_tests(r: DataFrame) -> DataFrame:
 _SIMPSON = "1-2*(SELECT sum((CASE WHEN i=0 OR i=4000 THEN 1 WHEN i%2=1 THEN 4 ELSE 2 END)*exp(lgamma((n-1)/2.0)-lgamma((n-2)/2.0)-0.5*ln((n-2)*pi())-(n-1)/2.0*ln(1+power({t}*i/4000.0,2)/(n-2))))*{t}/4000.0/3 FROM (SELECT unnest(range(4001)) AS i))"
 query(
     "PRE_11_correlation_tests",
-    sql(", v AS (SELECT count*1.0 AS a, (coverage-count)*1.0 AS r FROM snv WHERE site_id='S1' AND mutation LIKE 'VIEW%'), k AS (SELECT a, r, rank() OVER (ORDER BY a)+(count(*) OVER (PARTITION BY a)-1)/2 AS ra, rank() OVER (ORDER BY r)+(count(*) OVER (PARTITION BY r)-1)/2 AS rr FROM v), c AS (SELECT corr(a,r) AS pearson_r, corr(ra,rr) AS spearman_r, count(*) AS n FROM k), t AS (SELECT *, abs(pearson_r)*sqrt((n-2)/(1-pearson_r*pearson_r)) AS t1, abs(spearman_r)*sqrt((n-2)/(1-spearman_r*spearman_r)) AS t2 FROM c)"
+    sql(", v AS (SELECT count*1.0 AS a, (coverage-count)*1.0 AS r FROM snv), k AS (SELECT a, r, rank() OVER (ORDER BY a)+(count(*) OVER (PARTITION BY a)-1)/2 AS ra, rank() OVER (ORDER BY r)+(count(*) OVER (PARTITION BY r)-1)/2 AS rr FROM v), c AS (SELECT corr(a,r) AS pearson_r, corr(ra,rr) AS spearman_r, count(*) AS n FROM k), t AS (SELECT *, abs(pearson_r)*sqrt((n-2)/(1-pearson_r*pearson_r)) AS t1, abs(spearman_r)*sqrt((n-2)/(1-spearman_r*spearman_r)) AS t2 FROM c)"
         f" SELECT pearson_r, greatest({_SIMPSON.format(t='t1')},0) AS pearson_p, spearman_r, greatest({_SIMPSON.format(t='t2')},0) AS spearman_p, n FROM t"),
     "pearson_r pearson_p spearman_r spearman_p", "n", digits=5,
-)(lambda s, d: correlation_tests(P.alt_ref_correlation(A.snv(s, d).filter("site_id = 'S1' and mutation like 'VIEW%'"))))
+)(lambda s, d: correlation_tests(P.alt_ref_correlation(A.snv(s, d))))
 
 # Forecasts over a baseline and priors
 query("FC_20_acceptance")(lambda s, d: R.acceptance(Q.forecasts(s, d, "ess", "pit", "elpd", "qq"), particles.Settings().particles))
 query("FC_15_delta_elpd")(lambda s, d: M.site_forecasts(A.snv(s, d), matrix(s, d), R.dispersions(_priors(s, d), matrix(s, d)), baseline=theta(s, d).select("site_id", "date", "lineage", "theta"), kinds=("elpd", "delta_elpd")).select("site_id", "kind", "value"))
 
+
+# Summaries of fitted rows over observed ones, which SQL can follow
+_OBSERVED = ", pool AS (SELECT mutation, sum(count)/sum(coverage) AS rate FROM snv GROUP BY 1), ob AS (SELECT site_id, date, mutation, avg(af) AS af, avg(coverage) AS n FROM snv GROUP BY ALL), zz AS (SELECT site_id, date, abs(af-p)/sqrt(greatest(p*(1-p)*(n+20)/(n*21),1e-12)) AS z FROM (SELECT ob.site_id, ob.date, af, greatest(n,1) AS n, least(greatest(rate,1e-12),1-1e-12) AS p FROM ob JOIN pool USING (mutation))), ph AS (SELECT site_id, date, greatest(median(z)/0.67449,1) AS phi FROM zz GROUP BY ALL)"
+
+
+def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    snv = A.snv(spark, sf_dir)
+    pool = snv.groupBy("mutation").agg((F.sum("count") / F.sum("coverage")).alias("pred_af"))
+    return snv.groupBy("site_id", "date", "mutation").agg(F.avg("af").alias("obs_af"), F.avg("coverage").alias("coverage")).join(pool, "mutation").withColumn("kappa", F.lit(20.0))
+
+
+query("LIK_15_16_observed", sql(_OBSERVED + " SELECT site_id, date, mutation AS lineage, (0.1*af+0.01)*sqrt(phi) AS theta_sd FROM ob JOIN ph USING (site_id, date)"), "theta_sd")(
+    lambda s, d: M.calibrated_uncertainty(_observed(s, d).select("site_id", "date", F.col("mutation").alias("lineage"), (0.1 * F.col("obs_af") + 0.01).alias("theta_sd")), _observed(s, d))
+)
+query("FC_20_observed_acceptance", sql(", q AS (SELECT site_id, sqrt(avg(power(0.1*count+0.5,2))) AS rmse FROM snv GROUP BY 1) SELECT median(coverage/200.0) AS median_ness, avg(cast(coverage/200.0<0.2 AS integer)) AS frac_ness_low, avg(af) AS pit_mean, var_samp(af) AS pit_var, avg(-coverage/10.0) AS mean_elpd_waic, avg(coverage/5.0) AS mean_waic, (SELECT avg(rmse) FROM q) AS rmse_counts_mean FROM snv"), "median_ness frac_ness_low pit_mean pit_var mean_elpd_waic mean_waic rmse_counts_mean")(
+    lambda s, d: R.acceptance(A.snv(s, d).select("site_id", F.inline(F.array(*(F.struct(F.lit(k).alias("kind"), v.cast("double").alias("value"), F.col("count").cast("double").alias("observed")) for k, v in (("ess", F.col("coverage")), ("pit", F.col("af")), ("elpd", F.col("coverage") / -10), ("qq", F.col("count") * 1.1 + 0.5)))))), 200)
+)
+
 __all__ = ["correlation_tests"]

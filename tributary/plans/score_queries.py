@@ -56,7 +56,7 @@ _strata = lambda s, d: M.stratified(A.table(s, d, "orders").select(F.col("o_orde
 query("MET_15_stratified", _STRATA, "value ci_lower ci_upper", "n", digits=4)(_strata)
 query("MET_15_disparity", f"SELECT scope, max(value)-min(value) AS gap, max(value)/min(value) AS ratio FROM ({_STRATA}) GROUP BY 1", "gap ratio", digits=4)(lambda s, d: M.disparity(_strata(s, d)))
 query("MET_16_qq_points", "SELECT row_number() OVER (ORDER BY c_acctbal) AS i, (row_number() OVER (ORDER BY c_acctbal)-0.375)/(count(*) OVER ()+0.25) AS p, c_acctbal AS q_emp FROM customer", "p q_emp", "i")(lambda s, d: M.qq_points(A.table(s, d, "customer"), "c_acctbal").select("i", S.normal_cdf(F.col("q_theory")).alias("p"), "q_emp"))
-query("SF_01_lgamma", "SELECT p_partkey, lgamma(p_size/7.0) AS a, lgamma(p_retailprice) AS b, lgamma(p_size+1.0)-lgamma(3.0)-lgamma(p_size-1.0) AS choose2 FROM part WHERE p_size>=2", "a b choose2")(lambda s, d: A.table(s, d, "part").filter("p_size >= 2").select("p_partkey", S.lgamma(F.col("p_size") / 7.0).alias("a"), S.lgamma(F.col("p_retailprice")).alias("b"), S.log_choose(F.col("p_size").cast("double"), F.lit(2.0)).alias("choose2")))
+query("SF_01_lgamma", "SELECT p_partkey, lgamma(p_size/7.0) AS a, lgamma(p_retailprice) AS b, lgamma(p_size+2.0)-lgamma(3.0)-lgamma(p_size+0.0) AS choose2 FROM part", "a b choose2")(lambda s, d: A.table(s, d, "part").select("p_partkey", S.lgamma(F.col("p_size") / 7.0).alias("a"), S.lgamma(F.col("p_retailprice")).alias("b"), S.log_choose(F.col("p_size") + 1.0, F.lit(2.0)).alias("choose2")))
 
 # Evidence
 _ST = ", st AS (SELECT cast(count(*) AS double) AS n, sum(count) AS sy, sum(coverage) AS sn, sum(cast(count>0 AS integer)) AS sx, sum(lgamma(count+1.0)) AS slf, sum(lgamma(coverage+1.0)-lgamma(count+1.0)-lgamma(coverage-count+1.0)) AS slc, var_pop(count)*count(*) AS sse, var_samp(count) AS v FROM snv)"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import adapters as A
@@ -28,34 +28,60 @@ query("SIG_02_matrix_global", sql(_MATRIX + " SELECT * FROM mapped UNION ALL SEL
 query("JN_15_wide_matrix", sql(_MATRIX + " SELECT mutation, " + ", ".join(f"coalesce(max(weight) FILTER (WHERE lineage='{x}'),0) AS {x}" for x in LINEAGES) + " FROM mapped GROUP BY mutation"), " ".join(LINEAGES))(lambda s, d: G.wide_matrix(matrix(s, d), LINEAGES))
 _OVERLAP = _MATRIX + ", n AS (SELECT lineage, sqrt(sum(weight*weight))+1e-9 AS norm FROM mapped GROUP BY 1), o AS (SELECT a.lineage AS l1, b.lineage AS l2, sum(a.weight*b.weight) AS dot FROM mapped a JOIN mapped b USING (mutation) GROUP BY ALL), c AS (SELECT x.lineage AS l1, y.lineage AS l2, CASE WHEN x.lineage=y.lineage THEN 1.0 ELSE least(greatest(coalesce(dot,0)/(x.norm*y.norm),0),1) END AS cosine FROM n x JOIN n y ON true LEFT JOIN o ON o.l1=x.lineage AND o.l2=y.lineage)"
 query("SIG_03_overlap", sql(_OVERLAP + " SELECT * FROM c"), "cosine")(lambda s, d: G.overlap(matrix(s, d)))
-query("SIG_04_near_duplicates", sql(_OVERLAP + " SELECT * FROM c WHERE l1<l2 AND cosine>0.5"), "cosine")(lambda s, d: G.near_duplicate_lineages(matrix(s, d), 0.5))
+# each lineage once more, without its first mutation
+_TWINS = ", ends AS (SELECT lineage, min(mutation) AS first FROM mapped0 GROUP BY 1), mapped AS (SELECT * FROM mapped0 UNION ALL SELECT mutation, lineage||'b', weight FROM mapped0 JOIN ends USING (lineage) WHERE mutation<>first)"
+query("SIG_04_near_duplicates", sql(_OVERLAP.replace("mapped AS", "mapped0 AS").replace("FROM mapped)", "FROM mapped0)").replace(", n AS (", _TWINS + ", n AS (") + " SELECT * FROM c WHERE l1<l2 AND cosine>0.9"), "cosine")(lambda s, d: G.near_duplicate_lineages(twins(matrix(s, d)), 0.9))
+
+
+def twins(matrix: DataFrame) -> DataFrame:
+    ends = matrix.groupBy("lineage").agg(F.min("mutation").alias("first"))
+    return matrix.unionByName(matrix.join(ends, "lineage").filter("mutation <> first").select("mutation", F.concat("lineage", F.lit("b")).alias("lineage"), "weight"))
+
+
+# largest eigenvalue of the Gram matrix by power steps, the smallest as what the largest of its complement leaves
+_GRAM = _MATRIX + ", ls AS (SELECT DISTINCT lineage FROM mapped), gr AS (SELECT list(g ORDER BY l1) AS g FROM (SELECT l1, list(dot ORDER BY l2) AS g FROM (SELECT a.lineage AS l1, b.lineage AS l2, coalesce((SELECT sum(x.weight*y.weight) FROM mapped x JOIN mapped y USING (mutation) WHERE x.lineage=a.lineage AND y.lineage=b.lineage),0.0)::DOUBLE AS dot FROM ls a CROSS JOIN ls b) GROUP BY l1))"
+_STEP = "list_dot_product(row, v) FOR row IN g"
+_POWER = ", {p}(g, v, ev, i) AS (SELECT g, [1.0::DOUBLE/(k+1) FOR k IN range(1,len(g)+1)], 0.0::DOUBLE, 0 FROM {src} UNION ALL SELECT g, [x/sqrt(list_dot_product(w,w)) FOR x IN w], sqrt(list_dot_product(w,w)), i+1 FROM (SELECT g, i, [" + _STEP + "] AS w FROM {p}) WHERE i<3000)"
+_CONDITION = _GRAM + _POWER.format(p="p1", src="gr") + ", top AS (SELECT g, ev AS l1 FROM p1 WHERE i=3000), comp AS (SELECT [[CASE WHEN r=c THEN l1 ELSE 0.0 END-g[r][c] FOR c IN range(1,len(g)+1)] FOR r IN range(1,len(g)+1)] AS g FROM top)" + _POWER.format(p="p2", src="comp")
+query("SIG_05_condition", sql(_CONDITION + " SELECT (SELECT count(*) FROM ls) AS rank, sqrt(l1/(l1-ev)) AS condition FROM top, p2 WHERE i=3000").replace("WITH ", "WITH RECURSIVE ", 1), "condition", "rank", digits=4)(lambda s, d: s.createDataFrame([G.rank_and_condition(matrix(s, d))], "rank long, condition double"))
 query("SIG_05_rank", sql(_MATRIX + " SELECT count(DISTINCT lineage) AS rank FROM mapped"), longs="rank")(lambda s, d: s.createDataFrame([(G.rank_and_condition(matrix(s, d))[0],)], "rank long"))
 
 
-def _wide_barcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ["A3037G", "C8782T", "T14408A", "G25563T", "T28144C"]
-    ones = {"L1": (0, 1, 1, 0, 1), "L2": (1, 1, 0, 0, 0), "L3": (0, 0, 0, 1, 1)}
-    return spark.createDataFrame([(k, *v) for k, v in ones.items()], "lineage string, " + ", ".join(f"{n} int" for n in names))
+def wide_barcodes(long: DataFrame) -> DataFrame:
+    """A 0/1 column for each mutation, a row for each lineage."""
+    return long.select("lineage", "mutation").distinct().groupBy("lineage").pivot("mutation").agg(F.lit(1)).na.fill(0)
 
 
-query("IO_08_barcodes", "SELECT * FROM (VALUES ('L1','C8782T'),('L1','T14408A'),('L1','T28144C'),('L3','G25563T'),('L3','T28144C')) t(lineage, mutation)")(lambda s, d: G.barcodes(_wide_barcodes(s, d), "lineage", ["L1", "L3"]))
-query("JN_14_missing_lineages", "SELECT 'L9' AS lineage")(lambda s, d: G.missing_lineages(_wide_barcodes(s, d), "lineage", ["L1", "L9"]))
+query("IO_08_barcodes", sql("SELECT DISTINCT lineage, mutation FROM signatures WHERE lineage IN ('L1','L3')"))(lambda s, d: G.barcodes(wide_barcodes(A.signatures(s, d)), "lineage", ["L1", "L3"]))
+query("JN_14_missing_lineages", sql("SELECT lineage FROM (VALUES ('L1'),('L7'),('L3'),('L9')) w(lineage) WHERE lineage NOT IN (SELECT lineage FROM signatures)"))(lambda s, d: G.missing_lineages(wide_barcodes(A.signatures(s, d)), "lineage", ["L1", "L7", "L3", "L9"]))
 
 # Names over a made-up genome: a repeated stretch with all codon classes in it.
 _STRETCH = "ATGGCTTGGAACGTTAGCCATCAATTGTAAGCACCGGATTTC"
 GENOME = (_STRETCH * 712)[:29903]
 _ORF_SQL = "(VALUES " + ",".join(f"({i},'{n}',{a},{b})" for i, (n, a, b) in enumerate(N.ORFS)) + ") o(k, orf, l, r)"
 _AA = lambda c: f"substr('{N.AMINO_ACIDS}', 16*(strpos('TCAG',substr({c},1,1))-1)+4*(strpos('TCAG',substr({c},2,1))-1)+strpos('TCAG',substr({c},3,1)), 1)"
-_SUBS = f"g AS (SELECT substr(repeat('{_STRETCH}',712),1,29903) AS g), m AS (SELECT DISTINCT (p_partkey*37)%30100+1 AS pos1, substr(g, cast((p_partkey*37)%29903+1 AS integer), 1) AS r, substr('ACGT', cast(p_partkey%4+1 AS integer), 1) AS a FROM part, g)"
-query(
-    "SC_10_aa_names",
-    f"""WITH {_SUBS}, x AS (SELECT r||cast(pos1 AS varchar)||a AS mutation, *, CASE WHEN pos1>29903 THEN 'out_of_range' WHEN substr(g, cast(pos1 AS integer), 1)<>r THEN 'ref_mismatch' ELSE 'ok' END AS st FROM m, g),
- f AS (SELECT x.*, orf, l, row_number() OVER (PARTITION BY mutation ORDER BY k) AS i FROM x LEFT JOIN {_ORF_SQL} ON pos1-1>=l AND pos1-1<r_ WHERE true),
+def _named_sql(substitutions: str, keys: str = "") -> str:
+    """Substitutions (keys, pos1, r, a) with aa_name and aa_status."""
+    k = f"{keys}, " if keys else ""
+    return f"""WITH {substitutions}, x AS (SELECT r||cast(pos1 AS varchar)||a AS mutation, *, CASE WHEN pos1>29903 THEN 'out_of_range' WHEN substr(g, cast(pos1 AS integer), 1)<>r THEN 'ref_mismatch' ELSE 'ok' END AS st FROM m, g),
+ f AS (SELECT x.*, orf, l, row_number() OVER (PARTITION BY {k}mutation ORDER BY k) AS i FROM x LEFT JOIN {_ORF_SQL} ON pos1-1>=l AND pos1-1<r_ WHERE true),
  c AS (SELECT *, substr(g, cast(l+3*((pos1-1-l)//3)+1 AS integer), 3) AS codon, (pos1-1-l)%3 AS w FROM f WHERE i=1),
  q AS (SELECT *, substr(codon,1,cast(w AS integer))||a||substr(codon,cast(w+2 AS integer)) AS changed FROM c)
- SELECT mutation, CASE WHEN st<>'ok' THEN NULL WHEN orf IS NULL OR {_AA('codon')}={_AA('changed')} THEN mutation ELSE 'aa:'||orf||':'||{_AA('codon')}||cast((pos1-1-l)//3+1 AS varchar)||{_AA('changed')} END AS aa_name, st AS aa_status FROM q""".replace("o(k, orf, l, r)", "o(k, orf, l, r_)"),
-)(lambda s, d: N.named_substitutions(A.table(s, d, "part").select(((F.col("p_partkey") * 37) % 30100 + 1).alias("pos1"), F.substring(F.lit(GENOME), ((F.col("p_partkey") * 37) % 29903 + 1).cast("int"), F.lit(1)).alias("r"), F.substring(F.lit("ACGT"), (F.col("p_partkey") % 4 + 1).cast("int"), F.lit(1)).alias("a")).distinct().select(F.concat("r", "pos1", "a").alias("mutation")), GENOME))
-query("SIG_06_named_barcodes", "SELECT lineage, n FROM (VALUES ('L1',3),('L2',2),('L3',2)) t(lineage, n)", longs="n")(lambda s, d: N.named_substitutions(G.barcodes(_wide_barcodes(s, d), "lineage", ["L1", "L2", "L3"]), GENOME).select("lineage", F.coalesce("aa_name", "mutation").alias("mutation")).distinct().groupBy("lineage").agg(F.count(F.lit(1)).alias("n")))
+ SELECT {k}mutation, CASE WHEN st<>'ok' THEN NULL WHEN orf IS NULL OR {_AA('codon')}={_AA('changed')} THEN mutation ELSE 'aa:'||orf||':'||{_AA('codon')}||cast((pos1-1-l)//3+1 AS varchar)||{_AA('changed')} END AS aa_name, st AS aa_status FROM q""".replace("o(k, orf, l, r)", "o(k, orf, l, r_)")
+
+
+def _substitution(key: Column) -> Column:
+    """A substitution of the genome at a place that follows from a number."""
+    at = key * 37
+    return F.concat(F.substring(F.lit(GENOME), (at % 29903 + 1).cast("int"), F.lit(1)), at % 30100 + 1, F.substring(F.lit("ACGT"), (key % 4 + 1).cast("int"), F.lit(1)))
+
+
+_SUBS = f"g AS (SELECT substr(repeat('{_STRETCH}',712),1,29903) AS g), m AS (SELECT DISTINCT {{keys}}({{n}}*37)%30100+1 AS pos1, substr(g, cast(({{n}}*37)%29903+1 AS integer), 1) AS r, substr('ACGT', cast({{n}}%4+1 AS integer), 1) AS a FROM part, g)"
+query("SC_10_aa_names", _named_sql(_SUBS.format(keys="", n="p_partkey")))(lambda s, d: N.named_substitutions(A.table(s, d, "part").select(_substitution(F.col("p_partkey")).alias("mutation")).distinct(), GENOME))
+# sizes as places, brands as lineages: barcodes of a few columns
+query("SIG_06_named_barcodes", f"SELECT DISTINCT lineage, coalesce(aa_name, mutation) AS mutation FROM ({_named_sql(_SUBS.format(keys='p_brand AS lineage, ', n='(p_size*311)'), 'lineage')})")(
+    lambda s, d: N.named_substitutions(G.barcodes(wide_barcodes(A.table(s, d, "part").select(F.col("p_brand").alias("lineage"), _substitution(F.col("p_size") * 311).alias("mutation"))), "lineage", [f"Brand#{k}" for k in range(1, 26)]), GENOME).select("lineage", F.coalesce("aa_name", "mutation").alias("mutation")).distinct()
+)
 
 _SCORES = ", sc AS (SELECT mutation, sum(coverage) AS coverage, avg(af) AS pred_af, median(af) AS mu, var_samp(af) AS leverage FROM snv GROUP BY mutation)"
 
@@ -89,8 +115,8 @@ query("SIG_10_violations", "SELECT 0 AS off_simplex, 0 AS not_binary, 0 AS bad_m
 
 # Joins and set operations
 query("JN_07_complete_grid", sql("SELECT site_id, date, coalesce(n,0) AS n FROM (SELECT DISTINCT site_id FROM snv) CROSS JOIN (SELECT DISTINCT date FROM snv) LEFT JOIN (SELECT site_id, date, count(*) AS n FROM snv WHERE mutation='CLICK:1' GROUP BY ALL) USING (site_id, date)"), longs="n")(lambda s, d: A.snv(s, d).transform(lambda x: x.select("site_id").distinct().crossJoin(F.broadcast(x.select("date").distinct())).join(x.filter("mutation = 'CLICK:1'").groupBy("site_id", "date").agg(F.count(F.lit(1)).alias("n")), ["site_id", "date"], "left").na.fill({"n": 0})))
-query("JN_06_combine_first", sql("SELECT mutation, coalesce(a, b) AS v FROM (SELECT mutation, max(af) AS a FROM snv WHERE site_id='S1' AND sample_id='U1' GROUP BY 1) FULL JOIN (SELECT mutation, min(af) AS b FROM snv WHERE site_id='S2' GROUP BY 1) USING (mutation)"), "v")(lambda s, d: A.snv(s, d).transform(lambda x: x.filter("site_id = 'S1' and sample_id = 'U1'").groupBy("mutation").agg(F.max("af").alias("a")).join(x.filter("site_id = 'S2'").groupBy("mutation").agg(F.min("af").alias("b")), "mutation", "full").select("mutation", F.coalesce("a", "b").alias("v"))))
-query("JN_08_target_reindex", sql("SELECT t.mutation, coalesce(sum(count),0) AS n FROM (SELECT DISTINCT mutation FROM signatures) t LEFT JOIN (SELECT * FROM snv WHERE site_id='S3' AND sample_id='U3') s USING (mutation) GROUP BY 1"), longs="n")(lambda s, d: A.signatures(s, d).select("mutation").distinct().join(A.snv(s, d).filter("site_id = 'S3' and sample_id = 'U3'"), "mutation", "left").groupBy("mutation").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n")))
+query("JN_06_combine_first", sql("SELECT site_id, mutation, coalesce(a, b) AS v FROM (SELECT site_id, mutation, max(CASE WHEN count>=6 THEN af END) AS a FROM snv GROUP BY ALL) FULL JOIN (SELECT site_id, mutation, min(af) AS b FROM snv GROUP BY ALL) USING (site_id, mutation)"), "v")(lambda s, d: A.snv(s, d).transform(lambda x: x.groupBy("site_id", "mutation").agg(F.max(F.when(F.col("count") >= 6, F.col("af"))).alias("a")).join(x.groupBy("site_id", "mutation").agg(F.min("af").alias("b")), ["site_id", "mutation"], "full").select("site_id", "mutation", F.coalesce("a", "b").alias("v"))))
+query("JN_08_target_reindex", sql("SELECT t.mutation, coalesce(sum(count),0) AS n FROM (SELECT DISTINCT upper(event_type)||':'||cast(i AS varchar) AS mutation FROM events, (SELECT unnest(range(12)) AS i)) t LEFT JOIN snv USING (mutation) GROUP BY 1"), longs="n")(lambda s, d: A.table(s, d, "events").select(F.upper("event_type").alias("e")).distinct().select("e", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("i")).select(F.concat_ws(":", "e", "i").alias("mutation")).join(A.snv(s, d), "mutation", "left").groupBy("mutation").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n")))
 query("JN_09_unmapped", sql("SELECT DISTINCT mutation FROM snv WHERE mutation NOT IN (SELECT mutation FROM signatures)"))(lambda s, d: A.snv(s, d).select("mutation").distinct().join(A.signatures(s, d), "mutation", "left_anti"))
 query("JN_12_digitize", sql(", e AS (SELECT [quantile_cont(coverage,0.2),quantile_cont(coverage,0.4),quantile_cont(coverage,0.6),quantile_cont(coverage,0.8)] AS inn FROM snv) SELECT len(list_filter(inn, lambda x: x<coverage)) AS bin, count(*) AS n FROM snv, e GROUP BY 1"), longs="bin n")(lambda s, d: A.snv(s, d).crossJoin(F.broadcast(quantile_edges(A.snv(s, d), "coverage", 5))).groupBy(digitize(F.col("coverage"), F.col("edges")).alias("bin")).agg(F.count(F.lit(1)).alias("n")))
 query("JN_16_keep_first", sql("SELECT site_id, mutation, date, sample_id FROM (SELECT *, row_number() OVER (PARTITION BY site_id, mutation ORDER BY date, sample_id) AS r FROM snv) WHERE r=1"))(lambda s, d: A.snv(s, d).withColumn("r", F.row_number().over(Window.partitionBy("site_id", "mutation").orderBy("date", "sample_id"))).filter("r = 1").select("site_id", "mutation", "date", "sample_id"))
