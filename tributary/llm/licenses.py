@@ -1,6 +1,7 @@
 """License scans, native: normalised segments of a text against licence templates by the Dice coefficient over word bigrams.
 
-A text's segments are its lines, its paragraphs and itself. A segment is compared with a template only if their sizes allow the
+A text's segments are its lines, its paragraphs, itself, and windows of words wherever a key word stands: as long as a template that has the word, and placed as if the
+word were the template's. So a notice is found within a line, and over lines and paragraphs, whatever stands around it. Segments are compared as normalised words. A segment is compared with a template only if their sizes allow the
 coefficient: with a threshold t, a segment of a distinct bigrams and a template of b can reach it only for b * t / (2 - t) <= a <= b * (2 - t) / t. Before that a
 segment must hold one of a few key words, chosen so that no segment without any of them can reach the threshold with any template (see
 key_words); this drops no match.
@@ -37,6 +38,9 @@ TEMPLATES: dict[str, str] = {
     "CC-BY-NC-4.0/short": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0/long": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC0-1.0/short": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "MIT/full": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "BSD-2-Clause/full": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    "ISC/full": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
     "Unlicense/first": "This is free and unencumbered software released into the public domain.",
 }
 
@@ -80,9 +84,34 @@ def key_words(templates: dict[str, str], percent: int) -> list[str]:
     return sorted(found)
 
 
+def key_places(templates: dict[str, str], percent: int) -> list[tuple[str, int, int]]:
+    """(key word, its place in a template, the template's words), each once."""
+    keys = set(key_words(templates, percent))
+    return sorted({(w, i, len(own)) for own in map(plain_words, templates.values()) for i, w in enumerate(own) if w in keys})
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(ascii_lower(F.regexp_replace(text, "[^A-Za-z0-9]+", " ")), " "), lambda w: w != "")
+
+
+def _windows(words: Column, places: list[tuple[str, int, int]]) -> Column:
+    """Normalised windows around the key words; those that reach over an end of the text are shorter there."""
+    of: dict[str, list[Column]] = {}
+    for w, i, n in places:
+        of.setdefault(w, []).append(F.struct(F.lit(i).alias("i"), F.lit(n).alias("n")))
+    table = F.create_map(*(x for w, at in of.items() for x in (F.lit(w), F.array(*at))))
+
+    def around(words: Column) -> Column:
+        hits = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("at"), F.element_at(table, w).alias("places"))), lambda h: h["places"].isNotNull())
+        starts = F.array_distinct(F.flatten(F.transform(hits, lambda h: F.transform(h["places"], lambda p: F.struct((h["at"] - p["i"]).alias("at"), p["n"].alias("n"))))))
+        low = lambda s: F.greatest(s["at"], F.lit(0))
+        return F.transform(starts, lambda s: F.array_join(F.slice(words, low(s) + 1, s["at"] + s["n"] - low(s)), " "))
+
+    return let(words, around)
+
+
 def _bigrams(segment: Column) -> Column:
-    words = F.filter(F.split(ascii_lower(F.regexp_replace(segment, "[^A-Za-z0-9]+", " ")), " "), lambda w: w != "")
-    return let(words, lambda w: F.when(F.size(w) > 1, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1))))).otherwise(F.array_distinct(w)))
+    return let(_words(segment), lambda w: F.when(F.size(w) > 1, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1))))).otherwise(F.array_distinct(w)))
 
 
 def segment_matches(segment: Column, templates: dict[str, str], percent: int) -> Column:
@@ -103,7 +132,7 @@ def segment_matches(segment: Column, templates: dict[str, str], percent: int) ->
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, percent: int = PERCENT) -> DataFrame:
-    """Per row of docs: id, n_matches (different segments that match a template), licenses (templates matched, sorted, comma-joined),
+    """Per row of docs: id, n_matches (different segments, as normalised words, that match a template), licenses (templates matched, sorted, comma-joined),
     best (the template of the highest coefficient; of equals, the first name), best_dice (rounded down to six decimals; null without a match).
 
     A segment counts for its best template only. Null and empty texts match nothing. Whole texts are read; repeated rows get equal results. Only id
@@ -118,7 +147,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = F.coalesce(F.col("_text"), F.lit(""))
     # a segment has at least a character and a separator for each of its words, but repeats may keep its bigrams few: no bound on length is used
     parts = F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, r"\n[ \t\r]*\n"), F.array(text)))
-    segments = F.filter(parts, lambda s: s.rlike(keys)) if templates and most else F.array().cast("array<string>")
+    plain = F.transform(F.filter(parts, lambda s: s.rlike(keys)), lambda s: F.array_join(_words(s), " ")) if templates and most else F.array().cast("array<string>")
+    segments = F.array_distinct(F.concat(plain, _windows(_words(text), key_places(templates, percent)))) if templates and most else plain
     found = F.transform(segments, lambda s: _best(segment_matches(s, templates, percent)))
     found = F.when(text.rlike(keys), F.filter(found, lambda x: x.isNotNull())).otherwise(F.array().cast("array<struct<dice:bigint,template:string>>"))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).select("_id", let(found, _summary).alias("m"))

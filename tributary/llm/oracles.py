@@ -54,9 +54,15 @@ _CONTAMINATION = f"""WITH i AS (SELECT cast(item_id AS varchar) AS item, {_WORDS
 
 def _licenses() -> str:
     rows = ",".join(f"({_text(n)},[{','.join(_text(b) for b in sorted(licenses.plain_bigrams(x)))}])" for n, x in licenses.TEMPLATES.items())
+    words = lambda c: f"list_filter(string_split(lower(regexp_replace({c},'[^A-Za-z0-9]+',' ','g')),' '), lambda y: y<>'')"
+    places = ",".join(f"({_text(w)},{i},{n})" for w, i, n in licenses.key_places(licenses.TEMPLATES, licenses.PERCENT))
     return f"""WITH t(template, own) AS (VALUES {rows}), d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text,'') AS x FROM documents),
- s AS (SELECT r, unnest(list_distinct(list_concat(string_split(x,chr(10)),string_split_regex(x,'\\n[ \\t\\r]*\\n'),[x]))) AS seg FROM d),
- w AS (SELECT r, seg, list_filter(string_split(lower(regexp_replace(seg,'[^A-Za-z0-9]+',' ','g')),' '), lambda y: y<>'') AS w FROM s),
+ s AS (SELECT r, unnest(list_concat(string_split(x,chr(10)),string_split_regex(x,'\\n[ \\t\\r]*\\n'),[x])) AS seg FROM d),
+ v AS (SELECT r, {words('seg')} AS w FROM s), nw AS (SELECT r, {words('x')} AS w FROM d),
+ kp(word, off, len) AS (VALUES {places}),
+ hit AS (SELECT r, unnest(w) AS word, generate_subscripts(w,1)-1 AS i FROM nw),
+ win AS (SELECT DISTINCT r, greatest(i-off,0) AS low, i-off+len AS high FROM hit JOIN kp USING (word)),
+ w AS (SELECT DISTINCT r, array_to_string(w,' ') AS seg, w FROM (SELECT r, w FROM v UNION ALL SELECT r, w[low+1:high] FROM win JOIN nw USING (r)) WHERE len(w)>0),
  b AS (SELECT r, seg, CASE WHEN len(w)>1 THEN list_distinct(list_transform(range(1,len(w)), lambda k: w[k]||' '||w[k+1])) ELSE list_distinct(w) END AS b FROM w),
  m AS (SELECT r, seg, template, len(list_intersect(own,b)) AS k, len(own)+len(b) AS n FROM b, t WHERE len(b)*(200-{licenses.PERCENT})>=len(own)*{licenses.PERCENT} AND len(own)*(200-{licenses.PERCENT})>=len(b)*{licenses.PERCENT}),
  g AS (SELECT *, floor(2000000.0*k/n) AS dice FROM m WHERE 200*k>={licenses.PERCENT}*n),
