@@ -8,6 +8,8 @@ from itertools import product
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .intervals import located
+
 # Reading frames of the reference genome, 0-based and half-open; of overlapping frames the first counts.
 ORFS: tuple[tuple[str, int, int], ...] = (
     ("orf1a", 265, 13468),
@@ -40,9 +42,10 @@ def read_fasta(spark: SparkSession, path: str) -> str:
     return "".join(x.strip().upper() for x in body)
 
 
-def named_substitutions(df: DataFrame, genome: str, column: str = "mutation", orfs: Sequence[tuple[str, int, int]] = ORFS) -> DataFrame:
+def named_substitutions(df: DataFrame, genome: str, column: str = "mutation", orfs: Sequence[tuple[str, int, int]] | DataFrame = ORFS) -> DataFrame:
     """df with aa_name and aa_status (ok, malformed, out_of_range, ref_mismatch). Synonymous changes, places outside all frames and codons
-    with other letters than ACGT keep the nucleotide name; names that aren't ok have a null aa_name.
+    with other letters than ACGT keep the nucleotide name; names that aren't ok have a null aa_name. orfs: (name, left, right), the first that holds a place counts; or a table
+    (rank, left, right, label) of any number of frames, which is indexed.
     """
     spark = df.sparkSession
     rows = df.select(F.struct(*df.columns).alias("row"), F.col(column).alias("name")).withColumns({"ref": F.regexp_extract("name", "^([ACGT])([0-9]+)([ACGT])$", 1), "pos1": F.regexp_extract("name", "^([ACGT])([0-9]+)([ACGT])$", 2).try_cast("long"), "alt": F.regexp_extract("name", "^([ACGT])([0-9]+)([ACGT])$", 3)})
@@ -50,9 +53,12 @@ def named_substitutions(df: DataFrame, genome: str, column: str = "mutation", or
     base = F.substring(F.lit(genome), F.col("pos1").cast("int"), F.lit(1))
     status = F.when((F.coalesce("ref", F.lit("")) == "") | F.col("pos1").isNull(), "malformed").when((F.col("pos") < 0) | (F.col("pos") >= len(genome)), "out_of_range").when(base != F.col("ref"), "ref_mismatch").otherwise("ok")
     rows = rows.withColumn("aa_status", status)
-    # a dozen frames in a literal: the first that holds the place, without a join
-    frames = F.array(*(F.struct(F.lit(n).alias("orf"), F.lit(a).alias("left"), F.lit(b).alias("right")) for n, a, b in orfs))
-    rows = rows.withColumn("frame", F.when(F.col("aa_status") == "ok", F.get(F.filter(frames, lambda f: (f["left"] <= F.col("pos")) & (F.col("pos") < f["right"])), 0)))
+    if isinstance(orfs, DataFrame):
+        rows = located(rows, "pos", orfs, "held").withColumn("frame", F.when(F.col("aa_status") == "ok", F.col("held"))).withColumn("frame", F.struct(F.col("frame.label").alias("orf"), F.col("frame.left").alias("left")))
+    else:
+        # a dozen frames in a literal: the first that holds the place, without a join
+        frames = F.array(*(F.struct(F.lit(n).alias("orf"), F.lit(a).alias("left"), F.lit(b).alias("right")) for n, a, b in orfs))
+        rows = rows.withColumn("frame", F.when(F.col("aa_status") == "ok", F.get(F.filter(frames, lambda f: (f["left"] <= F.col("pos")) & (F.col("pos") < f["right"])), 0)))
     at = (F.col("pos") - F.col("frame.left")).cast("int")
     rows = rows.withColumns({"codon_at": (at / 3).cast("int"), "within": at % 3})
     rows = rows.withColumn("codon", F.substring(F.lit(genome), (F.col("frame.left") + 3 * F.col("codon_at") + 1).cast("int"), F.lit(3)))

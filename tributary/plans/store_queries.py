@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import adapters as A
 from ..adapters import sql
 from ..operators import constraints as C
+from ..operators import intervals as I
 from ..registry import query
 from ..sources import manifest as W
 from ..sources.scratch import shared_dir
@@ -75,3 +76,16 @@ def manifest_of_a_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query("IO_11_15_manifest", sql(" SELECT 'snv' AS \"table\", count(*) AS rows, false AS changed FROM snv UNION ALL SELECT 'signatures', count(*), false FROM signatures"), longs="rows")(lambda s, d: manifest_of_a_run(s, d).drop("columns"))
+
+# Places of orders among overlapping frames, one for each part: of those that hold a place the one of the largest size, then the first.
+_FRAMES = "WITH f AS (SELECT p_partkey*37%29000 AS l, p_partkey*37%29000+p_size*20 AS r, 1000000*(100-p_size)+p_partkey AS k, p_name AS label FROM part), o AS (SELECT o_orderkey, o_custkey*o_orderkey%30000 AS place FROM orders)"
+
+
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = F.col("p_partkey") * 37 % 29000
+    return A.table(spark, sf_dir, "part").select((1_000_000 * (100 - F.col("p_size")) + F.col("p_partkey")).alias("rank"), left.alias("left"), (left + F.col("p_size") * 20).alias("right"), F.col("p_name").alias("label"))
+
+
+query("JN_11_interval_index", f"{_FRAMES} SELECT o_orderkey, place, arg_min(label, k) AS label, cast(arg_min(l, k) AS bigint) AS left_end FROM o LEFT JOIN f ON place>=l AND place<r GROUP BY ALL", longs="o_orderkey place left_end")(
+    lambda s, d: I.located(A.table(s, d, "orders").select("o_orderkey", (F.col("o_custkey") * F.col("o_orderkey") % 30000).alias("place")), "place", frames(s, d)).select("o_orderkey", "place", F.col("holder.label").alias("label"), F.col("holder.left").alias("left_end"))
+)
