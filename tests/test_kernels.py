@@ -173,3 +173,25 @@ def test_filter_follows_shares_and_repeats():
     assert shares.shape == (200, 2) and counts.shape == (s.draws, 4) and counts.max() <= 300
     u = particles.pits(np.exp(runs[0].log_w[3]), runs[0].particles[3], y[3], n[3], S, np.full(4, 200.0), s, particles.generator(1, "d"))
     assert len(u) == 4 and np.all((0 <= u) & (u <= 1))
+
+
+def test_quantiles_of_large_counts_equal_the_table(monkeypatch):
+    rng = np.random.default_rng(12)
+    n = rng.choice([50, 900, 3000], 60)
+    mu, kappa, pi = rng.uniform(0.001, 0.999, 60), rng.choice([2.0, 40.0, 3000.0], 60), rng.choice([0.0, 0.3], 60)
+    levels = (0.0, 0.05, 0.25, 0.5, 0.95, 0.999)
+    want = zibb.quantiles(n, mu, kappa, pi, levels)
+    monkeypatch.setattr(zibb, "TABLE", 10)
+    monkeypatch.setattr(zibb, "PIECE", 97)
+    assert np.array_equal(zibb.quantiles(n, mu, kappa, pi, levels), want)
+
+
+def test_quantiles_of_a_million_need_little_memory():
+    import tracemalloc
+
+    tracemalloc.start()
+    lo, mid, hi = zibb.quantiles(np.array([1_000_000]), np.array([0.3]), np.array([500.0]), np.array([0.0]), (0.05, 0.5, 0.95))[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    sd = (1e6 * 0.3 * 0.7 * (1e6 + 500) / 501) ** 0.5
+    assert peak < 20e6 and abs(mid - 300_000) < 0.1 * sd and abs(hi - mid - 1.645 * sd) < 0.1 * sd and abs(mid - lo - 1.645 * sd) < 0.1 * sd

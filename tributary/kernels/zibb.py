@@ -10,10 +10,33 @@ from .special import bb_logpmf, bb_tables, clip01
 
 #: Cells of distribution tables that are in memory at once, about.
 CELLS = 2_000_000
+#: Counts up to which a distribution is held as a table; beyond it the masses are added up piece by piece.
+TABLE = 5_000
+PIECE = 4_096
+
+
+def streamed(n: int, a: np.ndarray, b: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """Quantiles of Beta-Binomials of one n, a row for each (a, b) and its levels: masses are added up from 0 in pieces until all levels are reached.
+
+    Memory doesn't grow with n. Where the masses before the bulk underflow they add nothing, as they should.
+    """
+    out, done, at = np.zeros(levels.shape, int), levels <= 0, 0
+    total = np.zeros(len(a))
+    while at <= n and not done.all():
+        k = np.arange(at, min(at + PIECE, n + 1))
+        upto = total[:, None] + np.cumsum(np.exp(bb_logpmf(k[None, :], n, a[:, None], b[:, None])), axis=1)
+        for j in range(levels.shape[1]):
+            below = (upto < levels[:, j, None]).sum(axis=1)
+            reached = ~done[:, j] & (below < len(k))
+            out[reached, j] = at + below[reached]
+            done[:, j] |= reached
+        total, at = upto[:, -1], at + len(k)
+    out[~done] = n
+    return out
 
 
 def quantiles(n: np.ndarray, mu: np.ndarray, kappa: np.ndarray, pi: np.ndarray, levels: Sequence[float]) -> np.ndarray:
-    """Quantiles of each row's mixture, a column for each level. Rows are taken by n, equal distributions once, in batches of about CELLS."""
+    """Quantiles of each row's mixture, a column for each level. Rows are taken by n, equal distributions once, in batches of about CELLS, whatever n."""
     n = np.asarray(n, int)
     out = np.zeros((len(n), len(levels)), int)
     a, b = mu * kappa, (1 - mu) * kappa
@@ -26,12 +49,15 @@ def quantiles(n: np.ndarray, mu: np.ndarray, kappa: np.ndarray, pi: np.ndarray,
         new = np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)])
         first, which = rows[new], np.cumsum(new) - 1
         got = np.zeros((len(first), len(levels)), int)
-        step = max(1, CELLS // (k + 1))
+        step = max(1, CELLS // (min(k, PIECE if k > TABLE else k) + 1))
         for at in range(0, len(first), step):
             some = first[at : at + step]
+            inners = [(q - pi[some]) / np.maximum(1 - pi[some], 1e-300) for q in levels]
+            if k > TABLE:
+                got[at : at + step] = np.where(np.array(levels) <= pi[some, None], 0, streamed(k, a[some], b[some], np.stack(inners, axis=1)))
+                continue
             table = bb_tables(k, a[some], b[some])
-            for j, q in enumerate(levels):
-                inner = (q - pi[some]) / np.maximum(1 - pi[some], 1e-300)
+            for j, (q, inner) in enumerate(zip(levels, inners, strict=True)):
                 got[at : at + step, j] = np.where(q <= pi[some], 0, np.minimum((table < inner[:, None]).sum(axis=1), k))
         out[rows] = got[which]
     return out
