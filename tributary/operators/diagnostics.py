@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.joins import small
 from ..functions.scalars import normal_ppf
 from ..functions.tails import chi_square_tail, cramer_von_mises_tail, kolmogorov_tail, normality
 from .global_order import counted_places, discordant, exact_quantiles
@@ -122,7 +123,7 @@ def proportional_sample(df: DataFrame, stratum: str, key: Sequence[str], n: int,
     total = df.agg(F.count(F.lit(1)).alias("_all"))
     sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_own")).crossJoin(F.broadcast(total)).withColumn("_take", F.round(F.col("_own") / F.col("_all") * n)).select(stratum, "_take")
     w = Window.partitionBy(stratum).orderBy(seeded_digest(key, seed), *key)
-    return df.join(F.broadcast(sizes), stratum).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= F.col("_take")).drop("_r", "_take")
+    return df.join(small(sizes), stratum).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= F.col("_take")).drop("_r", "_take")
 
 
 def scorecard(checks: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.joins import small
 from ..functions.scalars import betabinom_logpmf, clip01, let, normal_cdf, normal_ppf
 from .global_order import counted_places
 
@@ -80,7 +81,7 @@ def dispersions(priors: DataFrame, mutations: DataFrame, default: float = 200.0)
 
 def prior_counts(priors: DataFrame, days: DataFrame) -> DataFrame:
     """Prior-only mode: each prior (mutation, mu, kappa) as kappa * mu counts out of kappa, on every (site_id, date) of days. As many priors as the model has mutations."""
-    return days.select("site_id", "date").distinct().crossJoin(F.broadcast(priors.select("mutation", "mu", "kappa"))).select("site_id", "date", F.concat("site_id", F.lit("__date")).alias("sample_id"), "mutation", (F.col("kappa") * F.col("mu")).alias("count"), F.col("kappa").alias("coverage"))
+    return days.select("site_id", "date").distinct().crossJoin(small(priors.select("mutation", "mu", "kappa"))).select("site_id", "date", F.concat("site_id", F.lit("__date")).alias("sample_id"), "mutation", (F.col("kappa") * F.col("mu")).alias("count"), F.col("kappa").alias("coverage"))
 
 
 def residual_report(residuals: DataFrame) -> DataFrame:

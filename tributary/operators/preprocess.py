@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.joins import small
 from ..functions.scalars import allele_fraction, allowed_name, canonicalize_strict, detection_limit
 from ..sources.scratch import written
 from .global_order import exact_quantiles, running_sums
@@ -62,10 +63,10 @@ def missingness_summary(snv: DataFrame) -> DataFrame:
 def missingness_matrix(snv: DataFrame, signatures: DataFrame | None = None) -> DataFrame:
     """Long form of the all-zero matrix of sites and mutations: every site with every mutation of the signatures (or of snv).
 
-    The grid is the result; each side is a distinct list, and the mutations are few enough to be held in one array.
+    The grid is the result, and each side is a distinct list.
     """
-    names = (signatures if signatures is not None else snv).agg(F.array_sort(F.collect_set("mutation")).alias("names"))
-    return snv.select("site_id").distinct().crossJoin(F.broadcast(names)).select("site_id", F.explode("names").alias("mutation"), F.lit(0.0).alias("missing"))
+    names = (signatures if signatures is not None else snv).select("mutation").filter("mutation is not null").distinct()
+    return names.crossJoin(small(snv.select("site_id").distinct())).select("site_id", "mutation", F.lit(0.0).alias("missing"))
 
 
 def bias_loci(snv: DataFrame, min_coverage: int = 50, left_censor_af: float = 0.01, dropout_quantile: float = 0.10, highcov_quantile: float = 0.70, pos_rate_max: float = 0.01) -> DataFrame:

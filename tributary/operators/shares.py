@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.joins import small
 from ..functions.scalars import logit
 
 
@@ -17,8 +18,8 @@ def top_lineages(theta: DataFrame, k: int = 4, weight: str = "weight") -> DataFr
 
 
 def rolled_up(theta: DataFrame, keep: DataFrame, keys: Sequence[str] = ("site_id", "date", "sample_id")) -> DataFrame:
-    """The kept lineages, the sum of all others as Other, and shares renormalised within each sample. keep is a short list."""
-    marked = theta.join(F.broadcast(keep.select("lineage", F.lit(True).alias("kept"))), "lineage", "left")
+    """The kept lineages, the sum of all others as Other, and shares renormalised within each sample. """
+    marked = theta.join(small(keep.select("lineage", F.lit(True).alias("kept"))), "lineage", "left")
     g = marked.groupBy(*keys, F.when(F.col("kept"), F.col("lineage")).otherwise("Other").alias("lineage")).agg(F.sum("theta").alias("theta"))
     return g.withColumn("theta", F.col("theta") / F.greatest(F.sum("theta").over(Window.partitionBy(*keys)), F.lit(1e-12)))
 

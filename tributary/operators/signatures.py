@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.joins import small
 from ..functions.scalars import betaln, normalize_mutation, stripped
 
 GLOBAL = "GLOBAL"
@@ -42,7 +43,7 @@ def overlap(matrix: DataFrame) -> DataFrame:
     a, b = matrix.select("mutation", F.col("lineage").alias("l1"), F.col("weight").alias("w1")), matrix.select("mutation", F.col("lineage").alias("l2"), F.col("weight").alias("w2"))
     norms = matrix.groupBy("lineage").agg((F.sqrt(F.sum(F.col("weight") * F.col("weight"))) + 1e-9).alias("norm"))
     dots = a.join(b, "mutation").groupBy("l1", "l2").agg(F.sum(F.col("w1") * F.col("w2")).alias("dot"))
-    names = F.broadcast(norms.select(F.col("lineage").alias("l1"), F.col("norm").alias("n1"))).crossJoin(norms.select(F.col("lineage").alias("l2"), F.col("norm").alias("n2")))
+    names = small(norms.select(F.col("lineage").alias("l1"), F.col("norm").alias("n1"))).crossJoin(norms.select(F.col("lineage").alias("l2"), F.col("norm").alias("n2")))
     cos = F.coalesce("dot", F.lit(0.0)) / (F.col("n1") * F.col("n2"))
     return names.join(dots, ["l1", "l2"], "left").select("l1", "l2", F.when(F.col("l1") == F.col("l2"), 1.0).otherwise(F.least(F.greatest(cos, F.lit(0.0)), F.lit(1.0))).alias("cosine"))
 
