@@ -127,3 +127,10 @@ def test_smoother_equals_a_dense_solution():
         assert np.abs(slope).max() < 1e-7
         h = np.diag(n[:t, k] * out.mu[:t, k] * (1 - out.mu[:t, k]) + rw2.RIDGE) + r
         assert np.allclose(out.var_a[:t, k], np.diag(np.linalg.inv(h)), rtol=1e-8)
+
+
+def test_bins_of_structural_zeros_alone(spark):
+    rows = spark.createDataFrame([("M", 0.0, 50.0, 0.2, 1.0)] * 8 + [("M", 3.0, 50.0, 0.8, 0.0)] * 3, "mutation string, y double, n double, m double, r double")
+    fit = spark.createDataFrame([("M", [0.0, 0.5, 1.0])], "mutation string, edges array<double>")
+    out = mixture.bin_parameters(rows, fit, mixture.Settings(min_rows=5)).first()
+    assert out.kappas == [140.0, 140.0] and out.pis == [pytest.approx(8.5 / 13.5), 0.0]

@@ -178,9 +178,11 @@ def bin_step(s: Settings) -> Callable[[DataFrame, DataFrame], DataFrame]:
         F.count(F.lit(1)).alias("rows"), F.sum("w").alias("w"), F.sum("r").alias("r"), F.sum(F.col("w") * F.col("d")).alias("wd"), F.sum(F.col("w") * F.col("d") * F.col("d")).alias("wdd"),
         F.sum(F.col("w") * F.col("v") / F.col("n")).alias("noise"), F.sum(F.col("w") * F.col("v") * (F.col("n") - 1) / F.col("n")).alias("most"),
     )
-    excess = (F.col("wdd") - F.col("wd") * F.col("wd") / F.col("w") - F.col("noise")) / F.col("w")
-    told = (F.col("rows") >= 5) & (F.col("w") > 0) & (excess > 1e-12)
-    kappa = F.when(told, F.least(F.greatest(F.col("most") / F.col("w") / excess - 1, F.lit(s.kappa_lo)), F.lit(s.kappa_hi))).otherwise(s.kappa_hi)
+    # a bin whose rows all are structural zeros has no weight
+    w = F.nullif(F.col("w"), F.lit(0.0))
+    excess = (F.col("wdd") - F.col("wd") * F.col("wd") / w - F.col("noise")) / w
+    told = (F.col("rows") >= 5) & (excess > 1e-12)
+    kappa = F.when(told, F.least(F.greatest(F.col("most") / w / F.nullif(excess, F.lit(0.0)) - 1, F.lit(s.kappa_lo)), F.lit(s.kappa_hi))).otherwise(s.kappa_hi)
     pi = F.when(F.col("rows") >= s.min_rows, F.least(F.greatest((F.col("r") + 0.5) / (F.col("rows") + 5.5), F.lit(0.0)), F.lit(0.99))).otherwise(0.0)
     told_by_bin = F.map_from_entries(F.collect_list(F.struct("bin", F.struct(kappa.alias("kappa"), pi.alias("pi"))))).alias("b")
     every = F.sequence(F.lit(0), F.size("edges") - 2)
