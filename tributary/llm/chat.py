@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import column
+
 ESCAPE = "\\"
 
 
@@ -57,7 +59,8 @@ def formatted(conversations: DataFrame, template: Template | None = None, conv_c
     state (of the machine after it) and error (null, or why the turn may not stand here, or why the end is not a good one).
 
     Turns are read by turn number; ties by role, then text, nulls first. Null texts are empty, null roles are named "". Conversations
-    with errors are formatted too, so that the caller decides. A null conv is a conversation of its own. Partitions are read as sorted streams, so memory
+    with errors are formatted too, so that the caller decides. A null conv is a conversation of its own. Repeated rows are
+    turns of their own, an empty table gives no segments, and only the four columns are read, so others may have any name. Partitions are read as sorted streams, so memory
     doesn't grow with a conversation.
     """
     t = template or Template()
@@ -98,7 +101,7 @@ def formatted(conversations: DataFrame, template: Template | None = None, conv_c
             yield pd.DataFrame(rows, columns=columns)
 
     columns = [x.split()[0] for x in _SEGMENTS.format("x").split(", ")]
-    rows = conversations.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
+    rows = conversations.select(column(conv_col).alias("conv"), column(turn_col).cast("long").alias("turn"), column(role_col).alias("role"), column(text_col).alias("text"))
     parts = max(int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     # a conversation is one stream of text with one digest: it stays in one task, read turn by turn
     return rows.repartition(parts, "conv").sortWithinPartitions("conv", "turn", "role", "text").mapInPandas(run, _SEGMENTS.format(kind))

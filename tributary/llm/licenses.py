@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .native import ascii_lower, let
+from .shared import column
 
 #: Percent of the Dice coefficient that counts as a match.
 PERCENT = 80
@@ -135,8 +136,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Per row of docs: id, n_matches (different segments, as normalised words, that match a template), licenses (templates matched, sorted, comma-joined),
     best (the template of the highest coefficient; of equals, the first name), best_dice (rounded down to six decimals; null without a match).
 
-    A segment counts for its best template only. Null and empty texts match nothing. Whole texts are read; repeated rows get equal results. Only id
-    and text are read.
+    A segment counts for its best template only. Null and empty texts match nothing. Whole texts are read; repeated rows get equal results, an empty table gives an empty
+    one. Only id and text are read, so other columns may have any name.
     """
     templates = TEMPLATES if templates is None else templates
     most = max((bounds(len(plain_bigrams(x)), percent)[1] for x in templates.values()), default=0)
@@ -151,7 +152,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     segments = F.array_distinct(F.concat(plain, _windows(_words(text), key_places(templates, percent)))) if templates and most else plain
     found = F.transform(segments, lambda s: _best(segment_matches(s, templates, percent)))
     found = F.when(text.rlike(keys), F.filter(found, lambda x: x.isNotNull())).otherwise(F.array().cast("array<struct<dice:bigint,template:string>>"))
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).select("_id", let(found, _summary).alias("m"))
+    rows = docs.select(column(id_col).alias("_id"), column(text_col).alias("_text")).select("_id", let(found, _summary).alias("m"))
     return rows.select(F.col("_id").alias(id_col), "m.*")
 
 

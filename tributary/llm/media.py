@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import column
+
 BLOCK = 64
 RATE = 8000
 #: What stands before a stored file, and the type that is declared for both.
@@ -218,7 +220,7 @@ def sniff_media(df: DataFrame, data_col: str, declared_col: str | None = None) -
     type and carve nothing. Columns of df travel in a struct, so that no name can clash; those of the three names are replaced.
     """
     keep = [c for c in df.columns if c not in ("media_type", "media_wrong", "carved")]
-    inner = df.select(F.struct(*keep).alias("row"), F.col(data_col).alias("data"), (F.col(declared_col) if declared_col else F.lit(None).cast("string")).alias("declared"))
+    inner = df.select(F.struct(*map(column, keep)).alias("row"), column(data_col).alias("data"), (column(declared_col) if declared_col else F.lit(None).cast("string")).alias("declared"))
 
     @F.pandas_udf("media_type string, media_wrong boolean, carved array<struct<type:string,start:long,length:long>>")
     def look(data: pd.Series, declared: pd.Series) -> pd.DataFrame:
@@ -259,6 +261,6 @@ def text_as_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             out = pd.DataFrame(rows, columns=["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"], index=b.index)
             yield pd.concat([b[["id"]], out], axis=1)
 
-    inner = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    inner = docs.select(column(id_col).alias("id"), column(text_col).alias("text"))
     schema = f"id {inner.schema['id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     return inner.mapInPandas(run, schema).withColumnRenamed("id", id_col)
