@@ -129,14 +129,14 @@ query("FC_15_delta_elpd")(lambda s, d: M.site_forecasts(A.snv(s, d), matrix(s, d
 _OBSERVED = ", pool AS (SELECT mutation, sum(count)/sum(coverage) AS rate FROM snv GROUP BY 1), ob AS (SELECT site_id, date, mutation, avg(af) AS af, avg(coverage) AS n FROM snv GROUP BY ALL), zz AS (SELECT site_id, date, abs(af-p)/sqrt(greatest(p*(1-p)*(n+20)/(n*21),1e-12)) AS z FROM (SELECT ob.site_id, ob.date, af, greatest(n,1) AS n, least(greatest(rate,1e-12),1-1e-12) AS p FROM ob JOIN pool USING (mutation))), ph AS (SELECT site_id, date, greatest(median(z)/0.67449,1) AS phi FROM zz GROUP BY ALL)"
 
 
-def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _observed_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     snv = A.snv(spark, sf_dir)
     pool = snv.groupBy("mutation").agg((F.sum("count") / F.sum("coverage")).alias("pred_af"))
     return snv.groupBy("site_id", "date", "mutation").agg(F.avg("af").alias("obs_af"), F.avg("coverage").alias("coverage")).join(pool, "mutation").withColumn("kappa", F.lit(20.0))
 
 
 query("LIK_15_16_observed", sql(_OBSERVED + " SELECT site_id, date, mutation AS lineage, (0.1*af+0.01)*sqrt(phi) AS theta_sd FROM ob JOIN ph USING (site_id, date)"), "theta_sd")(
-    lambda s, d: M.calibrated_uncertainty(_observed(s, d).select("site_id", "date", F.col("mutation").alias("lineage"), (0.1 * F.col("obs_af") + 0.01).alias("theta_sd")), _observed(s, d))
+    lambda s, d: M.calibrated_uncertainty(_observed_residuals(s, d).select("site_id", "date", F.col("mutation").alias("lineage"), (0.1 * F.col("obs_af") + 0.01).alias("theta_sd")), _observed_residuals(s, d))
 )
 query("FC_20_observed_acceptance", sql(", q AS (SELECT site_id, sqrt(avg(power(0.1*count+0.5,2))) AS rmse FROM snv GROUP BY 1) SELECT median(coverage/200.0) AS median_ness, avg(cast(coverage/200.0<0.2 AS integer)) AS frac_ness_low, avg(af) AS pit_mean, var_samp(af) AS pit_var, avg(-coverage/10.0) AS mean_elpd_waic, avg(coverage/5.0) AS mean_waic, (SELECT avg(rmse) FROM q) AS rmse_counts_mean FROM snv"), "median_ness frac_ness_low pit_mean pit_var mean_elpd_waic mean_waic rmse_counts_mean")(
     lambda s, d: R.acceptance(A.snv(s, d).select("site_id", F.inline(F.array(*(F.struct(F.lit(k).alias("kind"), v.cast("double").alias("value"), F.col("count").cast("double").alias("observed")) for k, v in (("ess", F.col("coverage")), ("pit", F.col("af")), ("elpd", F.col("coverage") / -10), ("qq", F.col("count") * 1.1 + 0.5)))))), 200)
