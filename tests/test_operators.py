@@ -342,3 +342,11 @@ def test_priors_of_many_mutations_change_the_shares(spark):
     snv = spark.createDataFrame([("A", datetime.date(2024, 1, 1), "s", n, 5, 10) for n in names], "site_id string, date date, sample_id string, mutation string, count long, coverage long")
     share = lambda mu: next(r.theta for r in models.site_shares(snv, m, spark.createDataFrame([(n, mu if k % 2 else 1 - mu, 90.0) for k, n in enumerate(names)], "mutation string, mu double, kappa double"), simplex.Settings(robust=0)).filter("kind = 'theta' and lineage = 'L1'").collect())
     assert share(0.9) > 0.7 and share(0.1) < 0.3
+
+
+def test_wilson_of_more_trials_than_a_long_can_square(spark):
+    from tributary.operators.preprocess import wilson
+
+    for n in (3_200_000_000, 40_000_000_000):
+        w = spark.createDataFrame([(n // 4, n)], "y long, n long").select(wilson(F.col("y"), F.col("n")).alias("w")).first().w
+        assert w.lo < 0.25 < w.hi and w.hi - w.lo == pytest.approx(2 * 1.959963984540054 * (0.1875 / n) ** 0.5, rel=1e-6)

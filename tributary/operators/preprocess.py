@@ -169,7 +169,8 @@ def site_summary(snv: DataFrame) -> DataFrame:
 
 
 def wilson(successes: Column, trials: Column, z: float = 1.959963984540054) -> Column:
-    """struct<p, lo, hi>: Wilson's interval; null for no trials."""
+    """struct<p, lo, hi>: Wilson's interval; null for no trials. Squares of trials are doubles, as whole ones overflow beyond 3e9 (1.5e9 with the factor 4)."""
+    trials = trials.cast("double")
     p, z2 = successes / trials, z * z
     centre = (p + z2 / (2 * trials)) / (1 + z2 / trials)
     half = z * F.sqrt(p * (1 - p) / trials + z2 / (4 * trials * trials)) / (1 + z2 / trials)
