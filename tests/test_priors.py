@@ -134,3 +134,13 @@ def test_bins_of_structural_zeros_alone(spark):
     fit = spark.createDataFrame([("M", [0.0, 0.5, 1.0])], "mutation string, edges array<double>")
     out = mixture.bin_parameters(rows, fit, mixture.Settings(min_rows=5)).first()
     assert out.kappas == [140.0, 140.0] and out.pis == [pytest.approx(8.5 / 13.5), 0.0]
+
+
+def test_knots_do_not_depend_on_the_order_of_rows(spark):
+    # one rate in a bin: its mean is that rate to the last digit, in whatever order the weights come
+    rng = np.random.default_rng(4)
+    rates = (0.1, 0.2028125, 0.3)
+    rows = [("M", m, float(n), float(round(m * n))) for m in rates for n in rng.integers(1, 5000, 400)]
+    df = spark.createDataFrame(rows, "mutation string, m double, n double, y double")
+    for parts in (1, 3, 7):
+        assert [k.x for k in mixture.calibrator(df.repartition(parts), 50).first().knots] == [0.0, *rates, 1.0]

@@ -74,13 +74,15 @@ def _blocks(fitted: Column) -> Column:
 def calibrator(rows: DataFrame, bins: int) -> DataFrame:
     """(mutation, knots): a monotone map from rates m to observed rates, from x = 0 to 1; knots is null for fewer than 50 rows or 3 populated bins.
 
-    Rows are binned by quantiles of m (by even edges if these have fewer than 3 values), and the bins' pooled rates are made monotone.
+    Rows are binned by quantiles of m (by even edges if these have fewer than 3 values), and the bins' pooled rates are made monotone. A bin's x is the mean of m by weight, from
+    decimal sums, so that it doesn't depend on the order of the rows.
     """
     counted = rows.groupBy("mutation").agg(F.count(F.lit(1)).alias("rows"), F.percentile("m", _levels(bins)).alias("edges"))
     edges = counted.select("mutation", "rows", F.when(F.size(F.array_distinct("edges")) < 3, _even(F.lit(0.0), F.lit(1.0), bins)).otherwise(F.col("edges")).alias("edges"))
     at = rows.join(edges, "mutation").withColumn("bin", digitize(F.col("m"), F.col("edges")))
-    each = at.groupBy("mutation", "bin").agg(F.first("rows").alias("rows"), F.sum(F.col("m") * F.col("n")).alias("mn"), F.sum("n").alias("n"), F.sum("y").alias("y"))
-    point = F.struct((F.col("mn") / F.col("n")).alias("x"), F.col("bin"), F.col("y").alias("total"), F.col("n").alias("w"))
+    weight = F.col("n").cast("decimal(16,4)")
+    each = at.groupBy("mutation", "bin").agg(F.first("rows").alias("rows"), (F.sum(F.col("m").cast("decimal(21,20)") * weight) / F.sum(weight)).cast("double").alias("x"), F.sum("n").alias("n"), F.sum("y").alias("y"))
+    point = F.struct(F.col("x"), F.col("bin"), F.col("y").alias("total"), F.col("n").alias("w"))
     g = each.groupBy("mutation").agg(F.first("rows").alias("rows"), F.array_sort(F.collect_list(point)).alias("p"))
     fitted = F.zip_with("p", isotonic(F.transform("p", lambda p: p["total"]), F.transform("p", lambda p: p["w"])), lambda p, y: F.struct(p["x"].alias("x"), y.alias("y")))
     inside = F.transform(_blocks(fitted), lambda k: F.struct(F.least(F.greatest(k["x"], F.lit(0.0)), F.lit(1.0)).alias("x"), clip01(k["y"]).alias("y")))
