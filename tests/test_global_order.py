@@ -109,3 +109,18 @@ def test_normality_of_a_known_sample(spark):
     assert 20 < r.k2 < 60 and r.p == pytest.approx(math.exp(-r.k2 / 2))
     few = spark.range(5).agg(F.skewness("id").alias("s"), F.kurtosis("id").alias("k"), F.count("id").alias("n")).select(T.normality(F.col("s"), F.col("k"), F.col("n"))[0].alias("k2")).first()
     assert few.k2 is None
+
+
+def test_cramer_von_mises_tail_of_statistics_near_one(spark):
+    # the series over Bessel functions, integrated to t = 40
+    def exact(x: float) -> float:
+        t = np.arange(0, 40, 0.005)
+        total = 0.0
+        for k in range(12):
+            y = (4 * k + 1) ** 2 / (16 * x)
+            f = np.exp(-y * (1 + np.cosh(t))) * np.cosh(t / 4)
+            total += math.gamma(k + 0.5) / (math.gamma(0.5) * math.factorial(k)) * math.sqrt(4 * k + 1) * 0.005 * (f.sum() - f[0] / 2)
+        return 1 - total / (math.pi * math.sqrt(x))
+
+    for x in (0.05, 0.5, 0.96, 0.99, 2.0):
+        assert value(spark, T.cramer_von_mises_tail(F.lit(x))) == pytest.approx(exact(x), abs=1e-12)
