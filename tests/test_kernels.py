@@ -195,3 +195,26 @@ def test_quantiles_of_a_million_need_little_memory():
     tracemalloc.stop()
     sd = (1e6 * 0.3 * 0.7 * (1e6 + 500) / 501) ** 0.5
     assert peak < 20e6 and abs(mid - 300_000) < 0.1 * sd and abs(hi - mid - 1.645 * sd) < 0.1 * sd and abs(mid - lo - 1.645 * sd) < 0.1 * sd
+
+
+def test_distribution_at_one_count_equals_the_table():
+    rng = np.random.default_rng(21)
+    for n in (0, 1, 7, 40, 1000, 60_000):
+        mu, phi = rng.uniform(0.0005, 0.9995, 40), rng.choice([1.0, 8.0, 200.0, 30_000.0], 40)
+        mu[:2] = 1e-12, 1 - 1e-12
+        a, b = mu * phi, (1 - mu) * phi
+        table = special.bb_tables(n, a, b)
+        for k in {0, n, n // 2, n // 3, n // 50, n - n // 7, n - n // 100}:
+            upto, mass = special.bb_upto(k, n, a, b)
+            assert np.allclose(upto, table[:, k], rtol=0, atol=1e-9) and np.allclose(mass, table[:, k] - (table[:, k - 1] if k else 0), rtol=0, atol=1e-9)
+
+
+def test_transforms_of_large_counts_take_no_longer():
+    import time
+
+    theta, S, phi = np.full((128, 2), 0.5), np.array([[1.0, 0.0], [0.4, 0.0]]), np.full(2, 200.0)
+    began = time.perf_counter()
+    for n in (1e8, 2e9):
+        u = particles.pits(np.full(128, 1 / 128), theta, np.array([0.5, 0.2]) * n, np.full(2, n), S, phi, particles.Settings(), particles.generator(1, "x"))
+        assert np.all(np.abs(u - 0.5) < 0.05)
+    assert time.perf_counter() - began < 10
