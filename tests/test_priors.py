@@ -144,3 +144,11 @@ def test_knots_do_not_depend_on_the_order_of_rows(spark):
     df = spark.createDataFrame(rows, "mutation string, m double, n double, y double")
     for parts in (1, 3, 7):
         assert [k.x for k in mixture.calibrator(df.repartition(parts), 50).first().knots] == [0.0, *rates, 1.0]
+
+
+def test_concentrations_stay_in_the_range_of_their_bins(spark):
+    # exp(log(3)) is less than 3
+    kappas = F.array(F.lit(3.0), F.lit(3.0), F.lit(140.0))
+    edges = F.array(*map(F.lit, (0.0, 0.3, 0.6, 1.0)))
+    out = spark.range(101).select(mixture.kappa_at(F.col("id") / 100, edges, kappas).alias("k")).agg(F.min("k"), F.max("k")).first()
+    assert out[0] == 3.0 and out[1] <= 140.0

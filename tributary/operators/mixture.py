@@ -152,9 +152,9 @@ def adaptive_edges(rows: DataFrame, bins: int, least: int) -> DataFrame:
 
 
 def kappa_at(m: Column, edges: Column, kappas: Column) -> Column:
-    """Concentration between the bins' centres, linear on the logarithm, flat beyond them."""
+    """Concentration between the bins' centres, linear on the logarithm, flat beyond them; rounding takes it out of the range of the bins' by no digit."""
     centres = F.transform(F.sequence(F.lit(0), F.size(kappas) - 1), lambda b: F.struct(((F.get(edges, b) + F.get(edges, b + 1)) / 2).alias("x"), F.log(F.greatest(F.get(kappas, b), F.lit(1e-12))).alias("y")))
-    return F.exp(let(centres, lambda c: interpolate(m, c)))
+    return F.least(F.greatest(F.exp(let(centres, lambda c: interpolate(m, c))), F.array_min(kappas)), F.array_max(kappas))
 
 
 def responsibility(y: Column, n: Column, m: Column, kappa: Column, pi: Column) -> Column:
