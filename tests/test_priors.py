@@ -152,3 +152,13 @@ def test_concentrations_stay_in_the_range_of_their_bins(spark):
     edges = F.array(*map(F.lit, (0.0, 0.3, 0.6, 1.0)))
     out = spark.range(101).select(mixture.kappa_at(F.col("id") / 100, edges, kappas).alias("k")).agg(F.min("k"), F.max("k")).first()
     assert out[0] == 3.0 and out[1] <= 140.0
+
+
+def test_equal_rows_count_as_often_as_they_stand_for(spark):
+    one = spark.range(40).select(F.lit("M").alias("mutation"), (F.col("id") / 50 + 0.01).alias("m"), F.lit(50.0).alias("n"), (F.col("id") % 7).cast("double").alias("y"), F.lit(0.1).alias("r"), (F.col("id") % 5 + 1).alias("k"))
+    all_ = one.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("k")))).drop("k", "i")
+    a, b = (mixture.adaptive_edges(x, 6, 10).first().edges for x in (one, all_))
+    assert a == b
+    fit = spark.createDataFrame([("M", a)], "mutation string, edges array<double>")
+    got, want = (mixture.bin_parameters(x, fit, mixture.Settings(min_rows=5)).first() for x in (one, all_))
+    assert np.allclose(got.kappas, want.kappas) and np.allclose(got.pis, want.pis)

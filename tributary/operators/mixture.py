@@ -1,7 +1,7 @@
 """The steps of the zero-inflated Beta-Binomial fit, each an aggregation by mutation and bin or a column of a row.
 
 A fit is a table with one row for each mutation: `knots` (array<struct<x, y>>, null without calibration), `edges`, and for each bin `kappas` and `pis`. Rows
-have mutation, y (count) and n (coverage, 1 at least); m is a row's rate. No step gathers a mutation's rows: they are added up by
+have mutation, y (count) and n (coverage, 1 at least); m is a row's rate, and k, where there is such a column, says how many equal rows it stands for. No step gathers a mutation's rows: they are added up by
 (mutation, bin), and quantiles come from counted values (the rates of a mutation are as many as its dates and coverages).
 """
 
@@ -35,6 +35,11 @@ class Settings:
     calibrate: bool = True
 
 
+def times(rows: DataFrame) -> Column:
+    """How many equal rows a row stands for."""
+    return F.col("k") if "k" in rows.columns else F.lit(1).cast("long")
+
+
 def _levels(bins: int) -> Column:
     return F.array(*(F.lit(k / bins) for k in range(bins + 1)))
 
@@ -77,11 +82,12 @@ def calibrator(rows: DataFrame, bins: int) -> DataFrame:
     Rows are binned by quantiles of m (by even edges if these have fewer than 3 values), and the bins' pooled rates are made monotone. A bin's x is the mean of m by weight, from
     decimal sums, so that it doesn't depend on the order of the rows.
     """
-    counted = rows.groupBy("mutation").agg(F.count(F.lit(1)).alias("rows"), F.percentile("m", _levels(bins)).alias("edges"))
+    k = times(rows)
+    counted = rows.groupBy("mutation").agg(F.sum(k).alias("rows"), F.percentile("m", _levels(bins), k).alias("edges"))
     edges = counted.select("mutation", "rows", F.when(F.size(F.array_distinct("edges")) < 3, _even(F.lit(0.0), F.lit(1.0), bins)).otherwise(F.col("edges")).alias("edges"))
     at = rows.join(edges, "mutation").withColumn("bin", digitize(F.col("m"), F.col("edges")))
-    weight = F.col("n").cast("decimal(16,4)")
-    each = at.groupBy("mutation", "bin").agg(F.first("rows").alias("rows"), (F.sum(F.col("m").cast("decimal(21,20)") * weight) / F.sum(weight)).cast("double").alias("x"), F.sum("n").alias("n"), F.sum("y").alias("y"))
+    weight = (F.col("n") * k).cast("decimal(16,4)")
+    each = at.groupBy("mutation", "bin").agg(F.first("rows").alias("rows"), (F.sum(F.col("m").cast("decimal(21,20)") * weight) / F.sum(weight)).cast("double").alias("x"), F.sum(F.col("n") * k).alias("n"), F.sum(F.col("y") * k).alias("y"))
     point = F.struct(F.col("x"), F.col("bin"), F.col("y").alias("total"), F.col("n").alias("w"))
     g = each.groupBy("mutation").agg(F.first("rows").alias("rows"), F.array_sort(F.collect_list(point)).alias("p"))
     fitted = F.zip_with("p", isotonic(F.transform("p", lambda p: p["total"]), F.transform("p", lambda p: p["w"])), lambda p, y: F.struct(p["x"].alias("x"), y.alias("y")))
@@ -126,10 +132,10 @@ def adaptive_edges(rows: DataFrame, bins: int, least: int) -> DataFrame:
 
     Rows are counted once by bin; merging is a fold over these counts.
     """
-    quantiles = rows.groupBy("mutation").agg(F.array_distinct(F.percentile("m", _levels(max(2, bins)))).alias("cuts"))
+    quantiles = rows.groupBy("mutation").agg(F.array_distinct(F.percentile("m", _levels(max(2, bins)), times(rows))).alias("cuts"))
     one = F.element_at("cuts", 1)
     cuts = quantiles.select("mutation", F.when(F.size("cuts") == 1, F.array(F.lit(0.0), F.lit(1.0))).when(F.size("cuts") == 2, _even(one, F.element_at("cuts", 2), 2)).otherwise(F.col("cuts")).alias("cuts"))
-    counted = rows.join(cuts, "mutation").groupBy("mutation", digitize(F.col("m"), F.col("cuts")).alias("bin")).agg(F.count(F.lit(1)).alias("k"))
+    counted = rows.join(cuts, "mutation").groupBy("mutation", digitize(F.col("m"), F.col("cuts")).alias("bin")).agg(F.sum(times(rows)).alias("k"))
     found = counted.groupBy("mutation").agg(F.map_from_entries(F.collect_list(F.struct("bin", "k"))).alias("by_bin")).join(cuts, "mutation")
     counts = F.transform(F.sequence(F.lit(0), F.size("cuts") - 2), lambda b: F.coalesce(F.element_at("by_bin", b), F.lit(0).cast("long")))
 
@@ -171,13 +177,14 @@ def responsibility(y: Column, n: Column, m: Column, kappa: Column, pi: Column) -
 def bin_step(s: Settings) -> Callable[[DataFrame, DataFrame], DataFrame]:
     """What bin_parameters does, with its columns made once for many rounds."""
     place = {"bin": digitize(F.col("m"), F.col("edges")), "p": F.col("y") / F.col("n")}
-    limit = F.percentile("p", F.array(F.lit(s.winsor), F.lit(1 - s.winsor))).alias("q")
+    k = F.col("k")
+    limit = F.percentile("p", F.array(F.lit(s.winsor), F.lit(1 - s.winsor)), k).alias("q")
     entry = F.map_from_entries(F.collect_list(F.struct("bin", F.struct("rows", "q")))).alias("limits")
     low = F.get(F.col("l.q"), 0)
     d = F.when(F.col("l.rows") >= 20, F.least(F.greatest("p", low), F.get(F.col("l.q"), 1))).otherwise(F.col("p")) - low
-    moved = {"d": d, "w": 1 - F.col("r"), "v": F.col("m") * (1 - F.col("m"))}
+    moved = {"d": d, "w": (1 - F.col("r")) * k, "v": F.col("m") * (1 - F.col("m"))}
     sums = (
-        F.count(F.lit(1)).alias("rows"), F.sum("w").alias("w"), F.sum("r").alias("r"), F.sum(F.col("w") * F.col("d")).alias("wd"), F.sum(F.col("w") * F.col("d") * F.col("d")).alias("wdd"),
+        F.sum(k).alias("rows"), F.sum("w").alias("w"), F.sum(F.col("r") * k).alias("r"), F.sum(F.col("w") * F.col("d")).alias("wd"), F.sum(F.col("w") * F.col("d") * F.col("d")).alias("wdd"),
         F.sum(F.col("w") * F.col("v") / F.col("n")).alias("noise"), F.sum(F.col("w") * F.col("v") * (F.col("n") - 1) / F.col("n")).alias("most"),
     )
     # a bin whose rows all are structural zeros has no weight
@@ -192,8 +199,8 @@ def bin_step(s: Settings) -> Callable[[DataFrame, DataFrame], DataFrame]:
     pis = F.transform(every, lambda k: F.coalesce(F.element_at("b", k)["pi"], F.lit(0.0))).alias("pis")
 
     def step(rows: DataFrame, fit: DataFrame) -> DataFrame:
-        at = rows.join(fit.select("mutation", "edges"), "mutation").withColumns(place).drop("edges")
-        limits = at.groupBy("mutation", "bin").agg(F.count(F.lit(1)).alias("rows"), limit).groupBy("mutation").agg(entry)
+        at = rows.withColumn("k", times(rows)).join(fit.select("mutation", "edges"), "mutation").withColumns(place).drop("edges")
+        limits = at.groupBy("mutation", "bin").agg(F.sum("k").alias("rows"), limit).groupBy("mutation").agg(entry)
         clipped = at.join(limits, "mutation").withColumn("l", F.element_at("limits", F.col("bin"))).withColumns(moved)
         by_bin = clipped.groupBy("mutation", "bin").agg(*sums).groupBy("mutation").agg(told_by_bin)
         return fit.select("mutation", "edges").join(by_bin, "mutation", "left").select("mutation", kappas, pis)

@@ -1,8 +1,8 @@
 """The zero-inflated Beta-Binomial fit of every mutation: expectation and maximisation as Spark aggregations.
 
 A round adds up the rows by day (with the weight of not being a structural zero), smooths the daily sums, and adds up the rows by bin of their new rates. Rows
-are kept dealt by (mutation, date) and meet two small tables: the days and the fit of each mutation, which are written between rounds. Only the
-daily sums of a mutation come together, for the smoother; no task holds a mutation's rows.
+are kept dealt by (mutation, date) and meet two small tables: the days and the fit of each mutation, which are written between rounds. Equal counts of a day are one row with their
+number k, so rounds work on different counts, whatever the number of samples. Only the daily sums of a mutation come together, for the smoother; no task holds a mutation's rows.
 """
 
 from __future__ import annotations
@@ -70,7 +70,8 @@ class Fit:
 
 def fitted(rows: DataFrame, s: Settings) -> Fit:
     """From rows (mutation, date, y, n, ...): the fit after s.rounds rounds. Edges and calibrator are those of the first pass. rows should be kept."""
-    daily = rows.groupBy("mutation", "date").agg(F.sum("y").alias("y"), F.sum("n").alias("n"))
+    rows = rows.withColumn("k", mixture.times(rows))
+    daily = rows.groupBy("mutation", "date").agg(F.sum(F.col("y") * F.col("k")).alias("y"), F.sum(F.col("n") * F.col("k")).alias("n"))
     days = written(smoothed(daily, s.penalty), "days")
     n_days = days.count()
     n_fits = days.agg(F.count_distinct("mutation")).first()[0]
@@ -92,10 +93,10 @@ def fitted(rows: DataFrame, s: Settings) -> Fit:
     chance, weight, new_rate = _responsibility(rate(F.col("old"))).alias("r"), F.col("w"), rate(F.col("mu")).alias("m")
     weighed = (F.sum(weight * F.col("y")).alias("y"), F.greatest(F.sum(weight * F.col("n")), F.lit(1.0)).alias("n"))
     for _ in range(s.rounds):
-        old = with_fit(joined(days.select("mutation", "date", F.col("mu").alias("old"))), fits).select("mutation", "date", "y", "n", (1 - chance).alias("w"))
+        old = with_fit(joined(days.select("mutation", "date", F.col("mu").alias("old"))), fits).select("mutation", "date", "y", "n", ((1 - chance) * F.col("k")).alias("w"))
         new = smoothed(old.groupBy("mutation", "date").agg(*weighed), s.penalty)
         new_days = written(new.join(days.select("mutation", "date", F.col("mu").alias("old")), ["mutation", "date"]), "days")
-        both = with_fit(joined(new_days.select("mutation", "date", "mu", "old")), fits).select("mutation", "y", "n", new_rate, chance)
+        both = with_fit(joined(new_days.select("mutation", "date", "mu", "old")), fits).select("mutation", "y", "n", "k", new_rate, chance)
         new_fits = written(edges.join(step(both, edges), "mutation"), "fits")
         erased(days)
         erased(fits)
@@ -124,7 +125,7 @@ def _inside(targets: tuple[float, ...]):
             k = np.clip(b["kappa"].to_numpy() / b["tau"].to_numpy(), 1e-12, 1e12)
             upto, below = zibb.distribution(b["y"].to_numpy(), b["n"].to_numpy(), b["m"].to_numpy(), k, b["pi"].to_numpy())
             hits = {f"in{j}": ((upto >= (1 - t) / 2) & (below < (1 + t) / 2)).astype(float) for j, t in enumerate(targets)}
-            yield b[["mutation", "bin", "tau"]].assign(**hits)
+            yield b[["mutation", "bin", "tau", "k"]].assign(**hits)
 
     return run
 
@@ -137,15 +138,15 @@ def widening(rows: DataFrame, s: Settings) -> DataFrame:
     low = max(1.0, s.tau_bounds[0])
     high = max(low * 1.0001, s.tau_bounds[1])
     hits = ", ".join(f"in{j} double" for j in range(len(s.targets)))
-    slim = rows.select("mutation", "bin", F.col("y").cast("long").alias("y"), F.col("n").cast("long").alias("n"), "m", "kappa", "pi")
+    slim = rows.select("mutation", "bin", F.col("y").cast("long").alias("y"), F.col("n").cast("long").alias("n"), "m", "kappa", "pi", mixture.times(rows).alias("k"))
 
     def gaps(tried: DataFrame) -> DataFrame:
         """tried (mutation, bin, tau) with gap: how much coverage exceeds its target, least of all targets."""
-        each = slim.join(tried, ["mutation", "bin"]).mapInPandas(_inside(s.targets), f"mutation string, bin int, tau double, {hits}")
-        least = F.least(F.lit(1.0), *(F.avg(f"in{j}") - t for j, t in enumerate(s.targets)))
+        each = slim.join(tried, ["mutation", "bin"]).mapInPandas(_inside(s.targets), f"mutation string, bin int, tau double, k long, {hits}")
+        least = F.least(F.lit(1.0), *(F.sum(F.col(f"in{j}") * F.col("k")) / F.sum("k") - t for j, t in enumerate(s.targets)))
         return each.groupBy("mutation", "bin", "tau").agg(least.alias("gap"))
 
-    full = slim.groupBy("mutation", "bin").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") >= s.min_rows)
+    full = slim.groupBy("mutation", "bin").agg(F.sum("k").alias("rows")).filter(F.col("rows") >= s.min_rows)
     ends = gaps(full.select("mutation", "bin", F.explode(F.array(F.lit(low), F.lit(high))).alias("tau")))
     ends = ends.groupBy("mutation", "bin").agg(F.max(F.when(F.col("tau") == low, F.col("gap"))).alias("at_low"), F.max(F.when(F.col("tau") == high, F.col("gap"))).alias("at_high"))
     tau = F.when(F.col("at_low") >= -s.tolerance, low).when(F.col("at_high") <= -s.tolerance, high)
@@ -175,7 +176,7 @@ def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 DETAIL = "kind string, site_id string, date date, mutation string, count long, coverage long, af double, mu_t double, mu_lo double, mu_hi double, kappa_t double, pi double, tau double, " + ", ".join(f"{c} {'long' if c[0] == 'y' else 'double'}" for c in BANDS)
-_ROWS = "site_id string, date date, mutation string, count long, coverage long, af double, mu_t double, mu_lo double, mu_hi double, kappa_t double, pi double, tau double"
+_CELLS = "raw_y double, raw_n double, date date, mutation string, count long, coverage long, af double, mu_t double, mu_lo double, mu_hi double, kappa_t double, pi double, tau double"
 
 
 def detail(ready: DataFrame, s: Settings) -> DataFrame:
@@ -184,24 +185,29 @@ def detail(ready: DataFrame, s: Settings) -> DataFrame:
     The result is a written table: the fit is done when this returns.
     """
     # dealt by day, so that the passes over the rows need not shuffle them again
-    rows = ready.select("site_id", "date", "mutation", F.col("count").cast("double").alias("y"), F.greatest(F.col("coverage").cast("double"), F.lit(1.0)).alias("n"))
-    rows = rows.repartition("mutation", "date").persist(StorageLevel.MEMORY_AND_DISK)
+    given = ready.select("site_id", "date", "mutation", F.col("count").cast("double").alias("y"), F.greatest(F.col("coverage").cast("double"), F.lit(1.0)).alias("n"))
+    keys = ["mutation", "date", "y", "n"]
+    rows = given.groupBy(*keys).agg(F.count(F.lit(1)).alias("k")).repartition("mutation", "date").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         f = fitted(rows, s)
-        done = written(f.rows.withColumn("y", F.least("y", "n")).select("site_id", "date", "mutation", "y", "n", "m", "lo", "hi", "kappa", "pi", "bin"), "fitted")
+        done = written(f.rows.select("date", "mutation", F.col("y").alias("raw_y"), F.least("y", "n").alias("y"), "n", "k", "m", "lo", "hi", "kappa", "pi", "bin"), "fitted")
     finally:
         rows.unpersist()
     low, high = max(1.0, s.tau_bounds[0]), max(1.0, s.tau_bounds[0]) * 1.0001
     tau = widening(done, s)
     by_bin = tau.groupBy("mutation").agg(F.map_from_entries(F.collect_list(F.struct("bin", "tau"))).alias("taus"))
     # concentration of a bin: the mean of its rows'
-    means = done.groupBy("mutation", "bin").agg(F.avg("kappa").alias("kappa")).groupBy("mutation").agg(F.map_from_entries(F.collect_list(F.struct("bin", "kappa"))).alias("means"))
+    means = done.groupBy("mutation", "bin").agg((F.sum(F.col("kappa") * F.col("k")) / F.sum("k")).alias("kappa")).groupBy("mutation").agg(F.map_from_entries(F.collect_list(F.struct("bin", "kappa"))).alias("means"))
     fits = written(f.fits.select("mutation", "edges").join(means, "mutation", "left").join(by_bin, "mutation", "left"), "taus")
     tau_of = lambda b: F.least(F.greatest(F.coalesce(F.element_at("taus", b), F.lit(1.0)), F.lit(low)), F.lit(max(high, s.tau_bounds[1])))
     shown = done.join(fits.select("mutation", "taus"), "mutation").withColumn("tau", tau_of(F.col("bin")))
     kappa = F.least(F.greatest(F.col("kappa") / F.col("tau"), F.lit(1e-12)), F.lit(1e12))
-    shown = shown.select("site_id", "date", "mutation", F.col("y").cast("long").alias("count"), F.col("n").cast("long").alias("coverage"), (F.col("y") / F.col("n")).alias("af"), F.col("m").alias("mu_t"), F.col("lo").alias("mu_lo"), F.col("hi").alias("mu_hi"), kappa.alias("kappa_t"), "pi", "tau")
-    row = shown.mapInPandas(_bands, _ROWS + "".join(f", {c} {'long' if c[0] == 'y' else 'double'}" for c in BANDS)).withColumn("kind", F.lit("row"))
+    shown = shown.select("raw_y", F.col("n").alias("raw_n"), "date", "mutation", F.col("y").cast("long").alias("count"), F.col("n").cast("long").alias("coverage"), (F.col("y") / F.col("n")).alias("af"), F.col("m").alias("mu_t"), F.col("lo").alias("mu_lo"), F.col("hi").alias("mu_hi"), kappa.alias("kappa_t"), "pi", "tau")
+    bands = written(shown.mapInPandas(_bands, _CELLS + "".join(f", {c} {'long' if c[0] == 'y' else 'double'}" for c in BANDS)), "bands")
+    # every row takes what its day and counts have
+    own, b = given.alias("own"), bands.alias("b")
+    same = (F.col("own.mutation") == F.col("b.mutation")) & (F.col("own.date") == F.col("b.date")) & F.col("own.y").eqNullSafe(F.col("b.raw_y")) & (F.col("own.n") == F.col("b.raw_n"))
+    row = own.join(b, same).select("own.site_id", "b.*").withColumn("kind", F.lit("row"))
     day = f.days.join(fits, "mutation").withColumn("bin", digitize(F.col("mu"), F.col("edges")))
     kappas = F.transform(F.sequence(F.lit(0), F.size("edges") - 2), lambda b: F.coalesce(F.element_at("means", b), F.lit(s.kappa_hi)))
     day = day.withColumn("tau", tau_of(F.col("bin"))).select(F.lit("day").alias("kind"), F.lit("GLOBAL").alias("site_id"), "date", "mutation", F.col("mu").alias("mu_t"), F.col("lo").alias("mu_lo"), F.col("hi").alias("mu_hi"), (mixture.kappa_at(F.col("mu"), F.col("edges"), kappas) / F.col("tau")).alias("kappa_t"), "tau")
